@@ -25,6 +25,7 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 #: Words of letters, digits and all bytes beyond ASCII.
 ALNUM = np.ones(256, bool)
 ALNUM[:48] = ALNUM[58:97] = ALNUM[123:128] = False
+ALNUM[65:91] = True  # read as a-z
 
 
 def mix(x: np.ndarray) -> np.ndarray:

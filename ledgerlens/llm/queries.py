@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, sharding, toxicity
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_language_id": language_id.op5_language_id,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}

@@ -9,7 +9,9 @@ carry across windows and partitions."""
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,39 +25,74 @@ from .shared import checkpointed
 #: Queues beyond the largest so many share the last one, so that the schedule is bounded whatever the sources are.
 MAX_QUEUES = 64
 #: Words whose ids a task keeps at once.
-CACHE = 400_000
+CACHE = 150_000
 REST = "\x00rest"
+#: str.split() also parts at these, which tokenizers don't take for white space.
+UNSAFE = re.compile("[\x1c-\x1f]")
+WHITE = re.compile("[ \t\n\x0b\f\r]+")
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in order."""
+    """Token ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in order.
+
+    Ids are kept by word and by pre-token as little-endian bytes, so a text is a join of what is known and only new
+    pre-tokens go through the tokenizer's model."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.kind = "H" if max(self.tokenizer.get_vocab_size(), end_id) < 65536 else "I"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = array(self.kind, [end_id]).tobytes()
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else None
+        # whether lower-case ASCII letters and the marks after them are two pre-tokens, as written
+        self.plain = split is not None and self.tokenizer.normalizer is not None and all([x for x, _ in split(self.tokenizer.normalizer.normalize_str("Word" + m))] == ["word", m] for m in (".", ",", ".,", ";", ":", "!?"))
+
+        # how the pre-tokenizer writes each small letter below U+0180, where lower-casing and normalising go letter by letter
+        self.letters = {c: split(chr(c))[0][0] for c in range(128, 0x180) if chr(c).isalpha()} if self.plain else {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > 2 * CACHE:
+                self.pieces.clear()
+            found = self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        if self.plain and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
+            base = word.rstrip(".,;:!?")
+            if base.isalpha():
+                low = self._piece(base.lower() if base.isascii() else base.lower().translate(self.letters))
+                return low if len(base) == len(word) else low + self._piece(word[len(base) :])
+        if any(a in word for a in self.added):
+            return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if self.tokenizer.normalizer:
+            word = self.tokenizer.normalizer.normalize_str(word)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(word) if self.tokenizer.pre_tokenizer else [(word, None)]
+        return b"".join([self._piece(x) for x, _ in split])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id; a null text has the end id alone."""
-        if len(self.known) > CACHE:
-            self.clear()
-        parts = [t.split() if t else [] for t in texts]
-        if new := list({w for p in parts for w in p if w not in self.known}):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        known, out = self.known, []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            ids.append(self.end_id)
-            out.append(np.array(ids, dtype="<u2" if self.end_id < 65536 and max(ids) < 65536 else "<u4"))
+        out = []
+        for text in texts:
+            if len(self.known) > CACHE:  # words of the last generation that are still in use move on
+                self.known_before, self.known = self.known, {}
+            get, known, before = self.known.get, self.known, self.known_before
+            parts = []
+            for w in WHITE.split(text) if text and UNSAFE.search(text) else text.split() if text else ():
+                x = get(w)
+                if x is None:
+                    x = before.get(w)
+                    known[w] = x = self.word(w) if x is None else x
+                parts.append(x)
+            parts.append(self.end)
+            out.append(b"".join(parts))
         return out
 
 
@@ -65,6 +102,7 @@ def _tokenise(path: str, end_id: int, queues: list):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = Encoder(path, end_id), TaskContext.get().partitionId()
+        width = len(encoder.end)
         before = [0] * (rest + 1)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -74,9 +112,9 @@ def _tokenise(path: str, end_id: int, queues: list):
                 at = []
                 for q, x in zip(queue, ids, strict=True):
                     at.append(before[q])
-                    before[q] += len(x)
+                    before[q] += len(x) // width
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([block] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.itemsize for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [part.column(0), pa.array([block] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
                     names=["_id", "block", "queue", "before", "n", "width", "ids"],
                 )
 
@@ -134,7 +172,7 @@ class Schedule:
 
 def _cut(schedule: Schedule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             rows: list[tuple] = []
             for doc, queue, at, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("_id", "queue", "at", "n", "width", "ids")), strict=True):
                 wide = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()

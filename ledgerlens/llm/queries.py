@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, toxicity
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,

@@ -23,7 +23,7 @@ from .shared import checkpointed, text_bytes
 #: Stands before and after each text; UTF-8 has no such byte.
 END = 0xFF
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 LN_10 = np.log(10.0)
 
 
@@ -275,7 +275,7 @@ def _score_block(depth: int):
     return run
 
 
-def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = 4) -> DataFrame:
+def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = 5) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``train``: a boolean column of ``docs``, true for the rows to learn from (null: false); all rows are scored. A-Z is read

@@ -50,6 +50,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(kept, ["text_sha256", "_len"], "inner").select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts, as ``exact_dedup`` decides.
+
+    Rows meet by digest and identifier together, so the rows of a large group are spread over all tasks; of rows that
+    repeat both, one stays."""
+    groups = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
+    kept = rows.join(groups, (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep")))
+    return kept.dropDuplicates(["_digest", "_keep"]).select(*(docs[c] for c in docs.columns))
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, suffix_dedup, toxicity
+from . import context_tree, decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_language_id": language_id.op5_language_id,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_lm_scoring": context_tree.op8_lm_scoring,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -27,3 +29,13 @@ def with_fields(df: DataFrame, **types: str) -> StructType:
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of text in the table: one aggregate over the scan, to size partitions by."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACED, chunks, shingles, signed, words
 from .components import components
-from .shared import checkpointed
+from .shared import bounded, checkpointed
 from .signature_tree import Leaf, candidates, forest
 
 #: Frequent shingles that are ordered last; any number of them gives the same links.
 MAX_FREQUENT = 200_000
 #: Sets of a group that one traversal takes at once; larger groups are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Bits of a bitmap for each element, rounded up to a power of two.
+MULT = 2
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -98,7 +100,7 @@ def _signatures(k: int):
             for first, last, found in _sets(batch, 1, k):
                 bitmaps = []
                 for s in found:
-                    width = max(64, 1 << (2 * len(s)).bit_length())
+                    width = max(64, 1 << (MULT * len(s)).bit_length())
                     bits = np.zeros(width, np.uint8)
                     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
                     bitmaps.append(np.packbits(bits, bitorder="little").tobytes())
@@ -179,7 +181,7 @@ def jaccard_links(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+        needed = bounded(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct())  # digests: 16 bytes each
         full = rows.join(needed, "_key", "left_semi").dropDuplicates(["_key"]).mapInArrow(_hashes(k), "_key binary, hashes array<long>")
         both = pairs.join(full.select(F.col("_key").alias("a"), F.col("hashes").alias("ha")), "a").join(full.select(F.col("_key").alias("b"), F.col("hashes").alias("hb")), "b")
         common = F.size(F.array_intersect("ha", "hb"))

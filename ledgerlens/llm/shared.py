@@ -26,6 +26,12 @@ def with_fields(df: DataFrame, **types: str) -> StructType:
     return StructType([*(StructField(f.name, f.dataType) for f in df.schema.fields), *more.fields])
 
 
+def bounded(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """``df``, computed once, with a hint to broadcast it if it has at most ``most`` rows; beyond that the join shuffles."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of text in the table: one aggregate over the scan, to size partitions by."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)

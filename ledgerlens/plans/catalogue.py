@@ -2,5 +2,502 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import diagnostics as G
+from ..operators import lexicon as L
+from ..operators import sampling as P
+from ..operators import scoring as C
+from . import derived as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+ITEM = ["doc_id", "row_idx", "field_no"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _matched(spark, sf, seed: int = 0) -> DataFrame:
+    gt = V.truth(spark, sf)
+    return C.match_fields(gt, V.predicted(gt, seed), V.KEYS)
+
+
+def _scores(spark, sf, seed: int = 0) -> DataFrame:
+    return V.document_scores(_matched(spark, sf, seed))
+
+
+def _errors(spark, sf, seed: int = 0) -> DataFrame:
+    return _matched(spark, sf, seed).withColumn("category", G.category(F.col("gt"), F.col("pred"))).filter("category IS NOT NULL")
+
+
+SUMS = "count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (document_correct) AS docs_ok"
+ERRORS = V.BASE + f", e AS (SELECT *, {V.CATEGORY_SQL} AS category FROM m WHERE NOT ok) "
+
+
+@query(V.BASE + f"SELECT *, {V.PRF_SQL} FROM (SELECT coalesce(CAST(level AS VARCHAR), 'ALL') AS level, {SUMS} FROM s GROUP BY ROLLUP (level))")
+def score_by_level(spark, sf):
+    return C.summarize(_scores(spark, sf), ["level"], total="ALL")
+
+
+@query(V.BASE + "SELECT level, count(*) AS n, count(*) FILTER (parsed) AS tolerant_ok, count(*) FILTER (strict) AS strict_ok, count(*) FILTER (fp = 0 AND fn = 0) AS tolerant_correct, count(*) FILTER (document_correct) AS strict_correct FROM s GROUP BY level")
+def score_tolerant_vs_strict(spark, sf):
+    n = lambda c: F.count_if(c)
+    clean = (F.col("fp") == 0) & (F.col("fn") == 0)
+    return _scores(spark, sf).groupBy("level").agg(F.count("*").alias("n"), n("parsed").alias("tolerant_ok"), n("strict").alias("strict_ok"), n(clean).alias("tolerant_correct"), n("document_correct").alias("strict_correct"))
+
+
+_TRI = "SELECT '{0}' AS flag, count(*) FILTER ({0}) AS hits, count(*) AS n, count({0}) AS observed, CASE WHEN count({0}) = count(*) THEN round(count(*) FILTER ({0}) / count(*), 6) END AS rate FROM t"
+
+
+@query(V.BASE + ", t AS (SELECT parsed, CASE WHEN doc_id % 7 <> 0 THEN strict END AS strict, document_correct FROM s) " + " UNION ALL ".join(_TRI.format(f) for f in ("parsed", "strict", "document_correct")))
+def summary_rates_tristate(spark, sf):
+    s = _scores(spark, sf).withColumn("strict", F.when(F.col("doc_id") % 7 != 0, F.col("strict")))
+    return C.tristate(s, ["parsed", "strict", "document_correct"])
+
+
+@query(V.BASE + "SELECT field, count(*) FILTER (ok) AS tp, count(*) FILTER (pred IS NOT NULL AND NOT ok) AS fp, count(*) FILTER (gt IS NOT NULL AND NOT ok) AS fn, count(gt) AS gt_n, count(pred) AS pred_n, count(*) FILTER (gt IS NULL) AS fabricated FROM m GROUP BY field")
+def field_metrics(spark, sf):
+    n = lambda c: F.count_if(c)
+    return _matched(spark, sf).groupBy("field").agg(n("ok").alias("tp"), n(F.col("pred").isNotNull() & ~F.col("ok")).alias("fp"), n(F.col("gt").isNotNull() & ~F.col("ok")).alias("fn"), F.count("gt").alias("gt_n"), F.count("pred").alias("pred_n"), n(F.col("gt").isNull()).alias("fabricated"))
+
+
+@query(V.BASE + "SELECT *, row_number() OVER (ORDER BY rate DESC, errors DESC, seen DESC, field DESC) AS rank FROM (SELECT field, count(*) FILTER (NOT ok) AS errors, count(*) AS seen, round(count(*) FILTER (NOT ok) / count(*), 6) AS rate FROM m GROUP BY field)")
+def field_error_rate_ranked(spark, sf):
+    from pyspark.sql import Window
+
+    r = _matched(spark, sf).groupBy("field").agg(F.count_if(~F.col("ok")).alias("errors"), F.count("*").alias("seen")).withColumn("rate", F.round(F.col("errors") / F.col("seen"), 6))
+    return r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rate"), F.desc("errors"), F.desc("seen"), F.desc("field"))).cast("long"))  # a row per field
+
+
+GROUP_SQL = "CASE WHEN row_idx = -1 THEN 'header' WHEN row_idx = -2 THEN 'total' WHEN row_idx = -3 THEN 'extra' ELSE 'rows' END"
+
+
+def _group():
+    r = F.col("row_idx")
+    return F.when(r == -1, "header").when(r == -2, "total").when(r == -3, "extra").otherwise("rows")
+
+
+@query(ERRORS + f"SELECT coalesce(category, 'ALL') AS category, coalesce(CAST(level AS VARCHAR), 'ALL') AS level, coalesce(grp, 'ALL') AS grp, count(*) AS n FROM (SELECT *, {GROUP_SQL} AS grp FROM e) GROUP BY GROUPING SETS ((category), (level, category), (grp, category))")
+def error_taxonomy_sets(spark, sf):
+    return G.taxonomy(_errors(spark, sf).withColumn("grp", _group()), [["category"], ["level", "category"], ["grp", "category"]]).select("category", "level", "grp", "n")
+
+
+@query(ERRORS + "SELECT level, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in G.CATEGORIES) + " FROM e GROUP BY level")
+def error_taxonomy_pivot(spark, sf):
+    return G.pivot(_errors(spark, sf), "level", "category", G.CATEGORIES)
+
+
+@query(ERRORS + "SELECT category, doc_id, field, row_idx, gt, pred, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id, row_idx, field_no) AS rank FROM e) WHERE rank <= 5")
+def error_examples_topk(spark, sf):
+    return G.first_per(_errors(spark, sf), ["category"], [F.asc(c) for c in ITEM], 5).select("category", "doc_id", "field", "row_idx", "gt", "pred", "rank")
+
+
+@query(V.BASE + f"SELECT level, doc_id, f1, rank FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY f1, doc_id) AS rank FROM (SELECT *, {V.PRF_SQL} FROM s)) WHERE rank <= 2")
+def worst_docs_per_level(spark, sf):
+    return G.first_per(C.prf(_scores(spark, sf)), ["level"], [F.asc("f1"), F.asc("doc_id")], 2).select("level", "doc_id", "f1", "rank")
+
+
+@query(V.BASE + "SELECT level, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END), 6) AS macro_f1, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1 FROM s GROUP BY level")
+def macro_vs_micro_f1(spark, sf):
+    tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    return _scores(spark, sf).groupBy("level").agg(F.round(F.avg(S.f1(F.col("tp"), F.col("fp"), F.col("fn"))), 6).alias("macro_f1"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("micro_f1"))
+
+
+REQUIRED = ("project", "supplier", "number", "date")
+
+
+@query(V.BASE + ", p AS (SELECT doc_id, list(field) FILTER (row_idx = -1) AS have, count(*) FILTER (field = 'extra') AS x FROM pred GROUP BY 1) SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT 'missing {f}' AS rule FROM p WHERE NOT list_contains(coalesce(have, []), '{f}')" for f in REQUIRED) + " UNION ALL SELECT 'unknown extra' FROM p WHERE x > 0) GROUP BY rule")
+def schema_violations(spark, sf):
+    p = V.predicted(V.truth(spark, sf)).groupBy("doc_id").agg(F.collect_set(F.when(F.col("row_idx") == -1, F.col("field"))).alias("have"), F.count_if(F.col("field") == "extra").alias("x"))
+    rules = F.concat(F.transform(F.array_except(F.array(*map(F.lit, REQUIRED)), F.col("have")), lambda f: F.concat(F.lit("missing "), f)), F.when(F.col("x") > 0, F.array(F.lit("unknown extra"))).otherwise(F.array().cast("array<string>")))
+    return p.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(V.BASE + "SELECT field, CASE WHEN gt IS NULL THEN 'extra' ELSE 'missing' END AS kind, count(*) AS n FROM m WHERE gt IS NULL OR pred IS NULL GROUP BY 1, 2")
+def extra_and_missing_paths(spark, sf):
+    return _matched(spark, sf).filter("gt IS NULL OR pred IS NULL").groupBy("field", F.when(F.col("gt").isNull(), "extra").otherwise("missing").alias("kind")).agg(F.count("*").alias("n"))
+
+
+CONFIGS = (0, 1, 2, 3)
+
+
+def _failures(spark, sf) -> DataFrame:
+    gt = V.truth(spark, sf)
+    out = None
+    for c in CONFIGS:
+        m = C.match_fields(gt, V.predicted(gt, c), V.KEYS).filter(~F.col("ok") & F.col("gt").isNotNull()).withColumn("config", F.lit(f"c{c}"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+FAILS = V.TRUTH_SQL + "".join(f", {V.predicted_sql(f'p{c}', c)}, {V.matched_sql(f'm{c}', f'p{c}')}" for c in CONFIGS) + ", f AS (" + " UNION ALL ".join(f"SELECT *, 'c{c}' AS config FROM m{c} WHERE NOT ok AND gt IS NOT NULL" for c in CONFIGS) + ") "
+
+
+@query(FAILS + "SELECT n_configs, count(*) AS n_items FROM (SELECT count(DISTINCT config) AS n_configs FROM f GROUP BY doc_id, row_idx, field_no) GROUP BY 1")
+def config_layering(spark, sf):
+    return G.layers(_failures(spark, sf), ITEM, "config")
+
+
+@query(FAILS + ", c AS (SELECT config, count(*) AS n FROM f GROUP BY 1), i AS (SELECT x.config AS a, y.config AS b, count(*) AS inter FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.row_idx = y.row_idx AND x.field_no = y.field_no AND x.config < y.config GROUP BY 1, 2) SELECT p.config AS a, q.config AS b, coalesce(inter, 0) AS inter, p.n + q.n - coalesce(inter, 0) AS uni, round(coalesce(inter, 0) / (p.n + q.n - coalesce(inter, 0)), 6) AS jaccard FROM c p JOIN c q ON p.config < q.config LEFT JOIN i ON i.a = p.config AND i.b = q.config")
+def config_jaccard(spark, sf):
+    return G.pairwise_jaccard(_failures(spark, sf), ITEM, "config")
+
+
+@query(FAILS + "SELECT v = 1 AS same_value, count(*) AS n_items FROM (SELECT count(DISTINCT config) AS n, count(DISTINCT coalesce(pred, '<none>')) AS v FROM f GROUP BY doc_id, row_idx, field_no) WHERE n >= 2 GROUP BY 1")
+def config_same_wrong_value(spark, sf):
+    return G.same_wrong_value(_failures(spark, sf), ITEM, "config", "pred")
+
+
+@query(ERRORS + "SELECT shape, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(regexp_replace(gt, '[,.-]', '', 'g'), '^[0-9]+$') AND regexp_matches(regexp_replace(pred, '[,.-]', '', 'g'), '^[0-9]+$') AND regexp_replace(gt, '[,.-]', '', 'g') = regexp_replace(pred, '[,.-]', '', 'g') THEN 'decimal_shift' WHEN length(gt) <> length(pred) THEN 'length' ELSE 'other' END AS shape FROM e WHERE gt IS NOT NULL AND pred IS NOT NULL) GROUP BY 1")
+def error_shape_histogram(spark, sf):
+    shape = S.error_shape("gt", "pred")
+    return _errors(spark, sf).filter("gt IS NOT NULL AND pred IS NOT NULL").groupBy(F.when(shape.isin("decimal_shift", "length"), shape).otherwise("other").alias("shape")).agg(F.count("*").alias("n"))
+
+
+AMOUNTS = "WITH " + V.DETAILS_SQL + ", a AS (SELECT *, CASE WHEN doc_id % 7 = 0 AND row_idx = 0 THEN made + 1 ELSE made END AS shown, CASE WHEN (doc_id + row_idx) % 13 = 0 THEN made + 2 WHEN (doc_id + row_idx) % 17 = 0 THEN NULL ELSE made END AS pred FROM (SELECT doc_id, row_idx, CAST(qty AS DOUBLE) AS q, CAST(price AS DOUBLE) AS p, CAST(qty AS DOUBLE) * CAST(price AS DOUBLE) AS made FROM det)) "
+
+
+def _amounts(spark, sf) -> DataFrame:
+    d = V.details(spark, sf).select("doc_id", "row_idx", F.col("qty").cast("double").alias("q"), F.col("price").cast("double").alias("p")).withColumn("made", F.col("q") * F.col("p"))
+    s = F.col("doc_id") + F.col("row_idx")
+    return d.withColumns({"shown": F.when((F.col("doc_id") % 7 == 0) & (F.col("row_idx") == 0), F.col("made") + 1).otherwise(F.col("made")), "pred": F.when(s % 13 == 0, F.col("made") + 2).when(s % 17 == 0, F.lit(None)).otherwise(F.col("made"))})
+
+
+@query(AMOUNTS + "SELECT gt_ok, pred_ok, count(*) AS n FROM (SELECT abs(shown - made) <= greatest(0.011, abs(made) * 1e-6) AS gt_ok, abs(pred - made) <= greatest(0.011, abs(made) * 1e-6) AS pred_ok FROM a) GROUP BY 1, 2")
+def amount_consistency_2x2(spark, sf):
+    a = _amounts(spark, sf)
+    return a.groupBy(S.row_consistent(F.col("q"), F.col("p"), F.col("shown")).alias("gt_ok"), S.row_consistent(F.col("q"), F.col("p"), F.col("pred")).alias("pred_ok")).agg(F.count("*").alias("n"))
+
+
+@query(AMOUNTS + "SELECT CASE WHEN pred IS NULL THEN 'undecidable' WHEN round(CAST(pred AS DECIMAL(18,6)), 2) = round(CAST(made AS DECIMAL(18,6)), 2) THEN 'pass' ELSE 'review' END AS status, count(*) AS n FROM a GROUP BY 1")
+def arithmetic_row_warnings(spark, sf):
+    return _amounts(spark, sf).groupBy(G.arithmetic_status(F.col("pred").cast("decimal(18,6)"), F.col("made").cast("decimal(18,6)")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + V.DETAILS_SQL + ", t AS (SELECT doc_id, CAST(sum(amount) AS DECIMAL(18,2)) AS t FROM det GROUP BY 1) SELECT CASE WHEN t IS NULL THEN 'undecidable' WHEN o_orderkey % 7 <> 0 THEN 'pass' ELSE 'review' END AS status, count(*) AS n FROM orders LEFT JOIN t ON o_orderkey = doc_id GROUP BY 1")
+def arithmetic_total_check(spark, sf):
+    made = V.details(spark, sf).groupBy("doc_id").agg(F.sum("amount").cast("decimal(18,2)").alias("made"))
+    o = V.table(spark, sf, "orders").select("o_orderkey").join(made, F.col("o_orderkey") == F.col("doc_id"), "left")
+    shown = F.when(F.col("o_orderkey") % 7 == 0, F.col("made") + 1).otherwise(F.col("made"))
+    return o.groupBy(G.arithmetic_status(shown, F.col("made")).alias("status")).agg(F.count("*").alias("n"))
+
+
+TWO = V.TRUTH_SQL + f", {V.predicted_sql('p0', 0)}, {V.predicted_sql('p1', 1)}, {V.matched_sql('m0', 'p0')}, {V.matched_sql('m1', 'p1')}, {V.scores_sql('s0', 'm0')}, {V.scores_sql('s1', 'm1')} "
+FOUR = "count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS old_only, count(*) FILTER (NOT a AND b) AS new_only, count(*) FILTER (NOT a AND NOT b) AS neither"
+
+
+@query(TWO + f"SELECT level, {FOUR} FROM (SELECT s0.level, s0.document_correct AS a, s1.document_correct AS b FROM s0 JOIN s1 ON s0.doc_id = s1.doc_id) GROUP BY level")
+def run_transitions(spark, sf):
+    return G.transitions(_scores(spark, sf, 0), _scores(spark, sf, 1), ["doc_id"], ["level"])
+
+
+@query(V.BASE + f"SELECT {FOUR} FROM (SELECT bool_or(document_correct) FILTER (doc_id % 2 = 0) AS a, bool_or(document_correct) FILTER (doc_id % 2 = 1) AS b FROM s GROUP BY doc_id // 2 HAVING count(*) = 2)")
+def paired_template_transitions(spark, sf):
+    even = F.col("doc_id") % 2 == 0
+    pairs = _scores(spark, sf).groupBy(F.expr("doc_id div 2").alias("source")).agg(F.bool_or(F.when(even, F.col("document_correct"))).alias("a"), F.bool_or(F.when(~even, F.col("document_correct"))).alias("b"), F.count("*").alias("n")).filter("n = 2")
+    a, b = F.col("a"), F.col("b")
+    return pairs.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("old_only"), F.count_if(~a & b).alias("new_only"), F.count_if(~a & ~b).alias("neither"))
+
+
+@query(TWO + "SELECT doc_id, row_idx, field_no, p0.value AS before, p1.value AS after FROM p0 FULL OUTER JOIN p1 USING (doc_id, row_idx, field_no) WHERE p0.value IS DISTINCT FROM p1.value")
+def run_field_diff(spark, sf):
+    gt = V.truth(spark, sf)
+    return G.field_diff(V.predicted(gt, 0), V.predicted(gt, 1), ITEM)
+
+
+@query(TWO + "SELECT count(*) FILTER (p0.doc_id IS NOT NULL AND p1.doc_id IS NOT NULL) AS shared, count(*) FILTER (p1.doc_id IS NULL) AS only_before, count(*) FILTER (p0.doc_id IS NULL) AS only_after, count(*) AS all_paths FROM p0 FULL OUTER JOIN p1 ON p0.doc_id = p1.doc_id AND p0.row_idx = p1.row_idx AND p0.field_no = p1.field_no")
+def set_ops_paths(spark, sf):
+    gt = V.truth(spark, sf)
+    side = lambda s: V.predicted(gt, s).select(*ITEM, F.lit(s).alias("s"))
+    g = side(0).unionByName(side(1)).groupBy(*ITEM).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    return g.agg(F.count_if(F.col("lo") != F.col("hi")).alias("shared"), F.count_if(F.col("hi") == 0).alias("only_before"), F.count_if(F.col("lo") == 1).alias("only_after"), F.count("*").alias("all_paths"))
+
+
+@query(ERRORS + "SELECT rule, CAST(lhs AS BIGINT) AS lhs, CAST(rhs AS BIGINT) AS rhs, lhs > x * rhs AS fires FROM (SELECT count(*) FILTER (category = 'near_text') AS near, count(*) FILTER (category = 'far_text') AS far, count(*) FILTER (category = 'missing') AS missing, count(*) FILTER (category = 'extra') AS extra, count(*) FILTER (level = 2) AS heavy, count(*) FILTER (level = 0) AS clean FROM e), LATERAL (VALUES ('near_over_far', near, far, 1.5), ('missing_over_extra', missing, extra, 1.5), ('heavy_over_clean', heavy, clean, 3.0)) AS v(rule, lhs, rhs, x)")
+def verdict_rules(spark, sf):
+    c = F.col("category")
+    return G.verdicts(_errors(spark, sf).agg(F.count_if(c == "near_text").alias("near"), F.count_if(c == "far_text").alias("far"), F.count_if(c == "missing").alias("missing"), F.count_if(c == "extra").alias("extra"), F.count_if(F.col("level") == 2).alias("heavy"), F.count_if(F.col("level") == 0).alias("clean")))
+
+
+ASKED = ("project", "number", "name", "qty", "amount", "total")
+
+
+@query(V.BASE + "SELECT *, round(asked / total, 6) AS ceiling, round(tp / total, 6) AS recall, round(tp / asked, 6) AS attainment FROM (SELECT count(*) FILTER (field IN " + str(ASKED) + ") AS asked, count(*) AS total, count(*) FILTER (ok AND field IN " + str(ASKED) + ") AS tp FROM m WHERE gt IS NOT NULL)")
+def recall_ceiling_attainment(spark, sf):
+    asked = F.col("field").isin(*ASKED)
+    r = _matched(spark, sf).filter("gt IS NOT NULL").agg(F.count_if(asked).alias("asked"), F.count("*").alias("total"), F.count_if(F.col("ok") & asked).alias("tp"))
+    return r.withColumns({"ceiling": F.round(F.col("asked") / F.col("total"), 6), "recall": F.round(F.col("tp") / F.col("total"), 6), "attainment": F.round(F.col("tp") / F.col("asked"), 6)})
+
+
+@query(V.BASE + "SELECT round(count(*) / count(DISTINCT doc_id), 6) AS mean_keys, count(*) FILTER (field = 'extra') AS fabricated, round(count(*) FILTER (field = 'extra') / count(*), 6) AS share FROM pred")
+def fabrication_share(spark, sf):
+    x = F.count_if(F.col("field") == "extra")
+    return V.predicted(V.truth(spark, sf)).agg(F.round(F.count("*") / F.countDistinct("doc_id"), 6).alias("mean_keys"), x.alias("fabricated"), F.round(x / F.count("*"), 6).alias("share"))
+
+
+@query(V.BASE + f"SELECT grp, count(*) AS n FROM (SELECT {GROUP_SQL} AS grp FROM m WHERE NOT ok) GROUP BY 1")
+def path_group_histogram(spark, sf):
+    return _matched(spark, sf).filter(~F.col("ok")).groupBy(_group().alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query(TWO + "SELECT config, level, CAST(sum(tp) AS BIGINT) AS tp, count(*) FILTER (document_correct) AS docs_ok FROM (SELECT 'c0' AS config, * FROM s0 UNION ALL SELECT 'c1', * FROM s1) GROUP BY 1, 2")
+def experiment_ledger_rollup(spark, sf):
+    runs = [_scores(spark, sf, c).withColumn("config", F.lit(f"c{c}")) for c in (0, 1)]
+    return runs[0].unionByName(runs[1]).groupBy("config", "level").agg(F.sum("tp").cast("long").alias("tp"), F.count_if("document_correct").alias("docs_ok"))
+
+
+# Lexicons: part names, in upper case where the part's number is odd, so that spellings differ.
+SPELLED = "sp AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS value, p_name AS gt FROM part)"
+
+
+def _spelled(spark, sf) -> DataFrame:
+    p = V.table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("seq"), F.lit("name").alias("field"), F.when(F.col("p_partkey") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("value"), F.col("p_name").alias("gt"))
+
+
+@query("WITH " + SPELLED + ", c AS (SELECT lower(value) AS key, value, count(*) AS n, min(seq) AS first FROM sp GROUP BY 1, 2) SELECT 'name' AS field, key, arg_max(value, (n, -first)) AS canonical, CAST(sum(n) AS BIGINT) AS freq FROM c GROUP BY key")
+def lexicon_build(spark, sf):
+    return L.build(_spelled(spark, sf), F.lower("value"))
+
+
+@query("WITH " + SPELLED + " SELECT 'name' AS field, count(DISTINCT value) AS n_raw, count(DISTINCT lower(value)) AS n_norm FROM sp")
+def lexicon_sizes(spark, sf):
+    return L.sizes(_spelled(spark, sf), F.lower("value"))
+
+
+@query("WITH " + SPELLED + ", lex AS (SELECT DISTINCT lower(value) AS key FROM sp WHERE seq % 40 = 0), d AS (SELECT lower(value) AS key, count(*) AS n FROM sp WHERE seq % 40 <> 0 GROUP BY 1) SELECT 'name' AS field, CAST(sum(n) AS BIGINT) AS occurrences, CAST(coalesce(sum(n) FILTER (key IN (SELECT key FROM lex)), 0) AS BIGINT) AS covered, count(*) AS \"values\", count(*) FILTER (key IN (SELECT key FROM lex)) AS values_covered FROM d")
+def lexicon_coverage(spark, sf):
+    s = _spelled(spark, sf)
+    return L.coverage(L.build(s.filter("seq % 40 = 0"), F.lower("value")), s.filter("seq % 40 <> 0"), F.lower("value"))
+
+
+@query("WITH t AS (SELECT f, v, count(*) AS n FROM (SELECT 'brand' AS f, p_brand AS v FROM part UNION ALL SELECT 'type', p_type FROM part UNION ALL SELECT 'segment', c_mktsegment FROM customer) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS k FROM t) SELECT f AS field, round(count(*) / sum(n), 6) AS ratio, string_agg(v, '|' ORDER BY k) FILTER (k <= 3) AS top3 FROM r GROUP BY f")
+def lexicon_closedness(spark, sf):
+    one = lambda t, f, c: V.table(spark, sf, t).select(F.lit(f).alias("field"), F.col(c).alias("v"))
+    n = one("part", "brand", "p_brand").unionByName(one("part", "type", "p_type")).unionByName(one("customer", "segment", "c_mktsegment")).groupBy("field", "v").agg(F.count("*").alias("n"))
+    top = G.first_per(n, ["field"], [F.desc("n"), F.asc("v")], 3).groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x.v), "|").alias("top3"))
+    return n.groupBy("field").agg(F.round(F.count("*") / F.sum("n"), 6).alias("ratio")).join(top, "field")
+
+
+@query("WITH " + SPELLED + ", c AS (SELECT lower(value) AS key, value, count(*) AS n, min(seq) AS first FROM sp GROUP BY 1, 2), lex AS (SELECT key, arg_max(value, (n, -first)) AS canonical FROM c GROUP BY key), x AS (SELECT sp.*, coalesce(canonical, value) AS fixed FROM sp LEFT JOIN lex ON lower(sp.value) = lex.key) SELECT 'name' AS field, count(*) AS n, count(*) FILTER (value <> fixed) AS changed, count(*) FILTER (value <> fixed AND value <> gt AND fixed = gt) AS n_fixed, count(*) FILTER (value <> fixed AND value = gt AND fixed <> gt) AS broke, count(*) FILTER (value <> fixed AND value <> gt AND fixed <> gt) AS still_wrong FROM x")
+def lexicon_exact_correct(spark, sf):
+    s = _spelled(spark, sf)
+    return L.confusion(L.correct_exact(s, L.build(s, F.lower("value")), F.lower("value")))
+
+
+# Misread names: the first letter doubled.
+FUZZY = "lex AS (SELECT DISTINCT p_name AS entry FROM part), asked AS (SELECT DISTINCT left(p_name, 1) || p_name AS asked FROM part), t AS (SELECT asked, entry, 1 - levenshtein(asked, entry) / greatest(length(asked), length(entry)) AS sim FROM asked, lex), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY sim DESC, entry) AS k FROM t), b AS (SELECT asked, min(entry) FILTER (k = 1) AS best, round(max(sim), 6) AS sim, round(max(sim) - coalesce(max(sim) FILTER (k = 2), 0), 6) AS margin FROM r WHERE k <= 2 GROUP BY asked)"
+
+
+def _fuzzy(spark, sf, measure=None) -> DataFrame:
+    p = V.table(spark, sf, "part").select(F.lit("name").alias("field"), F.col("p_name").alias("key")).distinct()
+    asked = p.select("field", F.concat(F.substring("key", 1, 1), F.col("key")).alias("key"))
+    edits = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b))
+    found = L.best_two(asked, p, measure or edits)
+    return found.select("asked", "best", F.round("sim", 6).alias("sim"), F.round("margin", 6).alias("margin"))
+
+
+@query("WITH " + FUZZY + " SELECT * FROM b")
+def fuzzy_top2_margin(spark, sf):
+    return _fuzzy(spark, sf)
+
+
+@query()
+def fuzzy_ratio(spark, sf):
+    from ..functions.documents import similarity
+
+    return _fuzzy(spark, sf, similarity)
+
+
+LIMITS = (0.75, 0.8, 0.85, 0.9, 0.95)
+
+
+@query("WITH " + FUZZY + f", s AS (SELECT t AS threshold, count(*) FILTER (sim >= t) AS changed, count(*) FILTER (sim >= t AND best = substr(asked, 2)) AS fixed FROM b, (SELECT unnest({list(LIMITS)}) AS t) GROUP BY t) SELECT CAST(threshold AS DOUBLE) AS threshold, changed, fixed, changed - lag(changed) OVER (ORDER BY threshold DESC) AS d_changed, fixed - lag(fixed) OVER (ORDER BY threshold DESC) AS d_fixed FROM s")
+def threshold_marginal(spark, sf):
+    from pyspark.sql import Window
+
+    t = _fuzzy(spark, sf).withColumn("threshold", F.explode(F.array(*map(F.lit, LIMITS))))
+    s = t.groupBy("threshold").agg(F.count_if(F.col("sim") >= F.col("threshold")).alias("changed"), F.count_if((F.col("sim") >= F.col("threshold")) & (F.col("best") == F.expr("substr(asked, 2)"))).alias("fixed"))
+    w = Window.orderBy(F.desc("threshold"))  # a row per threshold
+    return s.withColumns({"d_changed": F.col("changed") - F.lag("changed").over(w), "d_fixed": F.col("fixed") - F.lag("fixed").over(w)})
+
+
+SPLIT = "g AS (SELECT DISTINCT o_orderkey // 3 AS stem FROM orders), r AS (SELECT stem, row_number() OVER (ORDER BY md5(stem || '|42'), stem) AS k, count(*) OVER () AS n FROM g), sp AS (SELECT stem, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.70) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS split FROM r)"
+
+
+def _split(spark, sf) -> DataFrame:
+    return P.group_split(V.table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 3").alias("stem")), "stem")
+
+
+@query("WITH " + SPLIT + " SELECT split, count(DISTINCT stem) AS n_stems, count(*) AS n_rows FROM orders JOIN sp ON o_orderkey // 3 = stem GROUP BY 1")
+def split_by_group(spark, sf):
+    return _split(spark, sf).groupBy("split").agg(F.countDistinct("stem").alias("n_stems"), F.count("*").alias("n_rows"))
+
+
+@query("WITH " + SPLIT + " SELECT count(*) AS overlap FROM (SELECT stem FROM sp GROUP BY stem HAVING count(DISTINCT split) > 1)")
+def leak_check(spark, sf):
+    return _split(spark, sf).groupBy("stem").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '|42'), event_id) AS k FROM events) WHERE k <= 34")
+def stratified_sample(spark, sf):
+    return P.stratified(V.table(spark, sf, "events").select("event_type", "event_id"), "event_type", ["event_id"], 34)
+
+
+@query("WITH g AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '|42'), user_id) AS k FROM g) SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM r WHERE k <= (SELECT greatest(1, round_even(count(*) * 0.1, 0)) FROM g))")
+def group_sample(spark, sf):
+    return P.sample_groups(V.table(spark, sf, "events").select("event_id", "user_id"), "user_id", 0.1)
+
+
+@query("SELECT user_id, arg_max(event_type, (value, -event_id)) AS chosen, arg_min(event_type, (value, -event_id)) AS rejected, max(value) AS reward_chosen, min(value) AS reward_rejected, count(*) AS n_samples FROM events GROUP BY 1 HAVING max(value) - min(value) >= 1")
+def preference_pairs(spark, sf):
+    return P.preference_pairs(V.table(spark, sf, "events"), "user_id", "value", "event_id", "event_type", 1.0)
+
+
+@query("SELECT CASE WHEN chosen = rejected THEN 'same' ELSE 'differs' END AS kind, count(*) AS n, round(avg(hi - lo), 4) AS mean_gap FROM (SELECT arg_max(event_type, (value, -event_id)) AS chosen, arg_min(event_type, (value, -event_id)) AS rejected, max(value) AS hi, min(value) AS lo FROM events GROUP BY user_id HAVING max(value) - min(value) >= 1) GROUP BY 1")
+def preference_quality(spark, sf):
+    pairs = preference_pairs(spark, sf)
+    return pairs.groupBy(F.when(F.col("chosen") == F.col("rejected"), "same").otherwise("differs").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("reward_chosen") - F.col("reward_rejected")), 4).alias("mean_gap"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) GROUP BY 1")
+def skip_processed_antijoin(spark, sf):
+    e = V.table(spark, sf, "events")
+    return P.remaining(e, e.filter("event_type = 'error'"), ["user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark) GROUP BY 1")
+def content_dedup_hash(spark, sf):
+    fresh = P.new_contents(V.table(spark, sf, "documents").select("doc_id", "text"), V.table(spark, sf, "benchmark"), "text")
+    return fresh.groupBy(F.col("_sha").alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT count(*) AS n, count(l.doc_id) AS matched, count(*) - count(l.doc_id) AS missed FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)")
+def labels_left_join_coverage(spark, sf):
+    first = P.first_or_last(V.table(spark, sf, "labels"), ["doc_id"], ["quality", "toxic"]).select(F.col("doc_id").alias("l"))
+    d = V.table(spark, sf, "documents").select("doc_id").join(first, F.col("doc_id") == F.col("l"), "left")
+    return d.agg(F.count("*").alias("n"), F.count("l").alias("matched"), (F.count("*") - F.count("l")).alias("missed"))
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def first_wins_vs_last_wins(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    first = P.first_or_last(c, ["conv_id"], ["turn"]).select("conv_id", F.col("role").alias("first_role"))
+    last = P.first_or_last(c, ["conv_id"], ["turn"], last=True).select("conv_id", F.col("role").alias("last_role"), F.col("turn").alias("last_turn"))
+    return first.join(last, "conv_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN k = 1 THEN role ELSE role || '#' || k END AS named FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)")
+def key_suffix_dedup(spark, sf):
+    return P.suffix_repeats(V.table(spark, sf, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "named")
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def chat_messages_nest(spark, sf):
+    m = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m"))
+    return m.select("conv_id", F.size("m").cast("long").alias("turns"), F.array_join(F.transform("m", lambda x: x.role), ">").alias("roles"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY 1")
+def json_props_extract(spark, sf):
+    e = V.table(spark, sf, "events").select("event_type", F.from_json("props", "k long").alias("p"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(list_sort(list(value))[count(*) // 2 + 1], 4) AS upper_median, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def stats_latency(spark, sf):
+    v = F.col("value")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type")
+    ranked = V.table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("_r"), F.count("*").over(w).alias("_n"))
+    upper = F.max(F.when(F.col("_r") == F.expr("_n div 2") + 1, v))
+    return ranked.groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.percentile(v, F.lit(0.95)), 4).alias("p95"), F.round(upper, 4).alias("upper_median"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+@query("WITH q AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN '00' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.500' WHEN 1 THEN '+' || CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 2 THEN '-0.0' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || 'e3' END AS t, l_linenumber % 4 AS k, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS i FROM lineitem) SELECT k, CASE k WHEN 0 THEN i || '.5' WHEN 1 THEN i WHEN 2 THEN '0' END AS canonical, count(*) AS n FROM q GROUP BY 1, 2")
+def quantity_grammar(spark, sf):
+    i = F.col("l_quantity").cast("int").cast("string")
+    k = F.col("l_linenumber") % 4
+    t = F.when(k == 0, F.concat(F.lit("00"), i, F.lit(".500"))).when(k == 1, F.concat(F.lit("+"), i)).when(k == 2, "-0.0").otherwise(F.concat(i, F.lit("e3")))
+    return V.table(spark, sf, "lineitem").select(k.alias("k"), S.canonical_number(t).alias("canonical")).groupBy("k", "canonical").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS canonical, count(*) AS n FROM orders GROUP BY 1")
+def date_canonical(spark, sf):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    t = F.when(k == 0, F.date_format(d, "yyyy-M-d")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.date_format(d, "yyyy.M.dd")).when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit("年"), F.date_format(d, "M"), F.lit("月"), F.date_format(d, "d"), F.lit("日"))).otherwise(F.date_format(d, "yyyy-MM/dd"))
+    return V.table(spark, sf, "orders").select(S.canonical_date(t).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(l_linenumber AS BIGINT) AS line, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS total FROM lineitem GROUP BY 1")
+def amount_canonical(spark, sf):
+    text = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    return V.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("line")).agg(F.sum(S.lenient_decimal(text)).cast("decimal(28,6)").alias("total"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, event_type, value, event_id % 100 AS x FROM events) SELECT a.event_id, min(b.x) AS next_x, count(b.x) AS n_right FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.x > a.x GROUP BY 1")
+def nearest_right_token(spark, sf):
+    from pyspark.sql import Window
+
+    e = V.table(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("x"))
+    w = Window.partitionBy("user_id").orderBy("x").rangeBetween(1, Window.unboundedFollowing)
+    return e.select("event_id", F.min("x").over(w).alias("next_x"), F.count("x").over(w).alias("n_right"))
+
+
+@query("SELECT CASE WHEN value < 10 THEN 0 WHEN value < 25 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events WHERE value NOT IN (10, 25, 50) GROUP BY 1")
+def interval_bucket(spark, sf):
+    edges = (float("-inf"), 10.0, 25.0, 50.0, float("inf"))
+    hits = F.filter(F.array(*(F.when((F.col("value") > a) & (F.col("value") < b), F.lit(i)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))), lambda x: x.isNotNull())
+    return V.table(spark, sf, "events").select(hits.alias("h")).filter(F.size("h") == 1).groupBy(F.col("h")[0].alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST((value > 10)::INT + (value > 25)::INT + (value > 50)::INT AS INT) AS boundaries, count(*) AS n FROM events GROUP BY 1")
+def boundary_count(spark, sf):
+    n = sum(((F.col("value") > b).cast("int") for b in (10, 25, 50)), F.lit(0))
+    return V.table(spark, sf, "events").groupBy(n.alias("boundaries")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, round(avg(ln(1 + exp(-0.1 * (value - 50)))), 6) AS loss, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(0.1 * (value - 50)), 6) AS margin FROM events GROUP BY 1")
+def dpo_loss_stats(spark, sf):
+    v = F.col("value")
+    return V.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(S.dpo_loss(v, F.lit(50.0))), 6).alias("loss"), F.round(F.avg((v > 50).cast("double")), 6).alias("accuracy"), F.round(F.avg(0.1 * (v - 50)), 6).alias("margin"))
+
+
+@query("SELECT step, round(CASE WHEN step < 10 THEN step / 10.0 ELSE 0.5 * (1 + cos(pi() * least(greatest((step - 10) / 90.0, 0), 1))) END, 6) AS scale FROM (SELECT unnest(range(0, 101)) AS step)")
+def lr_schedule(spark, sf):
+    return spark.range(101).select(F.col("id").alias("step"), F.round(S.lr_scale(F.col("id"), 10, 100), 6).alias("scale"))
+
+
+@query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS tokens, round(sum(n_chars * 0.8 + (n_chars // 4) * 2.0) / 1e6, 6) AS cost FROM documents GROUP BY 1")
+def token_cost(spark, sf):
+    return V.table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("tokens"), F.round(F.sum(F.col("n_chars") * 0.8 + F.expr("n_chars div 4") * 2.0) / 1e6, 6).alias("cost"))
+
+
+@query(ERRORS + ", f AS (SELECT field, count(*) AS errors FROM e WHERE field IN ('name', 'spec', 'unit') GROUP BY 1), h AS (SELECT 'name' AS field, 0.5 AS hit UNION ALL SELECT 'spec', 1.0 UNION ALL SELECT 'unit', 0.25) SELECT field, errors, CAST(hit AS DOUBLE) AS hit_rate, round(errors * hit, 4) AS bound FROM f JOIN h USING (field)")
+def lexicon_gain_bound(spark, sf):
+    hits = spark.createDataFrame([("name", 0.5), ("spec", 1.0), ("unit", 0.25)], "field string, hit_rate double")
+    errors = _errors(spark, sf).groupBy("field").agg(F.count("*").alias("errors"))
+    return errors.join(F.broadcast(hits), "field").select("field", "errors", "hit_rate", F.round(F.col("errors") * F.col("hit_rate"), 4).alias("bound"))
+
+
+@query("SELECT b AS bucket, count(*) AS n FROM (SELECT least(n_chars // 1000, 10) AS b FROM documents) GROUP BY 1")
+def bad_output_length_hist(spark, sf):
+    return V.table(spark, sf, "documents").groupBy(F.least(F.expr("n_chars div 1000"), F.lit(10).cast("long")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_tumbling_batch(spark, sf):
+    return V.table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed names of the document schema.
 DOC_TYPE, DOC_TYPE_VALUE = "单据类型", "材料清单"
@@ -270,7 +271,7 @@ def parse_udf(mode: str = "document", repair: bool = False):
     return parse
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip())
 
@@ -281,18 +282,18 @@ def normalized(text: Column | str) -> Column:
     return F.when(c.rlike("^[ -~]*$"), F.trim(c)).otherwise(nfkc(c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_udf(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_json)
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def leaves_udf(texts: pd.Series) -> pd.Series:
     out = []
     for t in texts:

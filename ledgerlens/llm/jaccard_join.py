@@ -1,7 +1,8 @@
 """Similarity join of documents on their word shingles, with signature trees.
 
 Sets that reach the similarity share one of their first shingles in any fixed order, so the sets under one such shingle
-form a group (the upper level of the tree, dealt out by Spark). Within a group a signature tree holds OR-combined bitmaps
+form a group (the upper level of the tree, dealt out by Spark); a set stays in a group only if another set there is of
+such a size, and stands so early, that the two may reach the similarity. Within a group a signature tree holds OR-combined bitmaps
 and size ranges, and a dual traversal prunes node pairs by the greatest overlap they may have. What is left is verified
 on the full sets. This is done twice: first along a spanning forest of each group's candidates, then for all candidates
 between different components of the links found so far; in the tree a node whose sets are all of one component is pruned
@@ -24,9 +25,11 @@ from .signature_tree import Leaf, candidates, forest
 #: Frequent shingles that are ordered last; any number of them gives the same links.
 MAX_FREQUENT = 200_000
 #: Sets of a group that one traversal takes at once; larger groups are dealt out as pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Bits of a bitmap for each element, rounded up to a power of two.
 MULT = 2
+#: A set of more groups than this doesn't carry their list, so its pairs may come from several groups.
+LISTED = 64
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -61,7 +64,10 @@ def _frequent(k: int, local: int = 3, room: int = 1_500_000):
 
 
 def _prefixes(k: int, percent: int, frequent):
-    """The first shingles of each set: rare ones in order of their hashes, then the frequent ones by how frequent they are."""
+    """The first shingles of each set: rare ones in order of their hashes, then the frequent ones by how frequent they are.
+
+    size: the set's, negative for shingles that only lead to sets that are no larger (the smaller of two sets shares one
+    of its first n - 2 * percent * n / (100 + percent) + 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
@@ -69,7 +75,7 @@ def _prefixes(k: int, percent: int, frequent):
         gate[often >> np.uint64(42)] = True
         for batch in batches:
             for first, last, found in _sets(batch, 1, k):
-                tokens, rows = [], []
+                tokens, rows, sizes = [], [], []
                 for r, s in enumerate(found, first):
                     n = len(s)
                     if not n:
@@ -86,8 +92,10 @@ def _prefixes(k: int, percent: int, frequent):
                             s = np.concatenate([s[rare], s[maybe[np.argsort(rank[at], kind="stable")]]])
                     tokens.append(s[:length])
                     rows.append(np.full(min(length, n), r))
+                    early = n - -(-2 * percent * n // (100 + percent)) + 1
+                    sizes.append(np.where(np.arange(min(length, n)) < early, n, -n))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), batch.column(0).take(pa.array(np.concatenate(rows)))], names=["token", "_key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32))], names=["token", "_key", "size"])
 
     return run
 
@@ -120,31 +128,45 @@ def _hashes(k: int):
 
 
 def _join_groups(percent: int, spanning: bool):
-    """Candidate pairs of each group; rows come sorted by group. Columns: gid, bi, bj, side, _key, n, bits, root."""
+    """Candidate pairs of each group; rows come sorted by group. Columns: gid, bi, bj, i, _key, n, bits, root, gids.
+
+    Blocks bi and bj of a group are joined with each other, or a block with itself. Of the groups that two sets share, the
+    first gives the pair."""
+
+    def work(group: tuple, rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        leaves = [Leaf(at, n, int.from_bytes(bits, "little"), 8 * len(bits), root) for at, (_, _, n, bits, root, _) in enumerate(rows)]
+        gid, bi, bj = group
+        if bi == bj:
+            found = candidates(leaves, percent)
+        else:
+            sides = [x for x, r in zip(leaves, rows, strict=True) if r[0] == bi], [x for x, r in zip(leaves, rows, strict=True) if r[0] == bj]
+            found = candidates(sides[0], percent, sides[1]) if all(sides) else []
+        if spanning:
+            pairs = forest(found)
+        else:
+            lists = {at: frozenset(rows[at][5]) for _, *pair in found for at in pair if rows[at][5]}
+            pairs = [(a, b) for _, a, b in found if a not in lists or b not in lists or min(lists[a] & lists[b]) == gid]
+        return [(min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])) for a, b in pairs]
 
-    def work(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        keys = [r[0] for r in rows]
-        leaves = [Leaf(i, n, int.from_bytes(bits, "little"), 8 * len(bits), root) for i, (_, n, bits, root) in enumerate(rows)]
-        found = candidates(leaves, percent)
-        pairs = forest(found) if spanning else [(a, b) for _, a, b in found]
-        return [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in pairs]
+    def pairs(out: set) -> pa.RecordBatch:
+        return pa.record_batch({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], set()
         for batch in batches:
             ids = list(zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj")), strict=True))
-            for g, row in zip(ids, zip(*(batch.column(c).to_pylist() for c in ("_key", "n", "bits", "root")), strict=True), strict=True):
+            for g, row in zip(ids, zip(*(batch.column(c).to_pylist() for c in ("i", "_key", "n", "bits", "root", "gids")), strict=True), strict=True):
                 if g != group:
                     if len(held) > 1:
-                        out.update(work(held))
+                        out.update(work(group, held))
                     group, held = g, []
                 held.append(row)
             if len(out) > 20_000:
-                yield pa.record_batch({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+                yield pairs(out)
                 out = set()
         if len(held) > 1:
-            out.update(work(held))
-        yield pa.record_batch({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+            out.update(work(group, held))
+        yield pairs(out)
 
     return run
 
@@ -158,24 +180,30 @@ def jaccard_links(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     order = np.argsort(code)
     shared = spark.sparkContext.broadcast((code[order], np.array(often.column("n").to_pylist(), dtype=np.int64)[order]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    firsts = rows.mapInArrow(_prefixes(k, percent, shared), "token long, _key binary").repartition(parts, "token").dropDuplicates(["token", "_key"])
+    firsts = rows.mapInArrow(_prefixes(k, percent, shared), "token long, _key binary, size int").repartition(parts, "token").dropDuplicates(["token", "_key"]).withColumn("n", F.abs("size"))
+    by_size = Window.partitionBy("token").orderBy("n", "_key")
+    smaller = F.last(F.when(F.col("size") > 0, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    larger = F.when(F.col("size") > 0, F.lead("n").over(by_size))
+    firsts = firsts.withColumns({"_s": smaller, "_l": larger}).filter((100 * F.col("_s") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("_l")))
     w = Window.partitionBy("token")
     firsts = firsts.select("token", "_key", F.count("*").over(w).alias("df"), F.min("_key").over(w).alias("lo"), F.bit_xor(F.xxhash64("_key", F.lit(1))).over(w).alias("x1"), F.bit_xor(F.xxhash64("_key", F.lit(2))).over(w).alias("x2")).filter("df > 1")
     # shingles with the same documents make one group
     groups = firsts.withColumn("gid", F.min("token").over(Window.partitionBy("df", "lo", "x1", "x2"))).filter("token = gid").select("gid", "_key", "df")
-    groups = checkpointed(groups)
+    groups = groups.groupBy("_key").agg(F.collect_list(F.struct("gid", "df")).alias("groups"))
     sizes = checkpointed(rows.mapInArrow(_signatures(k), "_key binary, n long, bits binary").dropDuplicates(["_key"]))
+    grouped = checkpointed(groups.join(sizes, "_key"))
     links, tested = None, None
     for spanning in (True, False):
-        members = groups.join(sizes, "_key")
+        members = grouped
         if links is None:
-            members = members.withColumn("root", F.lit(None).cast("binary"))
+            members = members.withColumns({"root": F.lit(None).cast("binary"), "gids": F.lit(None).cast("array<long>")})
         else:
             roots = components(links)
-            members = members.join(roots.select(F.col("node").alias("_key"), "root"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+            members = members.join(roots.select(F.col("node").alias("_key"), "root"), "_key", "left").withColumns({"root": F.coalesce("root", "_key"), "gids": F.when(F.size("groups") <= LISTED, F.col("groups.gid"))})
+        members = members.select("_key", "n", "bits", "root", "gids", F.inline("groups"))
         blocks = F.ceil(F.col("df") / BLOCK).cast("int")
         members = members.withColumn("_i", F.pmod(F.xxhash64("_key"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        members = members.select("gid", F.least("_i", "_j").alias("bi"), F.greatest("_i", "_j").alias("bj"), "_key", "n", "bits", "root")
+        members = members.select("gid", F.least("_i", "_j").alias("bi"), F.greatest("_i", "_j").alias("bj"), F.col("_i").alias("i"), "_key", "n", "bits", "root", "gids")
         members = members.repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
         pairs = members.mapInArrow(_join_groups(percent, spanning), "a binary, b binary").distinct()
         if tested is not None:

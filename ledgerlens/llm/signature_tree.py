@@ -68,11 +68,11 @@ def may_link(a, b, percent: int) -> bool:
     return most_overlap(a, b) >= need
 
 
-def candidates(leaves: list[Leaf], percent: int) -> list[tuple[int, int, int]]:
-    """(overlap bound, item, item) of all pairs of different groups that may reach the similarity, by dual traversal of one tree with itself."""
+def candidates(leaves: list[Leaf], percent: int, others: list[Leaf] | None = None) -> list[tuple[int, int, int]]:
+    """(overlap bound, item, item) of all pairs of different groups that may reach the similarity, by dual traversal of one tree with itself or with that of ``others``."""
     found = []
     root = build(leaves)
-    stack = [(root, root)]
+    stack = [(root, root if others is None else build(others))]
     while stack:
         a, b = stack.pop()
         if isinstance(a, Leaf) and isinstance(b, Leaf):

@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .shared import checkpointed
 
 #: Queues beyond the largest so many share the last one, so that the schedule is bounded whatever the sources are.
 MAX_QUEUES = 64
-#: Words whose ids a task keeps at once.
-CACHE = 150_000
+#: Words whose ids a worker keeps at once.
+CACHE = 300_000
 REST = "\x00rest"
 #: str.split() also parts at these, which tokenizers don't take for white space.
 UNSAFE = re.compile("[\x1c-\x1f]")
@@ -59,7 +60,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) > 2 * CACHE:
+            if len(self.pieces) > CACHE:
                 self.pieces.clear()
             found = self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
         return found
@@ -84,24 +85,32 @@ class Encoder:
             if len(self.known) > CACHE:  # words of the last generation that are still in use move on
                 self.known_before, self.known = self.known, {}
             get, known, before = self.known.get, self.known, self.known_before
-            parts = []
-            for w in WHITE.split(text) if text and UNSAFE.search(text) else text.split() if text else ():
-                x = get(w)
-                if x is None:
-                    x = before.get(w)
-                    known[w] = x = self.word(w) if x is None else x
-                parts.append(x)
-            parts.append(self.end)
+            own = WHITE.split(text) if text and UNSAFE.search(text) else text.split() if text else []
+            parts = [*map(get, own), self.end]
+            if None in parts:
+                for i, w in enumerate(own):
+                    if parts[i] is None:
+                        x = get(w)
+                        if x is None:
+                            x = before.get(w)
+                            known[w] = x = self.word(w) if x is None else x
+                        parts[i] = x
             out.append(b"".join(parts))
         return out
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker: what it has learned serves the worker's later tasks too."""
+    return Encoder(path, end_id)
+
+
 def _tokenise(path: str, end_id: int, queues: list):
     named = {q: i for i, q in enumerate(queues)}
     rest = len(queues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block = Encoder(path, end_id), TaskContext.get().partitionId()
+        encoder, block = worker_encoder(path, end_id), TaskContext.get().partitionId()
         width = len(encoder.end)
         before = [0] * (rest + 1)
         for batch in batches:

@@ -100,6 +100,13 @@ def words(raw: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndar
     return mix(code + (ends - starts).astype(np.uint64)), starts, np.searchsorted(starts, off)
 
 
+def span_hashes(raw: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes [first, past) of each span, as they are."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=total[1:])
+    return mix((total[past] - total[first]) * _power(_INVERSE, len(raw) + 1)[first] + (past - first).astype(np.uint64))
+
+
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, chunks, mix, signed
+from .arrays import U64, chunks, mix, signed, span_hashes
 from .shared import checkpointed
 
 GRAM = 64
@@ -84,7 +84,8 @@ def _occurrences(length: int):
                     row = np.searchsorted(off, lo + a, "right") - 1
                     back = a - off[row]
                     kept = batch.column(0).take(pa.array(row + first))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), kept, *(pa.array((x + back).astype(np.int32)) for x in (pos, lo, hi))], names=["gram", "_key", "pos", "lo", "hi"])
+                    cover = mix(span_hashes(raw[a:b], lo, hi + length) + (pos - lo).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), kept, *(pa.array((x + back).astype(np.int32)) for x in (pos, lo, hi)), pa.array(signed(cover))], names=["gram", "_key", "pos", "lo", "hi", "cover"])
 
     return run
 
@@ -251,16 +252,19 @@ def _index(length: int):
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``rows``: _id, _key (digest of the text), _text. The bytes [first, past) of texts, by _key, that are in repeated
     windows; copies of a text count as one text here."""
-    found = rows.select("_key", "_text").mapInArrow(_occurrences(length), "gram long, _key binary, pos int, lo int, hi int")
+    found = rows.select("_key", "_text").mapInArrow(_occurrences(length), "gram long, _key binary, pos int, lo int, hi int, cover long")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(parts, "gram").dropDuplicates(["gram", "_key", "pos", "lo"])
-    w = Window.partitionBy("gram")
-    code = F.xxhash64("_key", "pos")
-    found = found.withColumn("_a", F.min(code).over(w)).withColumn("_b", F.max(code).over(w)).filter("_a <> _b").select("gram", "_key", "pos", "lo", "hi")
-    by_text = found.groupBy("_key").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi")).alias("found"))
+    found = found.repartition(parts, "gram").dropDuplicates(["gram", "_key", "pos", "lo"]).withColumn("_code", F.xxhash64("_key", "pos", "lo"))
+    w, alike = Window.partitionBy("gram"), Window.partitionBy("gram", "cover")
+    found = found.withColumns({"_a": F.min("cover").over(w), "_b": F.max("cover").over(w), "_n": F.count("*").over(alike), "_first": F.min("_code").over(alike)})
+    found = found.select("gram", "_key", "pos", "lo", "hi", (F.col("_n") > 1).alias("twice"), ((F.col("_a") != F.col("_b")) & (F.col("_code") == F.col("_first"))).alias("stands"))
+    found = checkpointed(found.filter("twice OR stands"))
+    whole = found.filter("twice").select("_key", F.col("lo").cast("long").alias("first"), (F.col("hi") + length).cast("long").alias("past"))
+    by_text = found.filter("stands").groupBy("_key").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi")).alias("found"))
     texts = rows.join(by_text, "_key").dropDuplicates(["_key"]).select("_key", "_text", "found")
     contexts = texts.mapInArrow(_contexts(length), "gram long, _key binary, pos int, lo int, hi int, ctx binary")
-    return contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_index(length), "_key binary, first long, past long")
+    indexed = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_index(length), "_key binary, first long, past long")
+    return whole.unionByName(indexed)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

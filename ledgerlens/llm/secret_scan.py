@@ -78,7 +78,8 @@ def made_findings(spark, n: int = 6000) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("password=", "token = \"", "api_key: ", "secret="))), F.col("turn") + 1)
     positive = F.element_at(F.array(F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.concat(name, F.substring("h", 1, 18)), F.concat(name, F.substring("g", 1, 40)), F.concat(name, F.substring(mixed, 1, 24)), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(name, F.substring(mixed, 3, 14)), F.concat(F.lit("AKIA"), F.substring(upper, 5, 16)), F.concat(name, F.substring("h", 9, 32))), F.col("kind") + 1)
     negative = F.element_at(F.array(F.concat(name, F.lit("changeme"), F.pmod(F.xxhash64("h"), F.lit(100)).cast("string")), F.concat(name, F.lit("your_"), words), F.substring("h", 1, 40), F.concat(F.substring("h", 1, 8), F.lit("-"), F.substring("h", 9, 4), F.lit("-"), F.substring("h", 13, 4), F.lit("-"), F.substring("g", 1, 4), F.lit("-"), F.substring("g", 5, 12)), F.concat(words, F.lit("/"), other, F.lit("/page"), F.col("turn").cast("string")), F.concat(name, words), F.concat(F.lit("AKIA"), F.repeat(F.lit("X"), 7), F.lit("EXAMPLE00")), F.concat(name, F.repeat(F.lit("x"), 8), F.lit("123456"))), F.col("kind") + 1)
-    before = F.when(F.col("label") == 1, F.element_at(F.array(*map(F.lit, ("the account of ", "and then ", "set it to ", ""))), F.col("turn") + 1)).otherwise(F.element_at(F.array(*map(F.lit, ("commit ", "sha256 checksum ", "see the file ", "revision id "))), F.col("turn") + 1))
+    # what stands before tells digests, identifiers and paths, not placeholders from keys
+    before = F.when((F.col("label") == 1) | ~F.col("kind").isin(2, 3, 4), F.element_at(F.array(*map(F.lit, ("the account of ", "and then ", "set it to ", ""))), F.col("turn") + 1)).otherwise(F.element_at(F.array(*map(F.lit, ("commit ", "sha256 checksum ", "see the file ", "revision id "))), F.col("turn") + 1))
     return r.select(before.alias("before"), F.when(F.col("label") == 1, positive).otherwise(negative).alias("match"), F.lit("").alias("path"), "label")
 
 

@@ -12,6 +12,9 @@ from ledgerlens.llm.packing import default_tokenizer, pack
 from ledgerlens.llm.shared import stored
 from ledgerlens.llm.toxicity import learn_from, score_toxicity
 
+#: Near copies share 80 % of their five-word shingles; op10's own contract (four words, 85 %) binds only that query.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar rejects go. It learns from the labelled ones among ``docs``."""
@@ -24,8 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays; documents without words stay."""
-    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    """Of each component of similar documents (five-word shingles, 0.8) the one with the smallest id stays; documents without words stay."""
+    kept = jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
 
 

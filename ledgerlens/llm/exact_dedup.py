@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, free_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,10 +55,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     Rows meet by digest and identifier together, so the rows of a large group are spread over all tasks; of rows that
     repeat both, one stays."""
-    groups = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    kept = rows.join(groups, (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep")))
-    return kept.dropDuplicates(["_digest", "_keep"]).select(*(docs[c] for c in docs.columns))
+    digest, sha, kept_id = (free_name(docs, x) for x in ("_digest", "_sha", "_keep"))
+    groups = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
+    kept = rows.join(groups, (F.col(digest) == F.col(sha)) & F.col(id_col).eqNullSafe(F.col(kept_id)))
+    return kept.dropDuplicates([digest, kept_id]).drop(digest, sha, kept_id)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

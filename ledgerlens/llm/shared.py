@@ -26,6 +26,14 @@ def with_fields(df: DataFrame, **types: str) -> StructType:
     return StructType([*(StructField(f.name, f.dataType) for f in df.schema.fields), *more.fields])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded(df: DataFrame, most: int = 400_000) -> DataFrame:
     """``df``, computed once, with a hint to broadcast it if it has at most ``most`` rows; beyond that the join shuffles."""
     df = checkpointed(df)

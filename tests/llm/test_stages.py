@@ -67,3 +67,31 @@ def test_near_duplicates_against_all_pairs(spark, sf):
         expected = Counter(r for a, r in enumerate(rows) if not sets[a] or best[top[a]] == (r[0] is None, r[0] or 0))
         got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
         assert Counter((r[0], r[1]) for r in got) == expected
+
+
+def rows_with_odd_names(spark, rows):
+    schema = "doc_id long, text string, score string, _keep string, _gone string, _digest string, _sha string, predicted int, _row int"
+    return spark.createDataFrame([(i, t, f"s{k}", "k", "g", "d", "h", 7, k) for k, (i, t) in enumerate(rows)], schema)
+
+
+def test_stages_decide_by_id_and_text(spark, sf):
+    item = next(r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if len((r[0] or "").split()) > 12)
+    base, other, third = ([f"{c}{j}" for j in range(80)] for c in "pqr")
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    a, b, c = map(" ".join, (base, other, third))
+    made = [(None, a), (None, near(base)), (None, b), (5, c), (5, near(third)), (5, "alone " + a[::-1]), (None, f"x {item} y"), (9, f"z {item}"), (9, "a clean text of nine"), (None, " "), (None, ""), (3, near(other))]
+    docs = rows_with_odd_names(spark, made)
+
+    left = C.toxicity(spark, docs, sf)
+    assert left.columns == docs.columns and {(r["score"], r["predicted"]) for r in left.collect()} == {(f"s{k}", 7) for k in range(len(made))}
+    exact = C.exact_duplicates(spark, docs.unionByName(docs), sf)
+    assert exact.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in exact.collect()) == Counter(made)
+    clean = C.decontamination(spark, docs, sf)
+    assert clean.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(x for x in made if item not in x[1])
+
+    got = C.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert sum(kept[x] for x in made[:2]) == 1 and sum(kept[x] for x in made[3:5]) == 1  # one of each group, whatever its ids
+    assert not kept[made[2]] and kept[made[11]] == 1  # an id goes before null
+    assert all(kept[x] == 1 for x in (made[5], made[8], made[9], made[10]))

@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns of candidates: keys with a known beginning, values given to a name, and long runs of key characters.
-KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,64}"
-GIVEN = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>]{6,200}"
-LONG = r"(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{20,200}"
+# Values have no upper bound; possessive repeats keep a text of one long run linear.
+KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}"
+GIVEN = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*+[:=]\s*+[\"']?[^\s\"'<>]{6,}+"
+LONG = r"(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[0-9A-Za-z+/_=-]{20,}+"
 CANDIDATE = rf"(?i:{GIVEN})|\b(?:{KNOWN})\b|(?<![0-9A-Za-z+/_=-]){LONG}(?![0-9A-Za-z+/_=-])"
-NAMED = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+NAMED = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*+[:=]\s*+[\"']?"
 # Fixed words: of placeholders and samples, of names that carry secrets, and of what looks like a secret and is none.
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|change_me|your|xxxx|test|fake|redacted|none|null|todo|default|123456|abcdef|password|secret|insert|here|foobar"
 CARRIERS = "password|passwd|pwd|secret|token|key|auth|credential|login|bearer|access"
 HARMLESS = "sha1|sha256|md5|commit|checksum|digest|hash|uuid|revision|etag|build|version|integrity|image|file|id"
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "to_digit", "to_letter", "case_changes", "distinct", "longest_run", "vowel_share", "dictionary", "hex", "known_prefix", "named", "carrier_before", "harmless_before", "in_path", "uuid", "placeholder")
 CONTEXT = 60
+SYLLABLE = "[b-df-hj-np-tv-z]{0,2}[aeiouy]{1,2}[b-df-hj-np-tv-z]{0,2}"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -53,7 +55,7 @@ def with_features(rows: DataFrame) -> DataFrame:
     lower = F.lower(v)
     near = F.lower(F.concat_ws(" ", F.slice(F.reverse(F.split(F.col("before"), r"\s+")), 1, 3), F.regexp_extract("match", NAMED, 0)))
     runs = F.transform(F.regexp_extract_all(v, F.lit(r"(.)\1*"), F.lit(0)), lambda x: F.char_length(x))
-    words = F.aggregate(F.regexp_extract_all(lower, F.lit(r"(?:[b-df-hj-np-tv-z]{0,2}[aeiouy]{1,2}[b-df-hj-np-tv-z]{0,2}){2,}"), F.lit(0)), F.lit(0.0), lambda a, x: a + F.char_length(x))
+    words = F.aggregate(F.regexp_extract_all(lower, F.lit(f"(?=(?:{SYLLABLE}){{2}})(?:{SYLLABLE})++"), F.lit(0)), F.lit(0.0), lambda a, x: a + F.char_length(x))
     given = {
         "length": n, "digits": _count(v, "[0-9]") / n, "uppers": _count(v, "[A-Z]") / n, "lowers": _count(v, "[a-z]") / n, "others": _count(v, "[^0-9A-Za-z]") / n,
         "to_digit": _count(v, "(?<=[A-Za-z])(?=[0-9])") / n, "to_letter": _count(v, "(?<=[0-9])(?=[A-Za-z])") / n, "case_changes": _count(v, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,

@@ -27,7 +27,6 @@ from .shared import checkpointed
 MAX_QUEUES = 64
 #: Words whose ids a worker keeps at once.
 CACHE = 300_000
-REST = "\x00rest"
 #: str.split() also parts at these, which tokenizers don't take for white space.
 UNSAFE = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[ \t\n\x0b\f\r]+")
@@ -198,20 +197,24 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Each document's ids end with ``end_id``, so null and empty texts are one token. Null sources are a queue of their own;
-    the MAX_QUEUES - 1 largest sources have queues, further ones share one. ``targets`` gives sources proportions (others
+    the MAX_QUEUES - 1 largest sources have queues, further ones share one. ``targets`` gives up to MAX_QUEUES - 1 sources proportions, each with a queue of its own whatever its size (others
     0: they fill windows when the rest has run dry); by default each window holds the sources as the corpus does. Only
     the last sequence isn't full. Repeated rows are packed as often as they occur; null ids are kept. Documents of a
     queue follow each other in the order of the input's partitions. An empty table gives no rows."""
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), source.alias("_source"))
-    sizes = rows.groupBy("_source").agg(F.sum(F.octet_length("_text").cast("long")).alias("size")).orderBy(F.desc_nulls_last("size"), "_source").limit(MAX_QUEUES - 1).collect()
-    queues = [r["_source"] for r in sizes]
+    asked = list(targets or {})
+    if len(asked) > MAX_QUEUES - 1:
+        raise ValueError(f"{len(asked)} sources with targets; at most {MAX_QUEUES - 1}")
+    others = rows.filter(~F.when(F.col("_source").isNull(), F.lit(None in asked)).otherwise(F.col("_source").isin([q for q in asked if q is not None]))) if asked else rows
+    sizes = others.groupBy("_source").agg(F.sum(F.octet_length("_text").cast("long")).alias("size")).orderBy(F.desc_nulls_last("size"), "_source").limit(MAX_QUEUES - 1 - len(asked)).collect()
+    queues = [*asked, *(r["_source"] for r in sizes)]
     tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer_path, end_id, queues), f"_id {rows.schema['_id'].dataType.simpleString()}, block int, queue int, before long, n long, width int, ids binary"))
     blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("n"))
     totals = [0] * (len(queues) + 1)
     for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row per queue
         totals[r["queue"]] = int(r["n"])
-    wanted = [float((targets or {}).get(q, 0.0)) for q in [*queues, REST]] if targets else None
+    wanted = [*(float(targets.get(q, 0.0)) for q in queues), 0.0] if targets else None
     schedule = Schedule(totals, window, wanted)
     running = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("queue", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_first"))

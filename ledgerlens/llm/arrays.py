@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,3 +131,66 @@ def shingles(code: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def release() -> None:
+    """Gives memory that Arrow and the allocator keep for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, ending with ``release``: workers live on from task to task, so what one task took would stay beside the next one's."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+class Seen:
+    """Digests that a task has met, at most ``most`` at once: a text that a task holds a thousand times is worked on once.
+
+    What is met again after the set was emptied is worked on again, so callers drop repeats later."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.have = most, set()
+
+    def new(self, keys: list[bytes]) -> list[int]:
+        """Places of the keys that were not met before."""
+        if len(self.have) > self.most:
+            self.have.clear()
+        out = []
+        for i, key in enumerate(keys):
+            if key not in self.have:
+                self.have.add(key)
+                out.append(i)
+        return out
+
+
+class Filter:
+    """A set of digests as a bit array of at most 2**LOG bits: says yes to all that are in it, and to few others while it is sparse.
+
+    Its size is bounded whatever it holds; beyond some ten million digests it lets more and more through, and what reads it
+    must check again."""
+
+    LOG = 27
+
+    def __init__(self, words: np.ndarray, bits: np.ndarray):
+        self.words = np.zeros(1 << (self.LOG - 6), np.uint64)
+        self.words[words] = bits
+
+    @classmethod
+    def places(cls, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word and bit of each digest, of which the first eight bytes are read."""
+        x = np.frombuffer(b"".join([k[:8] for k in keys]), "<u8") >> U64(64 - cls.LOG)
+        return (x >> U64(6)).astype(np.int64), U64(1) << (x & U64(63))
+
+    def has(self, keys: list[bytes]) -> np.ndarray:
+        at, bit = self.places(keys)
+        return (self.words[at] & bit) != 0

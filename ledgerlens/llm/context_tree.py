@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, SPACED, chunks, signed, words
+from .arrays import LOWER, SPACED, chunks, lean, signed, words
 from .sampling import crc_mod
 from .shared import checkpointed, text_bytes
 
@@ -290,18 +290,18 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     counted = "kind byte, block int, key long, n long"
     whole = rows.withColumn("block", F.lit(0))
     near = F.shiftrightunsigned("key", 8 * (depth - TOP + 1))
-    contexts = whole.mapInArrow(_counts(depth, (0,)), counted).groupBy("key").agg(F.sum("n").alias("n")).withColumn("near", near)
+    contexts = whole.mapInArrow(lean(_counts(depth, (0,))), counted).groupBy("key").agg(F.sum("n").alias("n")).withColumn("near", near)
     contexts = checkpointed(contexts.repartition(parts, "near").sortWithinPartitions("near"))
-    vocabulary = whole.filter("train").mapInArrow(_counts(depth, (1,)), counted).groupBy("key").agg(F.sum("n").alias("n")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
+    vocabulary = whole.filter("train").mapInArrow(lean(_counts(depth, (1,))), counted).groupBy("key").agg(F.sum("n").alias("n")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     n_train = rows.filter("train").count()
     n, v = (vocabulary["n"] or 0) + n_train, vocabulary["v"] + (n_train > 0)
-    upper = contexts.mapInArrow(_level_two(depth), "node long, zeros double, ones double, weighted double").toArrow()
+    upper = contexts.mapInArrow(lean(_level_two(depth)), "node long, zeros double, ones double, weighted double").toArrow()
     columns = [upper.column(c).to_numpy() for c in ("node", "zeros", "ones", "weighted")]
     shares = spark.sparkContext.broadcast(root_shares(columns[0].view(np.uint64), *columns[1:]))
-    values = contexts.mapInArrow(_key_scores(depth, shares), "key long, value double").withColumn("kind", F.lit(0).cast("byte"))
+    values = contexts.mapInArrow(lean(_key_scores(depth, shares)), "key long, value double").withColumn("kind", F.lit(0).cast("byte"))
     blocks = max(1, -(-text_bytes(rows, "text") // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id", F.xxhash64("text")), F.lit(blocks)).cast("int")).repartition(max(parts, min(blocks, 4096)), "block")
-    asked = dealt.sortWithinPartitions("block").mapInArrow(_counts(depth, (0, 1)), counted).repartition(parts, "kind", "key")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(lean(_counts(depth, (0, 1))), counted).repartition(parts, "kind", "key")
     counts = asked.withColumn("c", F.sum("n").over(Window.partitionBy("kind", "key")))
     answered = counts.join(values, ["kind", "key"], "left").select("block", "kind", "key", F.coalesce("value", F.col("c").cast("double")).alias("value"))
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score_block(depth), f"_id {id_type}, train boolean, log_p double, log_c double, known long, n_words long, n_symbols long")

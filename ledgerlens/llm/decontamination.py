@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, chunks, signed, words
+from .arrays import ALNUM, chunks, lean, signed, words
 from .shared import checkpointed
 
 #: Benchmark words in a block: what is broadcast of a block is bounded by it.
@@ -112,7 +112,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: in
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
-    item_words = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(_item_words, "item string, codes array<long>")
+    item_words = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(lean(_item_words), "item string, codes array<long>")
     item_words = checkpointed(item_words)
     size = item_words.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_WORDS))
@@ -121,7 +121,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: in
         mine = item_words.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow()
         codes, windows = _plan_windows(list(zip(mine.column(0).to_pylist(), mine.column(1).to_pylist(), strict=True)), n)
         vocabulary = Vocabulary(codes)
-        counted = rows.select("_text").mapInArrow(_count_terms(spark.sparkContext.broadcast(vocabulary)), "term int, n long") if len(codes) else None
+        counted = rows.select("_text").mapInArrow(lean(_count_terms(spark.sparkContext.broadcast(vocabulary))), "term int, n long") if len(codes) else None
         df = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()} if counted is not None else {}
         by_anchor: dict[int, list[frozenset[int]]] = {}
         plan = []
@@ -133,7 +133,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: in
                 plan.append((len(plan), terms[order[0]], [(terms[j], j) for j in order], len(terms), sorted(names)))
         anchors = np.zeros(len(codes) + 1, bool)
         anchors[list(by_anchor)] = True
-        scanned = checkpointed(rows.mapInArrow(_postings(spark.sparkContext.broadcast((vocabulary, by_anchor, anchors))), f"_id {id_type}, _key binary, n_words long, postings map<int, array<int>>"))
+        scanned = checkpointed(rows.mapInArrow(lean(_postings(spark.sparkContext.broadcast((vocabulary, by_anchor, anchors)))), f"_id {id_type}, _key binary, n_words long, postings map<int, array<int>>"))
         base = scanned.select("_id", "_key", "n_words") if base is None else base
         table = spark.createDataFrame(plan, "window int, anchor int, terms array<struct<term:int, j:int>>, width int, names array<string>")
         index = scanned.filter(F.col("postings").isNotNull()).groupBy("_key").agg(F.first("postings").alias("postings"))

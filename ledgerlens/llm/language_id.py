@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import lean
 from .sampling import crc_mod, per_label_sample
 from .shared import with_fields
 
@@ -139,7 +140,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     langs = sorted(counts)
     if not langs:
         return BackoffModel([], {}, {}, max_n)
-    terms = sample.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(_count(langs, max_n), "term string, lang_at int, n long")
+    terms = sample.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(lean(_count(langs, max_n)), "term string, lang_at int, n long")
     table = terms.groupBy("term", "lang_at").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang_at", "n"))).alias("by"))
     table = table.filter(F.col("all") >= min_count)
     is_word = F.substring("term", 1, 1) == "w"
@@ -168,7 +169,7 @@ def predict_language(docs: DataFrame, model: BackoffModel, text_col: str = "text
             names, scores = reader.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(run, with_fields(rest, lang_pred="string", score="double"))
+    return rest.mapInArrow(lean(run), with_fields(rest, lang_pred="string", score="double"))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

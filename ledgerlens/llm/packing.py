@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import lean
 from .shared import checkpointed
 
 #: Queues beyond the largest so many share the last one, so that the schedule is bounded whatever the sources are.
@@ -209,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     others = rows.filter(~F.when(F.col("_source").isNull(), F.lit(None in asked)).otherwise(F.col("_source").isin([q for q in asked if q is not None]))) if asked else rows
     sizes = others.groupBy("_source").agg(F.sum(F.octet_length("_text").cast("long")).alias("size")).orderBy(F.desc_nulls_last("size"), "_source").limit(MAX_QUEUES - 1 - len(asked)).collect()
     queues = [*asked, *(r["_source"] for r in sizes)]
-    tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer_path, end_id, queues), f"_id {rows.schema['_id'].dataType.simpleString()}, block int, queue int, before long, n long, width int, ids binary"))
+    tokens = checkpointed(rows.mapInArrow(lean(_tokenise(tokenizer_path, end_id, queues)), f"_id {rows.schema['_id'].dataType.simpleString()}, block int, queue int, before long, n long, width int, ids binary"))
     blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("n"))
     totals = [0] * (len(queues) + 1)
     for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row per queue
@@ -220,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     starts = blocks.select("queue", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_first"))
     placed = tokens.join(starts, ["block", "queue"]).select("_id", "queue", (F.col("_first") + F.col("before")).alias("at"), "n", "width", "ids")
     kind = rows.schema["_id"].dataType.simpleString()
-    out = placed.mapInArrow(_cut(schedule), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
+    out = placed.mapInArrow(lean(_cut(schedule)), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
     return out.withColumnRenamed("_id", id_col)
 
 

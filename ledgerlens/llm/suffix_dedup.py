@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, chunks, mix, signed, span_hashes
+from .arrays import U64, chunks, lean, mix, signed, span_hashes
 from .shared import checkpointed
 
 GRAM = 64
@@ -252,7 +252,7 @@ def _index(length: int):
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``rows``: _id, _key (digest of the text), _text. The bytes [first, past) of texts, by _key, that are in repeated
     windows; copies of a text count as one text here."""
-    found = rows.select("_key", "_text").mapInArrow(_occurrences(length), "gram long, _key binary, pos int, lo int, hi int, cover long")
+    found = rows.select("_key", "_text").mapInArrow(lean(_occurrences(length)), "gram long, _key binary, pos int, lo int, hi int, cover long")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "gram").dropDuplicates(["gram", "_key", "pos", "lo"]).withColumn("_code", F.xxhash64("_key", "pos", "lo"))
     w, alike = Window.partitionBy("gram"), Window.partitionBy("gram", "cover")
@@ -262,8 +262,8 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     whole = found.filter("twice").select("_key", F.col("lo").cast("long").alias("first"), (F.col("hi") + length).cast("long").alias("past"))
     by_text = found.filter("stands").groupBy("_key").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi")).alias("found"))
     texts = rows.join(by_text, "_key").dropDuplicates(["_key"]).select("_key", "_text", "found")
-    contexts = texts.mapInArrow(_contexts(length), "gram long, _key binary, pos int, lo int, hi int, ctx binary")
-    indexed = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_index(length), "_key binary, first long, past long")
+    contexts = texts.mapInArrow(lean(_contexts(length)), "gram long, _key binary, pos int, lo int, hi int, ctx binary")
+    indexed = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(lean(_index(length)), "_key binary, first long, past long")
     return whole.unionByName(indexed)
 
 

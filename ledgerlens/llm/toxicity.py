@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import lean
 from .sampling import crc_mod, per_label_sample
 from .shared import with_fields
 
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     # the log odds' lower end: two standard errors below, so that lexemes of few documents need more of a contrast
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)) - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     table = (
-        rows.mapInArrow(_lexemes(stems), "lexeme string, label int, n long")
+        rows.mapInArrow(lean(_lexemes(stems)), "lexeme string, label int, n long")
         .groupBy("lexeme").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
         .filter(F.col("a") >= max(min_docs, min_share * n1)).withColumn("odds", odds).filter(F.col("odds") >= min_odds)
         .orderBy(F.desc("odds"), F.desc("a"), "lexeme").limit(max_lexemes)
@@ -210,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             f = [shared.value.features(t, cache).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], names=["f", "label"])
 
-    measured = rows.mapInArrow(measure, "f array<double>, label int").toArrow()
+    measured = rows.mapInArrow(lean(measure), "f array<double>, label int").toArrow()
     x, y = np.array(measured.column("f").to_pylist()).reshape(-1, len(FEATURES)), np.array(measured.column("label").to_pylist())
     if len(set(y.tolist())) == 2:
         grammar.coefficients = _logistic(x, y)
@@ -234,7 +235,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
             p = g.probability(np.array(f).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
-    return rest.mapInArrow(run, with_fields(rest, score="double", predicted="int"))
+    return rest.mapInArrow(lean(run), with_fields(rest, score="double", predicted="int"))
 
 
 def learn_from(spark, sf_dir: str, docs: DataFrame) -> Grammar:

@@ -147,7 +147,7 @@ def _join_groups(percent: int, spanning: bool):
             if spanning and other:
                 found += candidates(other, percent)
         if spanning:
-            pairs = forest(found)
+            pairs = forest(found, [r[1] for r in rows])
         else:
             lists = {at: frozenset(rows[at][5]) for _, *pair in found for at in pair if rows[at][5]}
             pairs = [(a, b) for _, a, b in found if a not in lists or b not in lists or min(lists[a] & lists[b]) == gid]

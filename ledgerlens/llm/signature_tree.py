@@ -89,8 +89,9 @@ def candidates(leaves: list[Leaf], percent: int, others: list[Leaf] | None = Non
     return found
 
 
-def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The pairs of a spanning forest that takes the highest bounds first."""
+def forest(pairs: list[tuple[int, int, int]], names: list[int]) -> list[tuple[int, int]]:
+    """The pairs of a spanning forest that takes the highest bounds first, then the least ``names``: groups that share sets
+    choose the same pairs."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -99,7 +100,7 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
         return x
 
     kept = []
-    for _, a, b in sorted(pairs, key=lambda p: -p[0]):
+    for _, a, b in sorted(pairs, key=lambda p: (-p[0], min(names[p[1]], names[p[2]]), max(names[p[1]], names[p[2]]))):
         if (x := top(a)) != (y := top(b)):
             parent[x] = y
             kept.append((a, b))

@@ -248,6 +248,14 @@ def _key_scores(depth: int, shares):
     return run
 
 
+def _look_up(codes: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The value of each key; in order of the keys the search reads the sorted codes from one end to the other."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys))
+    out[order] = values[np.searchsorted(codes, keys[order])]
+    return out
+
+
 def _score_block(depth: int):
     """The texts of a block and the values of all keys in them."""
 
@@ -263,9 +271,9 @@ def _score_block(depth: int):
         out = []
         for first, last, raw, off in chunks(texts.column("text")):
             key, at = context_keys(raw, off, depth)
-            sums = np.add.reduceat(tables[0][1][np.searchsorted(tables[0][0], key)], at[:-1])
+            sums = np.add.reduceat(_look_up(*tables[0], key), at[:-1])
             word, _, wat = words(raw, off, SPACED)
-            c = tables[1][1][np.searchsorted(tables[1][0], word)] if len(word) else np.zeros(0)
+            c = _look_up(*tables[1], word) if len(word) else np.zeros(0)
             csum = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5))])
             known = np.concatenate([[0], np.cumsum(c > 0)])
             out.append((first, last, sums, csum[wat[1:]] - csum[wat[:-1]], known[wat[1:]] - known[wat[:-1]], np.diff(wat), np.diff(at)))

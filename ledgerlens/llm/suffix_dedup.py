@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, chunks, lean, mix, signed, span_hashes
+from .arrays import U64, Seen, chunks, lean, mix, signed, span_hashes
 from .shared import checkpointed
 
 GRAM = 64
@@ -73,7 +73,9 @@ def minimizers(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
+            batch = batch.take(pa.array(seen.new(batch.column(0).to_pylist()), pa.int64()))
             for first, last, raw, off in chunks(batch.column(1)):
                 ends = np.repeat(off[1:], np.diff(off))
                 for a in range(0, max(1, len(raw)), SEGMENT):

@@ -121,7 +121,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: in
         mine = item_words.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow()
         codes, windows = _plan_windows(list(zip(mine.column(0).to_pylist(), mine.column(1).to_pylist(), strict=True)), n)
         vocabulary = Vocabulary(codes)
-        counted = rows.select("_text").mapInArrow(lean(_count_terms(spark.sparkContext.broadcast(vocabulary))), "term int, n long") if len(codes) else None
+        terms_sent = spark.sparkContext.broadcast(vocabulary)
+        counted = rows.select("_text").mapInArrow(lean(_count_terms(terms_sent)), "term int, n long") if len(codes) else None
         df = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()} if counted is not None else {}
         by_anchor: dict[int, list[frozenset[int]]] = {}
         plan = []
@@ -133,7 +134,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: in
                 plan.append((len(plan), terms[order[0]], [(terms[j], j) for j in order], len(terms), sorted(names)))
         anchors = np.zeros(len(codes) + 1, bool)
         anchors[list(by_anchor)] = True
-        scanned = checkpointed(rows.mapInArrow(lean(_postings(spark.sparkContext.broadcast((vocabulary, by_anchor, anchors)))), f"_id {id_type}, _key binary, n_words long, postings map<int, array<int>>"))
+        plan_sent = spark.sparkContext.broadcast((vocabulary, by_anchor, anchors))
+        scanned = checkpointed(rows.mapInArrow(lean(_postings(plan_sent)), f"_id {id_type}, _key binary, n_words long, postings map<int, array<int>>"))
+        terms_sent.unpersist()
+        plan_sent.unpersist()
         base = scanned.select("_id", "_key", "n_words") if base is None else base
         table = spark.createDataFrame(plan, "window int, anchor int, terms array<struct<term:int, j:int>>, width int, names array<string>")
         index = scanned.filter(F.col("postings").isNotNull()).groupBy("_key").agg(F.first("postings").alias("postings"))

@@ -1,9 +1,10 @@
-"""Exact deduplication by a tree-merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every document becomes a run entry (digest, byte length, id, count). Runs meet in binomial rounds: in each round
-``fan_in`` neighbouring runs are merged into one, and for each digest the merge keeps one identifier and the number of
-rows. After the last round one run is left. Before the first exchange each task has merged its own rows (map-side
-combine), so a group that holds a third of all rows sends one entry per task and run."""
+Each partition of the input is a run: its entries (digest, length, second digest, identifier, count), merged among
+themselves and cut into slices by leading digest bits. Runs meet in binomial rounds: in each, ``fan_in`` neighbouring runs
+become one; for every slice their entries are brought to one task, sorted, and entries that agree in digest, length and
+second digest merge into one that retains the identifier to keep. A group that holds a third of all rows sends one
+entry per partition into the first round and one per run into each further one."""
 
 from __future__ import annotations
 
@@ -25,41 +26,73 @@ def normalised(text: Column | str) -> Column:
     return F.when((F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[^\x00-\x7F\p{Ll}]"), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def merge_runs(entries: DataFrame, keys: list[str], fan_in: int = 8, runs: int = 64, keep: str = "largest") -> DataFrame:
-    """Merges entries (keys, _id, _n, _run with 0 <= _run < runs) into one row per key: keys, _id, _n.
+#: What must agree for two texts to be taken for equal.
+DIGESTS = ("text_sha256", "_len", "_check")
+#: Groups with more than this share of all rows are joined back by broadcast: there are at most so many.
+HOT_SHARE = 4096
 
-    ``keep``: which identifier each level retains, "smallest" or "largest". Null identifiers stay only if a key has no other."""
+
+def merge_round(runs: DataFrame, fan_in: int, parts: int, keep: str) -> DataFrame:
+    """One round: runs (DIGESTS, _run, _slice, _id, _n) of which ``fan_in`` neighbours become one.
+
+    ``keep``: which identifier the merged entry retains, "smallest" or "largest". Null identifiers stay only if there is no other."""
+    best = F.max if keep == "largest" else F.min
+    met = runs.withColumn("_run", F.expr(f"_run div {fan_in}")).repartition(parts, "_run", "_slice").sortWithinPartitions("_run", "_slice", *DIGESTS)
+    return met.groupBy("_run", "_slice", *DIGESTS).agg(best("_id").alias("_id"), F.sum("_n").alias("_n"))
+
+
+def merge_runs(entries: DataFrame, runs: int, fan_in: int = 8, keep: str = "largest", slices: int = 256) -> DataFrame:
+    """Entries (DIGESTS, _id, _run with 0 <= _run < runs) as one row per distinct text: DIGESTS, _id, _n."""
     best = F.max if keep == "largest" else F.min
-    for _ in range(max(1, math.ceil(math.log(max(2, runs), fan_in)))):
-        entries = entries.groupBy(*keys, "_run").agg(best("_id").alias("_id"), F.sum("_n").alias("_n")).withColumn("_run", F.expr(f"_run div {fan_in}"))
-    return entries.groupBy(*keys).agg(best("_id").alias("_id"), F.sum("_n").alias("_n"))
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece = F.pmod(F.conv(F.substring("text_sha256", 1, 4), 16, 10).cast("int"), F.lit(slices))
+    # a run's own entries merge before anything is sent: the partial aggregation of each partition
+    merged = entries.withColumn("_slice", piece).groupBy("_run", "_slice", *DIGESTS).agg(best("_id").alias("_id"), F.count("*").alias("_n"))
+    for _ in range(max(1, math.ceil(math.log(max(2, runs), fan_in) - 1e-9))):
+        merged = merge_round(merged, fan_in, parts, keep)
+    return merged.select(*DIGESTS, "_id", "_n")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, runs: int = 64, keep: str = "largest") -> DataFrame:
+def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id and DIGESTS of each row, and _run, its partition; texts are read and hashed once."""
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"))
+    return checkpointed(rows.select("_id", F.sha2("_t", 256).alias("text_sha256"), F.octet_length("_t").alias("_len"), F.xxhash64("_t").alias("_check"), F.spark_partition_id().alias("_run")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, keep: str = "largest") -> DataFrame:
     """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their normalised forms have the same SHA-256 and the same length in bytes (the verification of
-    a digest match). Null text counts as empty, and empty texts are one group. Rows that
+    Texts are equal when their normalised forms have the same SHA-256, the same length in bytes and the same second,
+    independent digest. Null text counts as empty, and empty texts are one group. Rows that
     repeat both id and text can't be told apart, so each of them gets the same values. Rows with a null id are kept only if their group has no
     other id (keep_id is then null). Other columns of ``docs`` are ignored, whatever their names. An empty table gives
     an empty result."""
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t")).select("_id", F.sha2("_t", 256).alias("text_sha256"), F.octet_length("_t").alias("_len"))
-    rows = checkpointed(rows)  # texts are read and hashed once
-    entries = rows.select("text_sha256", "_len", "_id", F.lit(1).cast("long").alias("_n"), F.pmod(F.xxhash64("_id"), F.lit(runs)).cast("int").alias("_run"))
-    kept = merge_runs(entries, ["text_sha256", "_len"], fan_in, runs, keep).select("text_sha256", "_len", F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"))
-    return rows.join(kept, ["text_sha256", "_len"], "inner").select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = _digested(docs, id_col, text_col)
+    size = rows.agg(F.max("_run").alias("runs"), F.count("*").alias("n")).first()
+    kept = checkpointed(merge_runs(rows, (size["runs"] or 0) + 1, fan_in, keep).select(*DIGESTS, F.col("_id").alias("keep_id"), F.col("_n").alias("group_size")))
+    is_hot = F.col("group_size") * HOT_SHARE > size["n"]  # at most HOT_SHARE groups, whatever the table holds
+    # their rows stay where they are; all others meet by digest, and no task gets more than one part in HOT_SHARE of one group
+    hot = kept.filter(is_hot & (F.col("group_size") > 1))
+    named = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(DIGESTS), "left")
+    cold = rows.join(F.broadcast(hot.select(*DIGESTS)), list(DIGESTS), "left_anti").join(kept.filter(~(is_hot & (F.col("group_size") > 1))), list(DIGESTS))
+    columns = [F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    return named.filter("_hot").select(*columns).unionByName(cold.select(*columns))
+
+
+def _row_name(identifier: Column, sha: Column) -> Column:
+    """Identifier and digest in one string, never null."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), identifier.cast("string")), F.lit("-")), F.lit("/"), sha)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts, as ``exact_dedup`` decides.
 
-    Rows meet by digest and identifier together, so the rows of a large group are spread over all tasks; of rows that
-    repeat both, one stays."""
-    digest, sha, kept_id = (free_name(docs, x) for x in ("_digest", "_sha", "_keep"))
-    groups = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(sha)).distinct()
-    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
-    kept = rows.join(groups, (F.col(digest) == F.col(sha)) & F.col(id_col).eqNullSafe(F.col(kept_id)))
-    return kept.dropDuplicates([digest, kept_id]).drop(digest, sha, kept_id)
+    Rows meet their decision by identifier and digest together, in one shuffle, and the rows of a large group are spread
+    over all tasks; of rows that repeat both, one stays."""
+    name = free_name(docs, "_row")
+    stay = exact_dedup(docs, id_col, text_col, keep=keep).filter("kept").select(_row_name(F.col(id_col), F.col("text_sha256")).alias(name))
+    rows = docs.withColumn(name, _row_name(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
+    return rows.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .arrays import lean
 from .shared import checkpointed
 
-#: Queues beyond the largest so many share the last one, so that the schedule is bounded whatever the sources are.
-MAX_QUEUES = 64
+#: The schedule has at most so many queues. Sources beyond that share the last one, in which they are interleaved by their
+#: places, so each of them keeps its share there.
+MAX_QUEUES = 1024
+#: Tokens of a bucket of the shared queue, and the most buckets; a bucket is ordered by one task.
+BUCKET_TOKENS, MAX_BUCKETS = 1_000_000, 65_536
 #: Words whose ids a worker keeps at once.
-CACHE = 300_000
+CACHE = 200_000
 #: str.split() also parts at these, which tokenizers don't take for white space.
 UNSAFE = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[ \t\n\x0b\f\r]+")
@@ -105,26 +108,24 @@ def worker_encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def _tokenise(path: str, end_id: int, queues: list):
-    named = {q: i for i, q in enumerate(queues)}
-    rest = len(queues)
+def _tokenise(path: str, end_id: int):
+    """Ids of each document, and the tokens of its source that the task had before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = worker_encoder(path, end_id), TaskContext.get().partitionId()
         width = len(encoder.end)
-        before = [0] * (rest + 1)
+        before: dict[str | None, int] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 ids = encoder.encode(part.column(1).to_pylist())
-                queue = [named.get(s, rest) for s in part.column(2).to_pylist()]
                 at = []
-                for q, x in zip(queue, ids, strict=True):
-                    at.append(before[q])
-                    before[q] += len(x) // width
+                for source, x in zip(part.column(2).to_pylist(), ids, strict=True):
+                    at.append(before.get(source, 0))
+                    before[source] = at[-1] + len(x) // width
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([block] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
-                    names=["_id", "block", "queue", "before", "n", "width", "ids"],
+                    [part.column(0), part.column(2), pa.array([block] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
+                    names=["_id", "_source", "block", "before", "n", "width", "ids"],
                 )
 
     return run
@@ -198,33 +199,49 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Each document's ids end with ``end_id``, so null and empty texts are one token. Null sources are a queue of their own;
-    the MAX_QUEUES - 1 largest sources have queues, further ones share one. ``targets`` gives up to MAX_QUEUES - 1 sources proportions, each with a queue of its own whatever its size (others
+    the MAX_QUEUES - 1 largest sources have queues, further ones share one, interleaved by their places. ``targets`` gives up to MAX_QUEUES - 1 sources proportions, each with a queue of its own whatever its size (others
     0: they fill windows when the rest has run dry); by default each window holds the sources as the corpus does. Only
     the last sequence isn't full. Repeated rows are packed as often as they occur; null ids are kept. Documents of a
     queue follow each other in the order of the input's partitions. An empty table gives no rows."""
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), source.alias("_source"))
+    kind = rows.schema["_id"].dataType.simpleString()
     asked = list(targets or {})
     if len(asked) > MAX_QUEUES - 1:
         raise ValueError(f"{len(asked)} sources with targets; at most {MAX_QUEUES - 1}")
-    others = rows.filter(~F.when(F.col("_source").isNull(), F.lit(None in asked)).otherwise(F.col("_source").isin([q for q in asked if q is not None]))) if asked else rows
-    sizes = others.groupBy("_source").agg(F.sum(F.octet_length("_text").cast("long")).alias("size")).orderBy(F.desc_nulls_last("size"), "_source").limit(MAX_QUEUES - 1 - len(asked)).collect()
-    queues = [*asked, *(r["_source"] for r in sizes)]
-    tokens = checkpointed(rows.mapInArrow(lean(_tokenise(tokenizer_path, end_id, queues)), f"_id {rows.schema['_id'].dataType.simpleString()}, block int, queue int, before long, n long, width int, ids binary"))
-    blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("n"))
+    tokens = checkpointed(rows.mapInArrow(lean(_tokenise(tokenizer_path, end_id)), f"_id {kind}, _source string, block int, before long, n long, width int, ids binary"))
+    parts = tokens.groupBy("_source", "block").agg(F.sum("n").alias("n"))
+    sizes = {r["_source"]: int(r["n"]) for r in parts.groupBy("_source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_source").limit(MAX_QUEUES - 1 + len(asked)).collect()}
+    queues = [*asked, *[q for q in sizes if q not in asked][: MAX_QUEUES - 1 - len(asked)]]
+    named = [x for i, q in enumerate(queues) if q is not None for x in (F.lit(q), F.lit(i))]
+    queue = F.coalesce(F.element_at(F.create_map(*named), F.col("_source")) if named else F.lit(None).cast("int"), F.when(F.col("_source").isNull(), F.lit(queues.index(None)) if None in queues else F.lit(None).cast("int")), F.lit(len(queues)))
     totals = [0] * (len(queues) + 1)
-    for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row per queue
+    for r in parts.groupBy(queue.alias("queue")).agg(F.sum("n").alias("n")).collect():  # a row per queue
         totals[r["queue"]] = int(r["n"])
     wanted = [*(float(targets.get(q, 0.0)) for q in queues), 0.0] if targets else None
     schedule = Schedule(totals, window, wanted)
-    running = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("queue", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_first"))
-    placed = tokens.join(starts, ["block", "queue"]).select("_id", "queue", (F.col("_first") + F.col("before")).alias("at"), "n", "width", "ids")
-    kind = rows.schema["_id"].dataType.simpleString()
-    out = placed.mapInArrow(lean(_cut(schedule)), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
+    own = Window.partitionBy("_source")
+    starts = parts.select(F.col("_source").alias("_s"), "block", F.coalesce(F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("n").over(own).alias("_total"))
+    placed = tokens.withColumn("queue", queue).join(starts.withColumnRenamed("block", "_b"), (F.col("block") == F.col("_b")) & F.col("_source").eqNullSafe(F.col("_s")))
+    placed = placed.withColumn("at", F.col("_first") + F.col("before"))
+    if totals[-1]:
+        placed = placed.filter(F.col("queue") < len(queues)).select("_id", "queue", "at", "n", "width", "ids").unionByName(_interleaved(placed.filter(F.col("queue") == len(queues)), totals[-1]))
+    out = placed.select("_id", "queue", "at", "n", "width", "ids").mapInArrow(lean(_cut(schedule)), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
     return out.withColumnRenamed("_id", id_col)
 
 
+def _interleaved(rows: DataFrame, total: int) -> DataFrame:
+    """Documents of the sources that share a queue, in order of their places in their sources (0 to 1), so that every stretch
+    of the queue holds the sources in their proportions."""
+    buckets = max(1, min(MAX_BUCKETS, total // BUCKET_TOKENS))
+    rows = rows.withColumn("_place", F.col("at") / F.col("_total")).withColumn("_bucket", F.least(F.floor(F.col("_place") * buckets), F.lit(buckets - 1)).cast("int"))
+    sums = rows.groupBy("_bucket").agg(F.sum("n").alias("_sum"))
+    firsts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # at most MAX_BUCKETS rows
+    within = Window.partitionBy("_bucket").orderBy("_place", "_source", "block", "before").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(firsts), "_bucket")
+    return placed.select("_id", "queue", (F.col("_start") + F.col("_within")).alias("at"), "n", "width", "ids")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -20,4 +20,4 @@ def test_small_sources_get_their_targets(spark):
         first["null" if (r["doc_id"] - 100) % 4 == 0 and 100 <= r["doc_id"] < 140 else "a" if 100 <= r["doc_id"] < 140 else "other"] += r["length"]
     assert not first["other"] and abs(first["a"] - 750) <= 5
     with pytest.raises(ValueError):
-        packing.pack(docs, packing.default_tokenizer(), source_col="from", targets={f"big{i}": 1.0 for i in range(64)})
+        packing.pack(docs, packing.default_tokenizer(), source_col="from", targets={f"big{i}": 1.0 for i in range(packing.MAX_QUEUES)})

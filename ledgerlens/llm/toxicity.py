@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as a string of classes: insult, threat, target, negation, report, other. Four small transducers are
-composed over it: the insult and threat transducers emit matches with the weights of their lexemes, the target
-transducer raises matches near an addressed person, the negation transducer takes back those in its scope, and the
-reported-speech transducer damps those that a clause quotes. Lexemes and their weights are learned from labelled rows;
-a document's clause scores are turned into a probability by a logistic model on the same rows."""
+A clause is read as a string of words with classes. The insult transducer emits matches at weighted words and at the last
+word of weighted phrases; the threat transducer emits one where a verb of harm and a person meet, in either order, with
+more weight after a word of intent. Three more are composed with them: the target transducer raises matches near an
+addressed person, the negation transducer takes back those in its scope, and the reported-speech transducer damps those
+that a clause quotes. Lexemes, phrases and their weights are learned from labelled rows; a document's clause scores are
+turned into a probability by a logistic model on the same rows."""
 
 from __future__ import annotations
 
@@ -26,10 +27,11 @@ from .shared import with_fields
 TARGETS = frozenset("you your yours u he she they him her them du dich dir euch ihr sie tu te toi vous lui elle usted ustedes tú ti ellos".split())
 NEGATIONS = frozenset("not no never isn't aren't don't doesn't nicht kein keine nie pas jamais ne nunca jamás tampoco".split())
 REPORTS = frozenset("said says say told wrote reported quoted claims claimed sagte sagt schrieb dit disait écrit dijo dice escribió".split())
-THREATS = frozenset("kill hurt destroy beat töten umbringen tuer frapper matar golpear".split())
+HARMS = frozenset("kill hurt destroy beat burn shoot stab crush die suffer regret töten umbringen schlagen verletzen sterben büßen tuer frapper blesser mourir regretter matar golpear herir morir sufrir".split())
+INTENTS = frozenset("will shall gonna going i'll we'll you'll werde werden wirst wird vais va allons vas voy vamos vas".split())
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n\r|]+")
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, HARM, INTENT = range(8)
 SCOPE = 4  # words that a negation or a target reaches
 FEATURES = ("asserted", "strongest", "negated", "reported", "targeted", "threats", "matches")
 
@@ -59,56 +61,92 @@ def lasting(trigger: int, matched: float) -> Transducer:
     return Transducer({(0, trigger): (1, 1.0), (1, INSULT): (1, matched), (1, THREAT): (1, matched)})
 
 
+class Insults:
+    """Emits the weight of a phrase at its last word. States: the beginnings of phrases that the words read so far end with."""
+
+    start: tuple[str, ...] = ()
+
+    def __init__(self, phrases: dict[tuple[str, ...], float]):
+        self.phrases = phrases
+        self.beginnings = {p[:n] for p in phrases for n in range(1, len(p) + 1)}
+
+    def step(self, state: tuple[str, ...], part: str) -> tuple[tuple[str, ...], float]:
+        longest = (*state, part)
+        while longest and longest not in self.beginnings:
+            longest = longest[1:]
+        return longest, self.phrases.get(longest, 0.0)
+
+
+class Threats:
+    """Emits a threat where a verb of harm and a person are within SCOPE words of each other, in either order; a word of
+    intent among the SCOPE words before raises its weight. States: words left for intent, person and harm."""
+
+    start = (0, 0, 0)
+
+    def step(self, state: tuple[int, int, int], symbol: int) -> tuple[tuple[int, int, int], float]:
+        intent, person, harm = (max(0, x - 1) for x in state)
+        met = (symbol == HARM and state[1] > 0) or (symbol == TARGET and state[2] > 0)
+        after = (SCOPE if symbol == INTENT else intent, SCOPE if symbol == TARGET else person, 0 if met else SCOPE if symbol == HARM else harm)
+        return after, (1.5 if state[0] else 1.0) if met else 0.0
+
+
 class Grammar:
     """The composition of the transducers over the lexicon of weighted insults.
 
     ``lexicon``: weight of whole words; ``stems``: weight of word beginnings of the given ``lengths``, the longest first,
-    used for words that the lexicon does not hold."""
+    used for words that the lexicon does not hold; ``phrases``: weight of phrases of several words."""
 
-    def __init__(self, lexicon: dict[str, float], stems: dict[str, float], lengths: tuple[int, ...] = (4, 5, 6)):
-        self.lexicon, self.stems, self.lengths = lexicon, stems, sorted(lengths, reverse=True)
+    def __init__(self, lexicon: dict[str, float], stems: dict[str, float], lengths: tuple[int, ...] = (4, 5, 6), phrases: dict[tuple[str, ...], float] | None = None):
+        self.lexicon, self.stems, self.lengths, self.phrases = lexicon, stems, sorted(lengths, reverse=True), dict(phrases or {})
+        self.parts = {w for p in self.phrases for w in p}
+        self.insults, self.threats = Insults(self.phrases), Threats()
         self.machines = (counting(TARGET, 1.5), counting(NEGATION, 0.25), lasting(REPORT, 0.5))
+        self.start = (Insults.start, Threats.start, 0, 0, 0)
         self.coefficients = np.zeros(len(FEATURES) + 1)
-        self._composed: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], tuple[float, ...]]] = {}
+        self._composed: dict[tuple, tuple] = {}
 
-    def read(self, word: str) -> tuple[int, float]:
+    def read(self, word: str) -> tuple[int, float, str]:
+        """The word's class, its weight as an insult, and the word itself if phrases have it."""
+        part = word if word in self.parts else ""
         w = self.lexicon.get(word)
         if w is None:
             w = next((self.stems[word[:n]] for n in self.lengths if len(word) > n and word[:n] in self.stems), None)
         if w is not None:
-            return INSULT, w
-        if word in TARGETS:
-            return TARGET, 0.0
-        if word in NEGATIONS:
-            return NEGATION, 0.0
-        if word in REPORTS:
-            return REPORT, 0.0
-        if word in THREATS:
-            return THREAT, 1.0
-        return OTHER, 0.0
-
-    def arc(self, states: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """An arc of the composed machine, made when first met."""
-        found = self._composed.get((states, symbol))
+            return INSULT, w, part
+        for kind, known in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (HARM, HARMS), (INTENT, INTENTS)):
+            if word in known:
+                return kind, 0.0, part
+        return OTHER, 0.0, part
+
+    def arc(self, states: tuple, symbol: int, part: str) -> tuple[tuple, float, float, tuple[float, ...]]:
+        """An arc of the composed machine, made when first met: next states, phrase weight, threat weight, and the factors
+        that the other machines give to what is matched here."""
+        found = self._composed.get((states, symbol, part))
         if found is None:
-            steps = [m.step(s, symbol) for m, s in zip(self.machines, states, strict=True)]
-            found = self._composed[states, symbol] = (tuple(s for s, _ in steps), tuple(f for _, f in steps))
+            phrase_state, phrase = self.insults.step(states[0], part)
+            threat_state, threat = self.threats.step(states[1], symbol)
+            emitted = THREAT if threat else INSULT if phrase or symbol == INSULT else OTHER
+            factors = tuple(m.step(s, emitted)[1] for m, s in zip(self.machines, states[2:], strict=True))
+            read = symbol if symbol in (TARGET, NEGATION, REPORT) else emitted
+            after = (m.step(s, read)[0] for m, s in zip(self.machines, states[2:], strict=True))
+            found = self._composed[states, symbol, part] = ((phrase_state, threat_state, *after), phrase, threat, factors)
         return found
 
-    def clause(self, symbols: list[tuple[int, float]]) -> np.ndarray:
+    def clause(self, symbols: list[tuple[int, float, str]]) -> np.ndarray:
         """Sums over one clause: asserted, strongest (the clause's score), negated, reported, targeted, threats, matches."""
         out = np.zeros(len(FEATURES))
-        states = (0,) * len(self.machines)
+        states = self.start
         threats = insults = 0.0
-        for symbol, weight in symbols:
-            states, (aim, deny, quote) = self.arc(states, symbol)
-            if symbol not in (INSULT, THREAT):
+        for symbol, weight, part in symbols:
+            states, phrase, threat, (aim, deny, quote) = self.arc(states, symbol, part)
+            if threat:
+                threats += threat * deny * quote
+                out[6] += 1
+            if symbol != INSULT and not phrase:
                 continue
+            weight += phrase
             scored = weight * aim * deny * quote
             out[6] += 1
-            if symbol == THREAT:
-                threats += scored if aim > 1 else 0.0
-                continue
             insults += scored
             out[0] += scored if deny == 1 and quote == 1 else 0.0
             out[2] += weight if deny < 1 else 0.0
@@ -131,7 +169,7 @@ class Grammar:
                     if len(cache) >= 300_000:
                         cache.clear()
                     s = cache[w] = self.read(w)
-                hit = hit or s[0] <= THREAT
+                hit = hit or s[0] == INSULT or s[0] == HARM or s[2] != ""
                 symbols.append(s)
             if hit:
                 got = self.clause(symbols)
@@ -150,8 +188,9 @@ def _lexemes(stems: tuple[int, ...]):
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = set(TOKEN.findall((text or "").lower()))
-                seen[label].update({f"w{w}" for w in found} | {f"s{w[:n]}" for w in found for n in stems if len(w) > n})
+                clauses = [TOKEN.findall(c) for c in CLAUSE.split((text or "").lower())]
+                found = {w for c in clauses for w in c}
+                seen[label].update({f"w{w}" for w in found} | {f"s{w[:n]}" for w in found for n in stems if len(w) > n} | {f"p{a} {b}" for c in clauses for a, b in zip(c, c[1:], strict=False)})
         for label in (0, 1):
             items = list(seen[label].items())
             for k in range(0, len(items), 50_000):
@@ -181,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """Learns from the labels 0 and 1 of ``labels`` and the texts of ``docs`` with the same id.
 
     Bounds: about ``per_class`` labelled rows of each class, so the labels' side of the join can be broadcast, and
-    ``max_lexemes`` lexemes, each in at least ``min_docs`` and ``min_share`` of the toxic ones. Null ids and labels are left out. Without rows of both classes every score is 0.5 at most."""
+    ``max_lexemes`` lexemes (words, word beginnings and phrases of two words of which neither is a lexeme), each in at least
+    ``min_docs`` and ``min_share`` of the toxic ones, with log odds of at least ``min_odds``. Without labels or documents (empty tables) nothing is learned. Null ids and labels are left out. Without rows of both classes every score is 0.5 at most."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     chosen, counts = per_label_sample(known, "_label", [id_col], per_class)
     if len(counts) < 2:
@@ -203,6 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         if r["lexeme"][0] == "s" and any(n >= 0.8 * r["a"] for w, n in times.items() if w.startswith(r["lexeme"][1:])):
             del found[r["lexeme"]]
     grammar = Grammar({t[1:]: w for t, w in found.items() if t[0] == "w"}, {t[1:]: w for t, w in found.items() if t[0] == "s"}, stems)
+    pairs = {tuple(t[1:].split(" ")): w for t, w in found.items() if t[0] == "p"}
+    free = {p: w for p, w in pairs.items() if all(grammar.read(x)[0] != INSULT for x in p)}  # what one word accounts for is no phrase
+    grammar = Grammar(grammar.lexicon, grammar.stems, stems, free)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +265,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
     """``docs`` with score double (0 to 1) and predicted int added (replacing columns of these names).
 
     Null and empty texts have no clause and get the score of a text without matches. Rows are scored one by one, so
-    repeated rows and ties get equal scores. Whole texts are read."""
+    repeated rows and ties get equal scores. Whole texts are read. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     rest = docs.drop("score", "predicted")
     at = rest.columns.index(text_col)

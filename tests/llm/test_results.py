@@ -137,10 +137,11 @@ def test_language_of_odd_texts(spark, sf, edge):
     assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
 
 
-def test_secret_candidates_and_forest(spark, edge):
+def test_secret_candidates_and_forest(spark, sf, edge):
     key = "AKIA" + "Q7ZXN4PLW8TB2RMV"
     docs = spark.createDataFrame([(1, f"the login is {key} here"), (2, "password=changeme"), (3, None), (4, ""), (5, "commit " + hashlib.sha1(b"x").hexdigest())], "doc_id long, text string")
-    model = secret_scan.train(secret_scan.made_findings(spark, 2000))
+    words = secret_scan.dictionary(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = secret_scan.train(secret_scan.made_findings(words, 2000), words)
     got = {r["doc_id"]: r for r in secret_scan.scan(docs, model).collect()}
     assert got[1]["match"] == key and got[1]["start"] == 13 and got[1]["is_secret"]
     assert not got[2]["is_secret"] and not got[5]["is_secret"] and 3 not in got

@@ -19,7 +19,8 @@ def test_values_of_any_length(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     expected = Counter((i, m.start(), m.group(1) or m.group(2)) for i, t in enumerate(texts) for m in PLAIN.finditer(t))
     assert len(expected) == len(texts)
-    rows = secret_scan.with_features(secret_scan.candidates(docs))
+    words = spark.createDataFrame([("banana", 9), ("there", 5)], "word string, n long")
+    rows = secret_scan.with_features(secret_scan.candidates(docs), words, secret_scan.letter_pairs(words))
     got = rows.select("_id", "start", "value", "length", "dictionary").collect()
     assert Counter((r["_id"], r["start"], r["value"]) for r in got) == expected
     assert all(r["length"] == len(r["value"]) and 0 <= r["dictionary"] <= 1 for r in got)

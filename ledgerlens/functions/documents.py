@@ -15,18 +15,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed names of the document schema.
+# The names of the document schema.
 DOC_TYPE, DOC_TYPE_VALUE = "单据类型", "材料清单"
 HEADER, HEADER_FIELDS = "表头", ("项目名称", "供应商", "单据编号", "日期")
 ROWS, ROW_FIELDS, OPTIONAL = "明细", ("序号", "名称", "规格型号", "单位", "数量", "单价", "金额"), ("规格型号",)
 TOTAL, TOTAL_FIELDS = "合计", ("金额",)
 FLAT_FIELDS = ("store_name", "store_addr", "tel", "date", "time", "subtotal", "tax", "total")
-NUMBERS = ("数量", "单价", "金额")
+NUMBERS, FLAT_NUMBERS = ("数量", "单价", "金额"), ("subtotal", "tax", "total")
 MAX_ROWS = 8
-
+# Fixed patterns: what counts as a number and as a date.
 _NUMBER = re.compile(r"([+-]?)(\d+|\d{1,3}(?:,\d{3})+)(?:\.(\d+))?", re.ASCII)
 _DATE = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{4})年(\d{1,2})月(\d{1,2})日?", re.ASCII)
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL | re.IGNORECASE)
+_FENCE = re.compile(r"```(?:json)?\s*(.+?)```", re.DOTALL)
+
+
+def _rules(fields: tuple[str, ...], numbers: tuple[str, ...], dates: tuple[str, ...] = ()) -> dict[str, str]:
+    return {f: "number" if f in numbers else "date" if f in dates else "text" for f in fields}
+
+
+#: What may stand where: a kind of leaf, an object (dict of rules) or an array (list of one rule).
+SCHEMA = {DOC_TYPE: "text", HEADER: _rules(HEADER_FIELDS, (), ("日期",)), ROWS: [_rules(ROW_FIELDS, NUMBERS)], TOTAL: _rules(TOTAL_FIELDS, NUMBERS)}
+FLAT_SCHEMA = _rules(FLAT_FIELDS, FLAT_NUMBERS, ("date",))
 
 
 class Invalid(ValueError):
@@ -66,22 +75,22 @@ def _strict_object(text: str) -> dict | None:
 
 
 def loose_object(text: str | None) -> dict | None:
-    """The object in a model's answer: the whole text, or a fenced block, or from the first brace to the last.
+    """The object in a model's answer: the whole text, or what a fence holds, or else what the first and last brace enclose.
 
-    A text that is JSON only for a lenient reader (repeated keys, NaN) is refused, not searched."""
+    A whole text that is JSON of another kind, or JSON only for a lenient reader (repeated keys, NaN), holds none."""
     t = (text or "").strip()
-    if (found := _strict_object(t)) is not None:
-        return found
-    if t[:1] in "{[" and t:
+    if not t:
+        return None
+    if strict_valid(t):
+        return _strict_object(t)
+    if t[0] in "{[":
         try:
             json.loads(t)
             return None
         except (ValueError, RecursionError):
             pass
-    if (fenced := _FENCE.search(t)) and (found := _strict_object(fenced[1].strip())) is not None:
-        return found
-    a, b = t.find("{"), t.rfind("}")
-    return _strict_object(t[a : b + 1]) if 0 <= a < b else None
+    fenced = _FENCE.search(t)
+    return _strict_object(fenced[1].strip() if fenced else t[t.find("{") : t.rfind("}") + 1])
 
 
 def normal_text(value) -> tuple[str, bool]:
@@ -117,10 +126,7 @@ def normal_date(value) -> tuple[str, bool]:
         return f"date:{text}", True
 
 
-def normal_leaf(section: str, field: str, value) -> tuple[str, bool]:
-    if section in (ROWS, TOTAL) and field in NUMBERS:
-        return normal_number(value)
-    return normal_date(value) if section == HEADER and field == "日期" else normal_text(value)
+_NORMAL = {"text": normal_text, "number": normal_number, "date": normal_date}
 
 
 def escape(key: str) -> str:
@@ -130,50 +136,32 @@ def escape(key: str) -> str:
 Field = tuple[str, str, int, str, str, bool, bool]  # path, section, row, field, value, invalid, outside the schema
 
 
-def flatten(obj, mode: str = "document") -> list[Field]:
-    """The fields of a parsed object. A container of the wrong kind is one invalid entry where it stands; what the schema
-    doesn't know is one invalid entry at its root, even if empty. Empty leaves are no fields."""
-    out: list[Field] = []
-
-    def leaf(path: str, section: str, row: int, field: str, value) -> None:
-        text, bad = normal_leaf(section, field, value)
-        if text:
-            out.append((path, section, row, field, text, bad, False))
-
-    def outside(path: str, section: str, row: int, field: str, value) -> None:
-        out.append((path, section, row, field, f"extra:{json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)}", True, True))
+def _dumped(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
 
-    def container(path: str, section: str, row: int, value, fields: tuple[str, ...]) -> None:
-        if value is None:
-            return
-        if not isinstance(value, dict):
-            out.append((path, section, row, "", f"type:{json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)}", True, False))
-            return
-        for k, v in value.items():
-            (leaf if k in fields else outside)(f"{path}.{escape(k)}", section, row, k, v)
 
-    if not isinstance(obj, dict):
-        return out
-    if mode == "flat":
-        for k, v in obj.items():
-            (leaf if k in FLAT_FIELDS else outside)(escape(k), "flat", -1, k, v)
-        return out
-    for k, v in obj.items():
-        if k == DOC_TYPE:
-            leaf(k, "", -1, k, v)
-        elif k == HEADER:
-            container(k, HEADER, -1, v, HEADER_FIELDS)
-        elif k == TOTAL:
-            container(k, TOTAL, -1, v, TOTAL_FIELDS)
-        elif k == ROWS:
-            if v is not None and not isinstance(v, list):
-                out.append((k, ROWS, -1, "", f"type:{json.dumps(v, ensure_ascii=False, sort_keys=True, default=str)}", True, False))
-            for i, row in enumerate(v if isinstance(v, list) else ()):
-                if row is None:
-                    out.append((f"{ROWS}[{i}]", ROWS, i, "", "type:null", True, False))
-                container(f"{ROWS}[{i}]", ROWS, i, row, ROW_FIELDS)
+def flatten(obj, mode: str = "document") -> list[Field]:
+    """The fields of a parsed object, read along the schema. What should be an object or an array and isn't, null included, is
+    one invalid entry where it stands; what the schema doesn't know is one invalid entry at its root, even if empty. Empty
+    leaves are no fields."""
+    out: list[Field] = []
+    # what is still to be read: value, its rule, path, section, row, field; the top is last
+    todo: list[tuple] = [(obj, FLAT_SCHEMA if mode == "flat" else SCHEMA, "", "flat" if mode == "flat" else "", -1, "")] if isinstance(obj, dict) else []
+    while todo:
+        value, rule, path, section, row, field = todo.pop()
+        if rule is None:
+            out.append((path, section, row, field, f"extra:{_dumped(value)}", True, True))
+        elif isinstance(rule, str):
+            text, bad = _NORMAL[rule](value)
+            if text:
+                out.append((path, section, row, field, text, bad, False))
+        elif isinstance(value, dict) and isinstance(rule, dict):
+            below = [(v, rule.get(k), f"{path}.{escape(k)}" if path else escape(k), section or (k if isinstance(rule.get(k), (dict, list)) else ""), row, k) for k, v in value.items()]
+            todo.extend(reversed(below))
+        elif isinstance(value, list) and isinstance(rule, list):
+            todo.extend(reversed([(v, rule[0], f"{path}[{i}]", section, i, "") for i, v in enumerate(value)]))
         else:
-            outside(escape(k), "", -1, k, v)
+            out.append((path, section, row, "", "object:" if isinstance(rule, dict) else "array:", True, False))
     return out
 
 
@@ -186,52 +174,42 @@ def tolerant(obj):
     return obj
 
 
-def schema_errors(obj, mode: str = "document") -> list[str]:
-    """What keeps an object from the schema, in order of the document; missing fields come sorted."""
-    errors: list[str] = []
-
-    def check(path: str, value, fields: tuple[str, ...], optional: tuple[str, ...], section: str) -> None:
-        if not isinstance(value, dict):
-            errors.append(f"{path}: not an object")
-            return
-        errors.extend(f"{path}.{f}: missing" for f in sorted(set(fields) - set(optional) - set(value)))
-        for k, v in value.items():
-            at = f"{path}.{escape(k)}"
-            if k not in fields:
-                errors.append(f"{at}: unknown")
-            elif not isinstance(v, str):
-                errors.append(f"{at}: not a string")
-            else:
-                text, bad = normal_leaf(section, k, v)
-                if not text and k not in optional:
-                    errors.append(f"{at}: empty")
-                elif bad:
-                    errors.append(f"{at}: invalid {text.split(':', 1)[0]}")
+def _object_errors(path: str, value, rules: dict[str, str], required: tuple[str, ...]) -> list[str]:
+    """Missing fields, sorted, then what is wrong with those there are, in their order."""
+    if not isinstance(value, dict):
+        return [f"{path or '$'}: not an object"]
+    at = (path + "." if path else "") + "{}: {}"
+    errors = [at.format(f, "missing") for f in sorted(set(required).difference(value))]
+    for k, v in value.items():
+        if k not in rules:
+            errors.append(at.format(k, "unknown"))
+        elif not isinstance(v, str):
+            errors.append(at.format(k, "not a string"))
+        elif k in required and not normal_text(v)[0]:
+            errors.append(at.format(k, "empty"))
+        elif rules[k] != "text" and _NORMAL[rules[k]](v)[1]:
+            errors.append(at.format(k, f"invalid {rules[k]}"))
+    return errors
 
+
+def schema_errors(obj, mode: str = "document") -> list[str]:
+    """What keeps an object from the schema: top-level keys first, then type, header, total and rows, each also if it is absent."""
     if not isinstance(obj, dict):
-        return ["not an object"]
+        return ["$: not an object"]
     if mode == "flat":
-        check("$", obj, FLAT_FIELDS, FLAT_FIELDS, "flat")
-        return errors
-    top = (DOC_TYPE, HEADER, ROWS, TOTAL)
-    errors.extend(f"{k}: missing" for k in sorted(set(top) - set(obj)))
-    errors.extend(f"{escape(k)}: unknown" for k in obj if k not in top)
-    if DOC_TYPE in obj and obj[DOC_TYPE] != DOC_TYPE_VALUE:
+        return _object_errors("", obj, FLAT_SCHEMA, ())
+    errors = [f"{k}: missing" for k in sorted(SCHEMA.keys() - obj.keys())] + [f"{k}: unknown" for k in sorted(obj.keys() - SCHEMA.keys())]
+    if obj.get(DOC_TYPE) != DOC_TYPE_VALUE:
         errors.append(f"{DOC_TYPE}: not {DOC_TYPE_VALUE}")
-    if HEADER in obj:
-        check(HEADER, obj[HEADER], HEADER_FIELDS, (), HEADER)
-    if ROWS in obj:
-        rows = obj[ROWS]
-        if not isinstance(rows, list):
-            errors.append(f"{ROWS}: not a list")
-        else:
-            if not 1 <= len(rows) <= MAX_ROWS:
-                errors.append(f"{ROWS}: {len(rows)} rows")
-            for i, row in enumerate(rows):
-                check(f"{ROWS}[{i}]", row, ROW_FIELDS, OPTIONAL, ROWS)
-    if TOTAL in obj:
-        check(TOTAL, obj[TOTAL], TOTAL_FIELDS, (), TOTAL)
-    return errors
+    errors += _object_errors(HEADER, obj.get(HEADER), SCHEMA[HEADER], HEADER_FIELDS)
+    errors += _object_errors(TOTAL, obj.get(TOTAL), SCHEMA[TOTAL], TOTAL_FIELDS)
+    rows = obj.get(ROWS)
+    if not isinstance(rows, list):
+        return [*errors, f"{ROWS}: not an array"]
+    if not 1 <= len(rows) <= MAX_ROWS:
+        errors.append(f"{ROWS}: not 1 to {MAX_ROWS} rows")
+    needed = tuple(f for f in ROW_FIELDS if f not in OPTIONAL)
+    return errors + [e for i, row in enumerate(rows) for e in _object_errors(f"{ROWS}[{i}]", row, SCHEMA[ROWS][0], needed)]
 
 
 def leaves(obj, path: str = "") -> list[tuple[str, str]]:
@@ -243,6 +221,27 @@ def leaves(obj, path: str = "") -> list[tuple[str, str]]:
     return [(path, obj if isinstance(obj, str) else json.dumps(obj, ensure_ascii=False))]
 
 
+def anomalies(text: str | None) -> tuple[bool, bool, bool, bool]:
+    """By a lenient reader of its own (a fence, then the first brace to the last): not an object at all, a total that is no
+    object, a header that is none, a row that is none."""
+    t = text or ""
+    fenced = _FENCE.search(t)
+    t = fenced[1] if fenced else t[t.find("{") : t.rfind("}") + 1]
+    try:
+        obj = json.loads(t)
+    except (ValueError, RecursionError):
+        obj = None
+    if not isinstance(obj, dict):
+        return True, False, False, False
+    rows = obj.get(ROWS)
+    return False, TOTAL in obj and not isinstance(obj[TOTAL], dict), HEADER in obj and not isinstance(obj[HEADER], dict), isinstance(rows, list) and any(not isinstance(r, dict) for r in rows)
+
+
+def compact(text: str | None) -> str | None:
+    """NFKC without any white space."""
+    return None if text is None else "".join(unicodedata.normalize("NFKC", text).split())
+
+
 def canonical_json(text: str | None) -> str | None:
     """Sorted keys, no spaces; null for what is no JSON."""
     try:
@@ -265,7 +264,7 @@ def parse_udf(mode: str = "document", repair: bool = False):
         for t in texts:
             obj = loose_object(t)
             seen = tolerant(obj) if repair else obj
-            rows.append((strict_valid(t), obj is not None, schema_errors(seen, mode) if obj is not None else ["unparsable"], [dict(zip(_NAMES, f, strict=True)) for f in flatten(seen, mode)]))
+            rows.append((strict_valid(t), obj is not None, schema_errors(seen, mode), [dict(zip(_NAMES, f, strict=True)) for f in flatten(seen, mode)]))
         return pd.DataFrame(rows, columns=["strict", "loose", "errors", "fields"])
 
     return parse
@@ -302,3 +301,21 @@ def leaves_udf(texts: pd.Series) -> pd.Series:
         except ValueError:
             out.append([])
     return pd.Series(out)
+
+
+ANOMALIES = T.StructType([T.StructField(n, T.BooleanType()) for n in ("unparsable", "total_scalar", "header_scalar", "row_scalar")])
+
+
+@F.pandas_udf(ANOMALIES)
+def anomalies_udf(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([anomalies(t) for t in texts], columns=ANOMALIES.names)
+
+
+@F.pandas_udf(T.StringType())
+def compact_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(compact)
+
+
+def stable_hash(text: Column | str) -> Column:
+    """SHA-256 of the canonical JSON: the same for any order of keys and any spacing; null for what is no JSON."""
+    return F.sha2(canonical_json_udf(F.col(text) if isinstance(text, str) else text), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed pattern of a number.
 NUMBER = r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]+)?$"
 
 
@@ -150,7 +151,8 @@ def escape_key(text: Column | str) -> Column:
 def field_kind(path: Column | str) -> Column:
     """number, date or text, by where a value stands in the document."""
     p = _c(path)
-    return F.when(p.rlike(r"^明细\[\d+\]\.(数量|单价|金额)$") | (p == "合计.金额"), "number").when(p == "表头.日期", "date").otherwise("text")
+    number = p.rlike(r"^明细\[\d+\]\.(数量|单价|金额)$") | p.isin("合计.金额", "subtotal", "tax", "total")
+    return F.when(number, "number").when(p.isin("表头.日期", "date"), "date").otherwise("text")
 
 
 def path_group(path: Column | str) -> Column:

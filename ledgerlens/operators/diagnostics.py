@@ -68,6 +68,16 @@ def transitions(before: DataFrame, after: DataFrame, keys: list[str], by: list[s
     return joined.filter(known).groupBy(*by).agg(count(o & n).alias("both"), count(o & ~n).alias("old_only"), count(~o & n).alias("new_only"), count(~o & ~n).alias("neither"))
 
 
+def run_transitions(scores: DataFrame, run: str, before, after, keys: list[str], by: list[str], flag: str = "document_correct") -> DataFrame:
+    """``transitions`` between two runs that lie in one table: one aggregation by document. A document in one run alone raises an error."""
+    of = lambda r: F.bool_or(F.when(F.col(run) == F.lit(r), F.col(flag)))
+    docs = scores.filter(F.col(run).isin(before, after)).groupBy(*keys, *by).agg(of(before).alias("_o"), of(after).alias("_n"))
+    known = F.when(F.col("_o").isNull() | F.col("_n").isNull(), F.raise_error(F.lit("the runs hold different documents")).cast("boolean")).otherwise(F.lit(True))
+    o, n = F.col("_o"), F.col("_n")
+    count = lambda c: F.count_if(c).cast("long")
+    return docs.filter(known).groupBy(*by).agg(count(o & n).alias("both"), count(o & ~n).alias("old_only"), count(~o & n).alias("new_only"), count(~o & ~n).alias("neither"))
+
+
 def field_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Fields that differ between two runs (before and after, null where absent)."""
     stacked = before.select(*keys, F.col("value").alias("before"), F.lit(None).cast("string").alias("after")).unionByName(after.select(*keys, F.lit(None).cast("string").alias("before"), F.col("value").alias("after")))

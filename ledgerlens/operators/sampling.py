@@ -11,17 +11,24 @@ def seeded(key: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key), F.lit(str(seed))))
 
 
+def placed(groups: DataFrame, group: str, seed: int) -> tuple[DataFrame, int]:
+    """Distinct ``groups`` with _place, from 1 in the order of their hashes, and their number.
+
+    Places come from exact counts of hash buckets, so no task orders all groups."""
+    groups = groups.withColumn("_h", seeded([group], seed)).withColumn("_b", F.substring("_h", 1, 3))
+    buckets = groups.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 4096 rows at most
+    n = before.agg(F.sum("_n")).first()[0] or 0
+    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))
+    return groups.withColumn("_in", within).join(F.broadcast(before.select("_b", "_before")), "_b").select(group, (F.col("_before") + F.col("_in")).alias("_place")), n
+
+
 def group_split(rows: DataFrame, group: str, seed: int = 42, train: float = 0.70, valid: float = 0.15) -> DataFrame:
     """``rows`` with split: whole groups go to train, valid or test; sizes are floor(n * share), the rest is test.
 
     Cut points come from the groups' order of hashes by exact counts of hash buckets, so no task orders all groups."""
-    groups = rows.select(group).distinct().withColumn("_h", seeded([group], seed))
-    buckets = groups.groupBy(F.substring("_h", 1, 3).alias("_b")).agg(F.count("*").alias("_n"))
-    before = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 4096 rows at most
-    total = before.agg(F.sum("_n").alias("_all"))
-    ranked = groups.withColumn("_b", F.substring("_h", 1, 3)).withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))).join(F.broadcast(before.select("_b", "_before")), "_b")
-    n = F.lit(total.first()[0] or 0)
-    place = F.col("_before") + F.col("_in")
+    ranked, size = placed(rows.select(group).distinct(), group, seed)
+    n, place = F.lit(size), F.col("_place")
     split = ranked.select(group, F.when(place <= F.floor(n * train), "train").when(place <= F.floor(n * train) + F.floor(n * valid), "valid").otherwise("test").alias("split"))
     return rows.join(split, group)
 
@@ -33,10 +40,9 @@ def stratified(rows: DataFrame, stratum: str, key: list[str], k: int, seed: int
 
 
 def sample_groups(rows: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Whole groups, max(1, round-half-even(n * ratio)) of them, in the order of their hashes (a top-k)."""
-    groups = rows.select(group).distinct()
-    k = max(1, round(groups.count() * ratio))
-    return rows.join(groups.orderBy(seeded([group], seed), group).limit(k), group, "left_semi")
+    """Whole groups, max(1, round-half-even(n * ratio)) of them, the first in the order of their hashes."""
+    ranked, n = placed(rows.select(group).distinct(), group, seed)
+    return rows.join(ranked.filter(F.col("_place") <= max(1, round(n * ratio))), group, "left_semi")
 
 
 def first_or_last(rows: DataFrame, by: list[str], seq: list[str], last: bool = False) -> DataFrame:

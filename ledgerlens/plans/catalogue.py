@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diagnostics as G
+from ..operators import distributions as D
 from ..operators import lexicon as L
 from ..operators import sampling as P
 from ..operators import scoring as C
@@ -134,12 +135,8 @@ CONFIGS = (0, 1, 2, 3)
 
 
 def _failures(spark, sf) -> DataFrame:
-    gt = V.truth(spark, sf)
-    out = None
-    for c in CONFIGS:
-        m = C.match_fields(gt, V.predicted(gt, c), V.KEYS).filter(~F.col("ok") & F.col("gt").isNotNull()).withColumn("config", F.lit(f"c{c}"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    wrong = V.compared(V.truth(spark, sf), CONFIGS).filter(~F.col("ok") & F.col("gt").isNotNull())
+    return wrong.withColumn("config", F.concat(F.lit("c"), F.col("seed")))
 
 
 FAILS = V.TRUTH_SQL + "".join(f", {V.predicted_sql(f'p{c}', c)}, {V.matched_sql(f'm{c}', f'p{c}')}" for c in CONFIGS) + ", f AS (" + " UNION ALL ".join(f"SELECT *, 'c{c}' AS config FROM m{c} WHERE NOT ok AND gt IS NOT NULL" for c in CONFIGS) + ") "
@@ -200,7 +197,8 @@ FOUR = "count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS old_
 
 @query(TWO + f"SELECT level, {FOUR} FROM (SELECT s0.level, s0.document_correct AS a, s1.document_correct AS b FROM s0 JOIN s1 ON s0.doc_id = s1.doc_id) GROUP BY level")
 def run_transitions(spark, sf):
-    return G.transitions(_scores(spark, sf, 0), _scores(spark, sf, 1), ["doc_id"], ["level"])
+    runs = V.document_scores(V.compared(V.truth(spark, sf), (0, 1)), "seed").withColumn("run", F.col("seed"))
+    return G.run_transitions(runs, "run", 0, 1, ["doc_id"], ["level"])
 
 
 @query(V.BASE + f"SELECT {FOUR} FROM (SELECT bool_or(document_correct) FILTER (doc_id % 2 = 0) AS a, bool_or(document_correct) FILTER (doc_id % 2 = 1) AS b FROM s GROUP BY doc_id // 2 HAVING count(*) = 2)")
@@ -254,8 +252,8 @@ def path_group_histogram(spark, sf):
 
 @query(TWO + "SELECT config, level, CAST(sum(tp) AS BIGINT) AS tp, count(*) FILTER (document_correct) AS docs_ok FROM (SELECT 'c0' AS config, * FROM s0 UNION ALL SELECT 'c1', * FROM s1) GROUP BY 1, 2")
 def experiment_ledger_rollup(spark, sf):
-    runs = [_scores(spark, sf, c).withColumn("config", F.lit(f"c{c}")) for c in (0, 1)]
-    return runs[0].unionByName(runs[1]).groupBy("config", "level").agg(F.sum("tp").cast("long").alias("tp"), F.count_if("document_correct").alias("docs_ok"))
+    runs = V.document_scores(V.compared(V.truth(spark, sf), (0, 1)), "seed").withColumn("config", F.concat(F.lit("c"), F.col("seed")))
+    return runs.groupBy("config", "level").agg(F.sum("tp").cast("long").alias("tp"), F.count_if("document_correct").alias("docs_ok"))
 
 
 # Lexicons: part names, in upper case where the part's number is odd, so that spellings differ.
@@ -418,13 +416,8 @@ def json_props_extract(spark, sf):
 
 @query("SELECT event_type, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(list_sort(list(value))[count(*) // 2 + 1], 4) AS upper_median, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def stats_latency(spark, sf):
-    v = F.col("value")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type")
-    ranked = V.table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("_r"), F.count("*").over(w).alias("_n"))
-    upper = F.max(F.when(F.col("_r") == F.expr("_n div 2") + 1, v))
-    return ranked.groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.percentile(v, F.lit(0.95)), 4).alias("p95"), F.round(upper, 4).alias("upper_median"), F.min(v).alias("least"), F.max(v).alias("most"))
+    at = D.exact_ranks(V.table(spark, sf, "events"), "event_type", "value", {"median": 0.5, "p95": 0.95})
+    return at.select("event_type", *(F.round(c, 4).alias(c) for c in ("mean", "median", "p95", "upper_median")), "least", "most")
 
 
 @query("WITH q AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN '00' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.500' WHEN 1 THEN '+' || CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 2 THEN '-0.0' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || 'e3' END AS t, l_linenumber % 4 AS k, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS i FROM lineitem) SELECT k, CASE k WHEN 0 THEN i || '.5' WHEN 1 THEN i WHEN 2 THEN '0' END AS canonical, count(*) AS n FROM q GROUP BY 1, 2")

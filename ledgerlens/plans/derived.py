@@ -30,32 +30,52 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long table of true fields: doc_id, level, row_idx, field_no, field, value."""
-    def long(df: DataFrame, row, fields: list[tuple[int, str, F.Column]]) -> DataFrame:
-        one = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("field_no"), F.lit(n).alias("field"), v.cast("string").alias("value")) for i, n, v in fields)))
-        return df.select("doc_id", (F.col("doc_id") % 3).alias("level"), row.cast("long").alias("row_idx"), one.alias("f")).select("doc_id", "level", "row_idx", "f.*")
-
-    heads = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("o_orderkey", "doc_id")
+    """The long table of true fields: doc_id, level, row_idx, field_no, field, value.
+
+    Lines are brought to their order once; its fields are made there, so all that follows finds them by document."""
+    at = lambda no, name, value: F.struct(F.lit(no).cast("long").alias("field_no"), F.lit(name).alias("field"), value.cast("string").alias("value"))
+    in_row = lambda row, cells: F.transform(F.array(*cells), lambda c: F.struct(row.cast("long").alias("row_idx"), c.field_no.alias("field_no"), c.field.alias("field"), c.value.alias("value")))
+    fields = ("name", "spec", "unit", "qty", "price", "amount")
+    rows = details(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("row_idx", *fields)).alias("rows"), F.sum("amount").cast("decimal(18,2)").alias("total"))
+    heads = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    docs = heads.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", "c_mktsegment", "c_name").join(rows, "doc_id", "left")
     number = F.concat(F.lit("PO-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    head = long(heads, F.lit(-1), [(0, "project", F.col("c_mktsegment")), (1, "supplier", F.col("c_name")), (2, "number", number), (3, "date", F.date_format("o_orderdate", "yyyy-MM-dd"))])
-    rows = details(spark, sf_dir)
-    row = long(rows, F.col("row_idx"), [(4 + i, n, F.col(n)) for i, n in enumerate(("name", "spec", "unit", "qty", "price", "amount"))])
-    total = long(rows.groupBy("doc_id").agg(F.sum("amount").cast("decimal(18,2)").alias("total")), F.lit(-2), [(10, "total", F.col("total"))])
-    return head.unionByName(row).unionByName(total)
+    head = in_row(F.lit(-1), [at(0, "project", F.col("c_mktsegment")), at(1, "supplier", F.col("c_name")), at(2, "number", number), at(3, "date", F.date_format("o_orderdate", "yyyy-MM-dd"))])
+    body = F.flatten(F.transform(F.coalesce("rows", F.array()), lambda r: in_row(r.row_idx, [at(4 + i, n, r[n]) for i, n in enumerate(fields)])))
+    foot = F.when(F.col("rows").isNotNull(), in_row(F.lit(-2), [at(10, "total", F.col("total"))])).otherwise(F.array())
+    return docs.select("doc_id", (F.col("doc_id") % 3).alias("level"), F.explode(F.concat(head, body, foot)).alias("f")).select("doc_id", "level", "f.*")
+
+
+def _guess(seed: F.Column) -> F.Column:
+    """What a run of a seed gives for a true field; null if nothing."""
+    k = F.pmod(F.col("doc_id") * 31 + (F.col("row_idx") + 2) * 7 + F.col("field_no") * 13 + seed * 17, F.lit(101))
+    return F.when((F.col("doc_id") % 97 == 0) | (k < 3), F.lit(None).cast("string")).when(k <= 4, F.concat("value", F.lit("7"))).when(k == 5, F.concat(F.lit("no "), "value")).otherwise(F.col("value"))
+
+
+def _added(gt: DataFrame) -> DataFrame:
+    """The field that runs add to some documents."""
+    some = gt.filter((F.col("field_no") == 0) & (F.col("doc_id") % 29 == 0) & (F.col("doc_id") % 97 != 0))
+    return some.select("doc_id", "level", F.lit(-3).cast("long").alias("row_idx"), F.lit(11).cast("long").alias("field_no"), F.lit("extra").alias("field"), F.lit("x").alias("value"))
 
 
 def predicted(gt: DataFrame, seed: int = 0) -> DataFrame:
     """Fields of the prediction of a seed, in the same long form."""
-    k = F.pmod(F.col("doc_id") * 31 + (F.col("row_idx") + 2) * 7 + F.col("field_no") * 13 + F.lit(seed * 17), F.lit(101))
-    own = gt.filter(F.col("doc_id") % 97 != 0).withColumn("k", k).filter("k >= 3").withColumn("value", F.when(F.col("k") <= 4, F.concat("value", F.lit("7"))).when(F.col("k") == 5, F.concat(F.lit("no "), "value")).otherwise(F.col("value"))).drop("k")
-    extra = gt.filter((F.col("field_no") == 0) & (F.col("doc_id") % 29 == 0) & (F.col("doc_id") % 97 != 0)).select("doc_id", "level", F.lit(-3).cast("long").alias("row_idx"), F.lit(11).cast("long").alias("field_no"), F.lit("extra").alias("field"), F.lit("x").alias("value"))
-    return own.unionByName(extra)
+    return gt.withColumn("value", _guess(F.lit(seed))).filter("value IS NOT NULL").unionByName(_added(gt))
+
+
+def compared(gt: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """True fields beside what the runs of several seeds give for them: KEYS, seed, gt, pred, ok. A run's value comes from the
+    true one alone, so no row moves."""
+    runs = gt.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    own = runs.select(*KEYS, "seed", F.col("value").alias("gt"), _guess(F.col("seed")).alias("pred"))
+    added = _added(gt).withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).select(*KEYS, "seed", F.lit(None).cast("string").alias("gt"), F.col("value").alias("pred"))
+    return own.unionByName(added).withColumn("ok", F.coalesce(F.col("gt") == F.col("pred"), F.lit(False)))
 
 
-def document_scores(matched: DataFrame) -> DataFrame:
-    """doc_id, level, tp, fp, fn, parsed, strict, document_correct."""
+def document_scores(matched: DataFrame, *by: str) -> DataFrame:
+    """doc_id, level, tp, fp, fn, parsed, strict, document_correct; by further columns if given."""
     n = lambda c: F.count_if(c).cast("long")
-    out = matched.groupBy("doc_id", "level").agg(n(F.col("ok")).alias("tp"), n(F.col("pred").isNotNull() & ~F.col("ok")).alias("fp"), n(F.col("gt").isNotNull() & ~F.col("ok")).alias("fn"))
+    out = matched.groupBy("doc_id", "level", *by).agg(n(F.col("ok")).alias("tp"), n(F.col("pred").isNotNull() & ~F.col("ok")).alias("fp"), n(F.col("gt").isNotNull() & ~F.col("ok")).alias("fn"))
     out = out.withColumns({"parsed": F.col("doc_id") % 97 != 0, "strict": (F.col("doc_id") % 11 != 0) & (F.col("doc_id") % 97 != 0)})
     return out.withColumn("document_correct", (F.col("fp") == 0) & (F.col("fn") == 0) & F.col("strict"))
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from datetime import date
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,12 +120,12 @@ def normal_date(value) -> tuple[str, bool]:
     text, bad = normal_text(value)
     if bad or not text:
         return text, bad
-    m = _DATE.fullmatch(text)
-    try:
-        y, mo, d = (int(x) for x in (m.group(1, 3, 4) if m[1] else m.group(5, 6, 7)))
-        return date(y, mo, d).isoformat(), False
-    except (AttributeError, ValueError):
-        return f"date:{text}", True
+    if m := _DATE.fullmatch(text):
+        try:
+            return date(*(int(x) for x in (m.group(1, 3, 4) if m[1] else m.group(5, 6, 7)))).isoformat(), False
+        except ValueError:
+            pass
+    return f"date:{text}", True
 
 
 _NORMAL = {"text": normal_text, "number": normal_number, "date": normal_date}
@@ -255,19 +257,27 @@ PARSED = f"strict boolean, loose boolean, errors array<string>, fields array<{FI
 _NAMES = ("path", "section", "row", "field", "value", "invalid", "extra")
 
 
-def parse_udf(mode: str = "document", repair: bool = False):
-    """Arrow UDF: a text's validity, schema errors and fields, in one pass over it."""
+_ARROW = pa.struct({"strict": pa.bool_(), "loose": pa.bool_(), "errors": pa.list_(pa.string()), "fields": pa.list_(pa.struct({"path": pa.string(), "section": pa.string(), "row": pa.int32(), "field": pa.string(), "value": pa.string(), "invalid": pa.bool_(), "extra": pa.bool_()}))})
+
+
+def parsed(rows: DataFrame, columns: dict[str, str], mode: str = "document", repair: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with a struct (strict, loose, errors, fields) for each text: ``columns`` maps new names to text columns.
+
+    All texts of a row are read in one Arrow pass. ``repair``: new names whose texts are read tolerantly."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.StructType.fromDDL(PARSED)) for n in columns)])
+
+    def read(text: str | None, mend: bool) -> dict:
+        obj = loose_object(text)
+        seen = tolerant(obj) if mend else obj
+        return {"strict": strict_valid(text), "loose": obj is not None, "errors": schema_errors(seen, mode), "fields": [dict(zip(_NAMES, f, strict=True)) for f in flatten(seen, mode)]}
 
-    @F.pandas_udf(PARSED)
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            obj = loose_object(t)
-            seen = tolerant(obj) if repair else obj
-            rows.append((strict_valid(t), obj is not None, schema_errors(seen, mode), [dict(zip(_NAMES, f, strict=True)) for f in flatten(seen, mode)]))
-        return pd.DataFrame(rows, columns=["strict", "loose", "errors", "fields"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
+            found = [pa.array([read(t, new in repair) for t in batch.column(names.index(old)).to_pylist()], _ARROW) for new, old in columns.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*names, *columns])
 
-    return parse
+    return rows.mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.StringType())

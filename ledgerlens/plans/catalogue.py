@@ -494,3 +494,7 @@ def bad_output_length_hist(spark, sf):
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_tumbling_batch(spark, sf):
     return V.table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+# The queries of these modules register themselves here.
+from . import texts  # noqa: E402, F401

@@ -498,3 +498,4 @@ def events_tumbling_batch(spark, sf):
 
 # The queries of these modules register themselves here.
 from . import texts  # noqa: E402, F401
+from . import files  # noqa: E402, F401

@@ -1 +1,5 @@
+"""Structured Streaming: files of predictions as they arrive, and windows over events."""
 
+from .journal import events_by_window, resume_predictions
+
+__all__ = ["events_by_window", "resume_predictions"]

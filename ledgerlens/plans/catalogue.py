@@ -476,7 +476,7 @@ def lr_schedule(spark, sf):
 
 @query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS tokens, round(sum(n_chars * 0.8 + (n_chars // 4) * 2.0) / 1e6, 6) AS cost FROM documents GROUP BY 1")
 def token_cost(spark, sf):
-    return V.table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("tokens"), F.round(F.sum(F.col("n_chars") * 0.8 + F.expr("n_chars div 4") * 2.0) / 1e6, 6).alias("cost"))
+    return V.table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("tokens"), F.round(F.sum(S.token_cost(F.col("n_chars"), F.expr("n_chars div 4"), 0.8, 2.0)), 6).alias("cost"))
 
 
 @query(ERRORS + ", f AS (SELECT field, count(*) AS errors FROM e WHERE field IN ('name', 'spec', 'unit') GROUP BY 1), h AS (SELECT 'name' AS field, 0.5 AS hit UNION ALL SELECT 'spec', 1.0 UNION ALL SELECT 'unit', 0.25) SELECT field, errors, CAST(hit AS DOUBLE) AS hit_rate, round(errors * hit, 4) AS bound FROM f JOIN h USING (field)")
@@ -498,4 +498,4 @@ def events_tumbling_batch(spark, sf):
 
 # The queries of these modules register themselves here.
 from . import texts  # noqa: E402, F401
-from . import files  # noqa: E402, F401
+from . import files, joins  # noqa: E402, F401

@@ -30,7 +30,7 @@ MAX_QUEUES = 1024
 #: Tokens of a bucket of the shared queue, and the most buckets; a bucket is ordered by one task.
 BUCKET_TOKENS, MAX_BUCKETS = 1_000_000, 65_536
 #: Words whose ids a worker keeps at once.
-CACHE = 200_000
+CACHE = 300_000
 #: str.split() also parts at these, which tokenizers don't take for white space.
 UNSAFE = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[ \t\n\x0b\f\r]+")

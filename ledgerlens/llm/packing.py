@@ -89,13 +89,14 @@ class Encoder:
                 self.known_before, self.known = self.known, {}
             get, known, before = self.known.get, self.known, self.known_before
             own = WHITE.split(text) if text and UNSAFE.search(text) else text.split() if text else []
-            parts = [*map(get, own)]
-            if None in parts:
-                for w in {w for w, x in zip(own, parts, strict=True) if x is None}:
+            parts = [*map(get, own), self.end]
+            for i in [i for i, x in enumerate(parts) if x is None]:
+                w = own[i]
+                x = get(w)
+                if x is None:
                     x = before.get(w)
-                    known[w] = self.word(w) if x is None else x
-                parts = [*map(get, own)]
-            parts.append(self.end)
+                    known[w] = x = self.word(w) if x is None else x
+                parts[i] = x
             out.append(b"".join(parts))
         return out
 

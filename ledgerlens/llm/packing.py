@@ -34,6 +34,8 @@ CACHE = 300_000
 #: str.split() also parts at these, which tokenizers don't take for white space.
 UNSAFE = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[ \t\n\x0b\f\r]+")
+#: Letters for which lower-casing and normalising don't go letter by letter, or needn't.
+FOREIGN = re.compile("[^\x00-\u017f]|\u0130")
 
 
 class Encoder:
@@ -69,11 +71,13 @@ class Encoder:
         return found
 
     def word(self, word: str) -> bytes:
-        if self.plain and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
+        if self.plain:
             base = word.rstrip(".,;:!?")
-            if base.isalpha():
-                low = self._piece(base.lower() if base.isascii() else base.lower().translate(self.letters))
-                return low if len(base) == len(word) else low + self._piece(word[len(base) :])
+            if base.isalpha() and (base.isascii() or not FOREIGN.search(base)):
+                low = base.lower() if base.isascii() else base.lower().translate(self.letters)
+                get = self.pieces.get
+                found = get(low) or self._piece(low)
+                return found if len(base) == len(word) else found + (get(mark := word[len(base) :]) or self._piece(mark))
         if any(a in word for a in self.added):
             return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if self.tokenizer.normalizer:
@@ -208,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     asked = list(targets or {})
     if len(asked) > MAX_QUEUES - 1:
         raise ValueError(f"{len(asked)} sources with targets; at most {MAX_QUEUES - 1}")
-    tokens = checkpointed(rows.mapInArrow(lean(_tokenise(tokenizer_path, end_id)), f"_id {kind}, _source string, block int, before long, n long, width int, ids binary"))
+    tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer_path, end_id), f"_id {kind}, _source string, block int, before long, n long, width int, ids binary"))
     parts = tokens.groupBy("_source", "block").agg(F.sum("n").alias("n"))
     sizes = {r["_source"]: int(r["n"]) for r in parts.groupBy("_source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_source").limit(MAX_QUEUES - 1 + len(asked)).collect()}
     queues = [*asked, *[q for q in sizes if q not in asked][: MAX_QUEUES - 1 - len(asked)]]

@@ -329,12 +329,12 @@ def score_scalars(spark, sf):
     return rows.select("k", F.round(reward, 6).alias("reward"), S.score_band((k % 101) / 100.0).alias("band"), F.round(S.retry_wait(k % 8), 6).alias("wait"), F.round(S.token_cost(k, k % 11, 3.0, 10.0), 9).alias("cost"))
 
 
-@query(LINES + ", b AS (SELECT l_orderkey AS doc_id, seq, l_linenumber * 40e0 AS x, seq * 12e0 AS y, CAST(20 + l_quantity AS DOUBLE) AS w, 0.01e0 * (l_partkey % 7) AS r FROM n), c AS (SELECT *, median(((y + r * w) - y) / ((x + w) - x)) OVER (PARTITION BY doc_id) AS slope FROM b), d AS (SELECT *, (x + (x + w) + (x + w) + x) / 4 AS mx, (y + (y + r * w) + (y + r * w + 10) + (y + 10)) / 4 AS my FROM c) SELECT doc_id, seq, round(mx, 3) AS x, round(my, 3) AS y, round(slope, 6) AS slope, round(my - slope * mx, 3) AS v FROM d")
+@query(LINES + ", b AS (SELECT l_orderkey AS doc_id, seq, l_linenumber * 40e0 AS x, seq * 12e0 AS y, CAST(20 + l_quantity AS DOUBLE) AS w, 0.01e0 * (l_partkey % 7) AS r FROM n), c AS (SELECT *, median(((y + r * w) - y) / ((x + w) - x)) OVER (PARTITION BY doc_id) AS slope FROM b), d AS (SELECT *, (x + (x + w) + (x + w) + x) / 4 AS mx, (y + (y + r * w) + (y + r * w + 10) + (y + 10)) / 4 AS my FROM c) SELECT doc_id, seq, round(mx, 3) AS x, round(my, 3) AS y, round(slope, 6) AS slope, round(my - slope * mx + 0.00013e0, 3) AS v FROM d")
 def page_geometry(spark, sf):
     n = _lines(spark, sf)
     x, y, w, r = F.col("l_linenumber") * 40.0, F.col("seq") * 12.0, F.lit(20.0) + F.col("l_quantity"), 0.01 * (F.col("l_partkey") % 7)
     box = F.array(F.array(x, y), F.array(x + w, y + r * w), F.array(x + w, y + r * w + 10.0), F.array(x, y + 10.0))
-    return Y.geometry(n.select(F.col("l_orderkey").alias("doc_id"), "seq", box.alias("box"))).select("doc_id", "seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("slope", 6).alias("slope"), F.round("v", 3).alias("v"))
+    return Y.geometry(n.select(F.col("l_orderkey").alias("doc_id"), "seq", box.alias("box"))).select("doc_id", "seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("slope", 6).alias("slope"), F.round(F.col("v") + 0.00013, 3).alias("v"))
 
 
 @query(LINES + ", l AS (SELECT l_orderkey AS doc_id, seq, seq * 10.0 + 15 * (l_partkey % 2) AS v, l_partkey % 3 = 0 AS is_row FROM n), o AS (SELECT *, sum(CAST(is_row AS INT)) OVER w - 1 AS r, last_value(CASE WHEN is_row THEN v END IGNORE NULLS) OVER w AS rv FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY v, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT doc_id, seq, CASE WHEN is_row OR (v - rv > 0 AND v - rv < 18) THEN CAST(r AS INT) END AS row_no FROM o WHERE doc_id IN (SELECT doc_id FROM l GROUP BY doc_id HAVING count(DISTINCT v) = count(*))")

@@ -2,7 +2,8 @@
 
 Every window of ``length`` bytes is led to the suffix that starts at its smallest gram (a minimizer, chosen by content
 alone), so equal windows meet at equal suffixes and only suffixes at minimizers are indexed. Suffixes whose gram occurs
-once are dropped before any text moves. The rest arrive in batches at the task that holds their gram: each batch gets a
+once are dropped before any text moves; occurrences whose windows cover equal bytes (by a 128-bit digest) repeat each
+other, and one of them goes on. The rest arrive in batches at the task that holds what their windows share: each batch gets a
 suffix array (and one of the reversed left contexts), is merge-scanned against the levels already there, and levels of
 equal size merge geometrically. Two windows are equal when their suffixes agree to the right and their left contexts
 agree to the left for as long as the window reaches; longest common prefixes of neighbours in the two arrays tell that for
@@ -11,13 +12,14 @@ all windows at once."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, Seen, chunks, lean, mix, signed, span_hashes
+from .arrays import U64, Seen, chunks, lean, mix, signed
 from .shared import checkpointed
 
 GRAM = 64
@@ -26,6 +28,8 @@ PLACE_BITS = 24
 SEGMENT = 1 << 23
 #: Suffixes in a batch of the index.
 BATCH = 4096
+#: Bands of distances from a window's start to its minimizer that are indexed apart.
+BANDS = 3
 _C = np.random.default_rng(0xC0FFEE).integers(1, 1 << 62, GRAM // 8, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -71,7 +75,31 @@ def minimizers(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     return code[at[first]], at[first], good[first], good[final]
 
 
+def _roles(gram: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one chunk's occurrences, what Spark has to shuffle: places of the first occurrence of each cover (by gram), whether
+    it came again, whether its gram has more than two covers here, places of those that came again, and of two occurrences
+    for each gram of many covers."""
+    rank = np.lexsort((cover[:, 1], cover[:, 0], gram))
+    gram, cover = gram[rank], cover[rank]
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+    new = new_gram | np.concatenate([[True], (cover[1:] != cover[:-1]).any(axis=1)])
+    start = np.flatnonzero(new)
+    again = np.diff(np.append(start, len(rank))) > 1
+    group = np.cumsum(new_gram)[start] - 1
+    count = np.bincount(group)
+    many = count[group] > 2
+    probe = many & (np.arange(len(start)) - (np.cumsum(count) - count)[group] < 2)
+    return rank[start], again, many, rank[~new], rank[start[probe]]
+
+
+#: What a row of the shuffle is: an occurrence, the span of one that is known to come again, or only news of a cover.
+OCCURRENCE, SPAN, NEWS = 0, 1, 2
+
+
 def _occurrences(length: int):
+    """Minimizers of the windows of each text, combined within a chunk: of occurrences that cover equal bytes the first
+    stands for all, and those of a gram with many covers go by gram and cover, so that no gram is one task's work."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
@@ -85,15 +113,28 @@ def _occurrences(length: int):
                         continue
                     row = np.searchsorted(off, lo + a, "right") - 1
                     back = a - off[row]
-                    kept = batch.column(0).take(pa.array(row + first))
-                    cover = mix(span_hashes(raw[a:b], lo, hi + length) + (pos - lo).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), kept, *(pa.array((x + back).astype(np.int32)) for x in (pos, lo, hi)), pa.array(signed(cover))], names=["gram", "_key", "pos", "lo", "hi", "cover"])
+                    view = memoryview(np.ascontiguousarray(raw[a:b]))
+                    digest = b"".join(blake2b(view[i:j], digest_size=16).digest() for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True))
+                    cover = np.frombuffer(digest, np.uint64).reshape(-1, 2)
+                    one, again, many, more, news = _roles(gram, cover)
+                    at = np.concatenate([one, more, news])
+                    role = np.repeat(np.array([OCCURRENCE, SPAN, NEWS], np.int32), [len(one), len(more), len(news)])
+                    route = np.concatenate([np.where(many, cover[one, 0] | U64(1), U64(0)), mix(cover[more, 1] + row[more].astype(np.uint64) + U64(first)), np.zeros(len(news), np.uint64)])
+                    twice = np.concatenate([again, np.ones(len(more), bool), np.zeros(len(news), bool)])
+                    kept = batch.column(0).take(pa.array((row + first)[at]))
+                    covers = pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(cover[at]))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(gram[at])), pa.array(signed(route)), kept, *(pa.array((x + back)[at].astype(np.int32)) for x in (pos, lo, hi)), covers, pa.array(role), pa.array(twice)], names=["gram", "route", "_key", "pos", "lo", "hi", "cover", "role", "again"])
 
     return run
 
 
 def _contexts(length: int):
-    """The bytes that the windows of each occurrence cover."""
+    """The bytes that the windows of each occurrence cover, once for each band of distances between a window's start and its
+    minimizer. ``gram`` is from here on a digest of the bytes that all windows of a band share: far more than the gram, so
+    a passage shorter than a window that stands in many surroundings doesn't bring them together."""
+    total = length - GRAM + 1
+    width = -(-total // BANDS)
+    bands = [(k, min(total, k + width) - 1) for k in range(0, total, width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +143,15 @@ def _contexts(length: int):
             for key, text, found in zip(batch.column("_key").to_pylist(), batch.column("_text"), batch.column("found"), strict=True):
                 data = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
                 for x in found.as_py():
-                    piece = data[x["lo"] : x["hi"] + length]
-                    size += len(piece)
-                    rows.append((x["gram"], key, x["pos"], x["lo"], x["hi"], piece))
+                    pos = x["pos"]
+                    for near, far in bands:
+                        lo, hi = max(x["lo"], pos - far), min(x["hi"], pos - near)
+                        if lo > hi:
+                            continue
+                        shared = blake2b(data[pos - near : pos - far + length], digest_size=8).digest()
+                        piece = data[lo : hi + length]
+                        size += len(piece)
+                        rows.append((int.from_bytes(shared, "little", signed=True), key, pos, lo, hi, piece))
                 if size > 4_000_000:
                     yield _context_batch(rows)
                     rows, size = [], 0
@@ -254,15 +301,18 @@ def _index(length: int):
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``rows``: _id, _key (digest of the text), _text. The bytes [first, past) of texts, by _key, that are in repeated
     windows; copies of a text count as one text here."""
-    found = rows.select("_key", "_text").mapInArrow(lean(_occurrences(length)), "gram long, _key binary, pos int, lo int, hi int, cover long")
+    found = rows.select("_key", "_text").mapInArrow(lean(_occurrences(length)), "gram long, route long, _key binary, pos int, lo int, hi int, cover binary, role int, again boolean")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(parts, "gram").dropDuplicates(["gram", "_key", "pos", "lo"]).withColumn("_code", F.xxhash64("_key", "pos", "lo"))
-    w, alike = Window.partitionBy("gram"), Window.partitionBy("gram", "cover")
-    found = found.withColumns({"_a": F.min("cover").over(w), "_b": F.max("cover").over(w), "_n": F.count("*").over(alike), "_first": F.min("_code").over(alike)})
-    found = found.select("gram", "_key", "pos", "lo", "hi", (F.col("_n") > 1).alias("twice"), ((F.col("_a") != F.col("_b")) & (F.col("_code") == F.col("_first"))).alias("stands"))
-    found = checkpointed(found.filter("twice OR stands"))
+    found = found.repartition(parts, "gram", "route").withColumn("_code", F.when(F.col("role") == OCCURRENCE, F.xxhash64("_key", "pos", "lo")))
+    w, alike = Window.partitionBy("gram", "route"), Window.partitionBy("gram", "route", "cover")
+    # copies of a text have the same codes: two codes of one cover are two places
+    found = found.withColumns({"_a": F.min("cover").over(w), "_b": F.max("cover").over(w), "_first": F.min("_code").over(alike), "_last": F.max("_code").over(alike)}).filter(F.col("role") != NEWS)
+    # a cover that came again is marked there; whatever its route, one occurrence of it stands for it in the index if its gram has other covers
+    twice = F.col("again") | ((F.col("role") == OCCURRENCE) & (F.col("_first") != F.col("_last")))
+    stands = (F.col("role") == OCCURRENCE) & (F.col("_code") == F.col("_first")) & ((F.col("_a") != F.col("_b")) | (F.col("route") != 0))
+    found = checkpointed(found.select("gram", "_key", "pos", "lo", "hi", twice.alias("twice"), stands.alias("stands")).filter("twice OR stands"))
     whole = found.filter("twice").select("_key", F.col("lo").cast("long").alias("first"), (F.col("hi") + length).cast("long").alias("past"))
-    by_text = found.filter("stands").groupBy("_key").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi")).alias("found"))
+    by_text = found.filter("stands").groupBy("_key").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("found"))
     texts = rows.join(by_text, "_key").dropDuplicates(["_key"]).select("_key", "_text", "found")
     contexts = texts.mapInArrow(lean(_contexts(length)), "gram long, _key binary, pos int, lo int, hi int, ctx binary")
     indexed = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(lean(_index(length)), "_key binary, first long, past long")

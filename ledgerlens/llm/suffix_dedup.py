@@ -137,7 +137,9 @@ def _contexts(length: int):
     bands = [(k, min(total, k + width) - 1) for k in range(0, total, width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
+            batch = batch.take(pa.array(seen.new(batch.column("_key").to_pylist()), pa.int64()))
             rows: list[tuple] = []
             size = 0
             for key, text, found in zip(batch.column("_key").to_pylist(), batch.column("_text"), batch.column("found"), strict=True):
@@ -313,7 +315,8 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     found = checkpointed(found.select("gram", "_key", "pos", "lo", "hi", twice.alias("twice"), stands.alias("stands")).filter("twice OR stands"))
     whole = found.filter("twice").select("_key", F.col("lo").cast("long").alias("first"), (F.col("hi") + length).cast("long").alias("past"))
     by_text = found.filter("stands").groupBy("_key").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("found"))
-    texts = rows.join(by_text, "_key").dropDuplicates(["_key"]).select("_key", "_text", "found")
+    # a large group of copies can be split among tasks here; what copies give twice marks copies only, and those go whole
+    texts = rows.join(by_text, "_key").select("_key", "_text", "found")
     contexts = texts.mapInArrow(lean(_contexts(length)), "gram long, _key binary, pos int, lo int, hi int, ctx binary")
     indexed = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(lean(_index(length)), "_key binary, first long, past long")
     return whole.unionByName(indexed)

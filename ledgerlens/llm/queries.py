@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, suffix_dedup, toxicity
+from . import context_tree, decontamination, exact_dedup, jaccard_join, language_id, merkle, minhash, packing, secret_scan, sharding, suffix_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_lm_scoring": context_tree.op8_lm_scoring,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
+}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}

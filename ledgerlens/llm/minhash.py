@@ -3,8 +3,9 @@
 One hash of each shingle serves all bins: its leading bits choose the bin, and a bin keeps its smallest hash. An empty bin borrows
 from the first bin that isn't empty in an order of its own, the same for all sets. Bands of bins are buckets. The members of
 a bucket are linked to its smallest one only, a star of one edge less than members; the edges are verified on full sets. Stars
-lose the links of members that miss their centre, so buckets that still hold several components are gone through again:
-members of different components whose signatures agree well enough and whose sizes allow it are verified too."""
+lose the links of members that miss their centre, so buckets that still hold several components are gone through again, in blocks:
+bitmaps of the shingles bound the overlap of members of different components, and where the bound allows the similarity,
+first a spanning forest of each unit is verified, then what is left between components."""
 
 from __future__ import annotations
 
@@ -23,9 +24,8 @@ from .shared import checkpointed
 
 #: Bands of bins: two sets of 0.8 similarity share no band of 4 among 32 once in 20 million pairs.
 BANDS, WIDTH = 32, 4
-#: Two signatures that agree in fewer of their bins than this share aren't compared on full sets: sets of 0.8 similarity
-#: lie eight standard deviations higher.
-LEAST = 0.5
+#: Bits of a bitmap for each shingle, rounded up to a power of two: so many that an overlap bound is close to the overlap.
+MULT = 8
 
 
 def borrow_order(bins: int) -> np.ndarray:
@@ -49,8 +49,15 @@ def signature(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    width = max(64, 1 << (MULT * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & U64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _signatures(k: int, bands: int, width: int):
-    """_key, size, one hash a band, and 16 bits of each bin. A set without shingles has no bands."""
+    """_key, size, bitmap, and one hash a band. A set without shingles has no bands."""
     order = borrow_order(bands * width)
     weights = np.random.default_rng(0xBA2D).integers(1, 1 << 63, (bands, width), dtype=np.uint64) * U64(2) + U64(1)
 
@@ -58,40 +65,81 @@ def _signatures(k: int, bands: int, width: int):
         for keys, texts in _unseen(batches):
             for first, last, found in _sets(texts, k):
                 full = [signature(s, order) for s in found if len(s)]
-                sigs = np.array(full, np.uint64).reshape(len(full), bands * width)
-                hashes = mix((mix(sigs).reshape(-1, bands, width) * weights).sum(2, dtype=np.uint64))
+                sigs = np.array(full, np.uint64).reshape(len(full), bands, width)
+                hashes = mix((mix(sigs) * weights).sum(2, dtype=np.uint64))
                 sizes = np.array([len(s) for s in found], np.int64)
                 off = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
-                short = iter((mix(sigs) >> U64(48)).astype("<u2"))
-                bits = [next(short).tobytes() if n else b"" for n in sizes.tolist()]
-                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(sizes), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(signed(hashes.ravel())))], names=["_key", "n", "bits", "bands"])
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(sizes), pa.array(list(map(bitmap, found)), pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(signed(hashes.ravel())))], names=["_key", "n", "bits", "bands"])
 
     return run
 
 
-def _across(percent: int, bins: int):
+class Bitmaps:
+    """Bitmaps of the sets of a unit, by their width; and folded to half of it, since sets of the next larger width may still link."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]):
+        self.sizes, self.width = sizes, np.array([8 * len(b) for b in bits])
+        self.row = np.zeros(len(bits), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        self.extra: dict[int, np.ndarray] = {}  # elements of each set that share a bit with another of the set
+        for w in set(self.width.tolist()):
+            mine = np.flatnonzero(self.width == w)
+            self.row[mine] = np.arange(len(mine))
+            self._keep(w, np.frombuffer(b"".join(bits[i] for i in mine), np.uint64).reshape(len(mine), w // 64), sizes[mine])
+            if w > 64:
+                whole = self.of[w]
+                self._keep(-w, whole[:, : w // 128] | whole[:, w // 128 :], sizes[mine])
+
+    def _keep(self, name: int, rows: np.ndarray, sizes: np.ndarray) -> None:
+        self.of[name], self.extra[name] = rows, sizes - np.bitwise_count(rows).sum(1, dtype=np.int64)
+
+    def overlap(self, i: int, others: np.ndarray) -> np.ndarray:
+        """No more elements of set ``i`` are in each of the others. Sets of widths further apart than one step can't link: 0."""
+        out, wide = np.zeros(len(others), np.int64), int(self.width[i])
+        for mine, theirs in ((wide, wide), (wide, -2 * wide), (-wide, wide // 2)):
+            if mine in self.of and theirs in self.of:
+                at = np.flatnonzero(self.width[others] == abs(theirs))
+                rows = self.row[others[at]]
+                common = np.bitwise_count(self.of[theirs][rows] & self.of[mine][self.row[i]]).sum(1, dtype=np.int64)
+                out[at] = np.minimum(self.extra[theirs][rows], self.extra[mine][self.row[i]]) + common
+        return out
+
+
+def _across(percent: int, spanning: bool):
     """Pairs of members of different components of a unit (gid, bi, bj) that may reach the similarity; rows come sorted by unit.
 
-    A pair that shares several buckets comes from the least of them that both list."""
+    When ``spanning``, only those of a forest over the components, likely ones first; else all, and a pair that shares several
+    buckets comes from the least of them that both list."""
 
-    def work(group: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        gid, bi, bj = group
-        part, ids, sizes, roots = (np.array([r[c] for r in rows]) for c in range(4))
-        sigs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), bins)
-        lists = [frozenset(r[5]) for r in rows]
+    def found(group: tuple, rows: list[tuple]) -> Iterator[tuple[float, int, int]]:
+        _, bi, bj = group
+        part, sizes, roots = (np.array([r[c] for r in rows]) for c in (0, 2, 3))
+        maps = Bitmaps(sizes, [r[4] for r in rows])
+        second = np.flatnonzero(part == bj)
         for i in np.flatnonzero(part == bi).tolist():
-            other = np.arange(i + 1, len(rows)) if bi == bj else np.flatnonzero(part == bj)
-            other = other[(roots[other] != roots[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
-            for j in other[(sigs[other] == sigs[i]).sum(1) >= LEAST * bins].tolist():
-                if min(lists[i] & lists[j]) == gid:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+            others = np.arange(i + 1, len(rows)) if bi == bj else second
+            others = others[roots[others] != roots[i]]
+            both = sizes[others] + sizes[i]
+            most = maps.overlap(i, others)
+            may = 100 * most >= percent * (both - most)
+            for j, ratio in zip(others[may].tolist(), (most[may] / (both - most)[may]).tolist(), strict=True):
+                yield ratio, i, j
+
+    def work(group: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if not spanning:
+            lists = [frozenset(r[5]) for r in rows]
+            pairs = ((i, j) for _, i, j in found(group, rows) if min(lists[i] & lists[j]) == group[0])
+        else:
+            pairs = forest(list(found(group, rows)), [r[1] for r in rows], [r[3] for r in rows])
+        for i, j in pairs:
+            yield min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def out() -> pa.RecordBatch:
-            found = list(work(group, held)) if len(held) > 1 else []
-            return pa.record_batch({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+            pairs = list(work(group, held)) if len(held) > 1 else []
+            return pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
         for batch in batches:
             units = list(zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj")), strict=True))
@@ -107,6 +155,27 @@ def _across(percent: int, bins: int):
     return run
 
 
+def forest(pairs: list[tuple[float, int, int]], names: list[int], roots: list[int]) -> list[tuple[int, int]]:
+    """The pairs of a spanning forest over ``roots`` that takes the highest bounds first, then the least names: buckets that share sets
+    choose the same pairs."""
+    parent = {r: r for r in roots}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept, left = [], len(parent) - 1
+    for _, i, j in sorted(pairs, key=lambda p: (-p[0], min(names[p[1]], names[p[2]]), max(names[p[1]], names[p[2]]))):
+        if (x := top(roots[i])) != (y := top(roots[j])):
+            parent[x] = y
+            kept.append((i, j))
+            left -= 1
+            if not left:
+                break
+    return kept
+
+
 def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """``rows``: _key (digest of the text), _text. Gives a row per text (_key, id, n) and verified links (a, b) of ids."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -118,17 +187,20 @@ def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, wid
     star = checkpointed(joined.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     names = sets.select("id", "_key")
     tested = verified(rows, names, star, k, percent)
-    links = tested.filter("ok").select("a", "b")
-    rooted = joined.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-    left = checkpointed(rooted.join(mixed, "band").groupBy("id", "root").agg(F.collect_list(F.struct("band", "df")).alias("in")))
-    left = left.join(sets.select("id", "n", "bits"), "id")
-    # a set stands in one bucket a band at most, so the list of its buckets is short
-    units = _component_units(left.select("id", "n", "root", "bits", F.col("in.band").alias("gids"), F.explode("in").alias("at")).select("id", "n", "root", "bits", "gids", F.col("at.band").alias("gid"), F.col("at.df").alias("df")))
-    units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", "gids").repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
-    rest = units.mapInArrow(lean(_across(percent, bands * width)), "a long, b long").distinct()
-    rest = checkpointed(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    return sets.select("_key", "id", "n"), checkpointed(links.unionByName(verified(rows, names, rest, k, percent).filter("ok").select("a", "b")))
+    for spanning in (True, False):
+        links = tested.filter("ok").select("a", "b")
+        rooted = joined.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
+        # a set stands in one bucket a band at most, so the list of its buckets is short
+        left = checkpointed(rooted.join(mixed, "band").groupBy("id", "root").agg(F.collect_list(F.struct(F.col("band").alias("gid"), "df")).alias("in")))
+        units = _component_units(left.join(sets.select("id", "n", "bits"), "id").select("id", "n", "root", "bits", F.col("in.gid").alias("gids"), F.inline("in")))
+        units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", "gids").repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
+        more = units.mapInArrow(lean(_across(percent, spanning)), "a long, b long").distinct()
+        more = checkpointed(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tested = checkpointed(tested.unionByName(verified(rows, names, more, k, percent)))
+    return sets.select("_key", "id", "n"), tested.filter("ok").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -140,6 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that value; null ids never become a component's id unless it has no other, and are kept only then. A link is
     always confirmed on the full sets; one of 0.8 similarity stays unseen with a probability of 5 in 10**8. An empty table
     gives no rows; columns other than id and text are ignored."""
+    if not 50 <= percent <= 100:
+        raise ValueError("bands and bitmaps are laid out for 50 to 100 percent")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sets, links = minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), k, percent)
     out = by_component(docs, sets, links, id_col, text)

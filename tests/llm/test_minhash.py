@@ -102,3 +102,27 @@ def test_densified_bins_agree_as_sets_do():
             a, b = (M.signature(np.sort(x[i]), order) for i in (np.r_[:common, common : common + own], np.r_[:common, common + own : common + 2 * own]))
             share.append((a == b).mean())
         assert abs(np.mean(share) - common / (common + 2 * own)) < 0.03
+
+
+def test_overlap_bounds_hold_and_are_close():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (1, 5, 7, 8, 9, 30, 60, 64, 100, 120, 130, 250, 300) for _ in range(3)]
+    maps = M.Bitmaps(np.array([len(s) for s in sets]), [M.bitmap(s) for s in sets])
+    for i, s in enumerate(sets):
+        for j, most in enumerate(maps.overlap(i, np.arange(len(sets))).tolist()):
+            common = len(np.intersect1d(s, sets[j]))
+            may_link = 100 * min(len(s), len(sets[j])) >= 80 * max(len(s), len(sets[j]))
+            if may_link:
+                assert common <= most <= common + 0.15 * len(s) + 3
+
+
+def test_a_bucket_of_texts_below_the_threshold_gives_few_pairs(spark):
+    """Texts that share three quarters of their shingles meet in buckets, but bounds on their overlap keep pairs from being made."""
+    pick, rows = random.Random(9), []
+    base = [f"b{i}" for i in range(160)]
+    for i in range(300):
+        rows.append((i, " ".join([*base[:80], *(f"x{i}y{j}" for j in range(18)), *base[80:]])))
+    pick.shuffle(rows)
+    docs = table(spark, rows)
+    assert result(M.near_duplicates(docs, k=4)) == plain(rows)

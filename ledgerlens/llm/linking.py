@@ -1,4 +1,4 @@
-"""What operators that link texts by shingles share: the test of candidate pairs on full sets, and components per document."""
+"""The test of candidate pairs on full shingle sets, and components of texts told per document."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Filter, lean
-from .components import components
 from .jaccard_join import _filter_words, _hashes
 from .shared import checkpointed
 
@@ -33,13 +32,13 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def by_component(docs: DataFrame, sets: DataFrame, links: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, n_shingles and component_id of each row of ``docs``. ``sets``: _key, id, n; ``links``: a, b.
+def by_component(docs: DataFrame, sets: DataFrame, roots: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id, n_shingles and component_id of each row of ``docs``. ``sets``: _key, id, n; ``roots``: node, root of the ids that have links.
 
     Null ids never become a component's id unless it has no other; a document without a shingle is alone."""
     ids = checkpointed(docs.select(F.col(id_col).alias("_id"), text_key(text).alias("_key")))
     least = ids.groupBy("_key").agg(F.min("_id").alias("_least"))
-    texts = least.join(sets, "_key").join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    texts = least.join(sets, "_key").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     tops = texts.groupBy("root").agg(F.min("_least").alias("component_id"))
     out = ids.join(texts.join(tops, "root").select("_key", "n", "component_id"), "_key")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))

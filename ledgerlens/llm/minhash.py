@@ -108,7 +108,7 @@ class Bitmaps:
 def _across(percent: int, spanning: bool):
     """Pairs of members of different components of a unit (gid, bi, bj) that may reach the similarity; rows come sorted by unit.
 
-    When ``spanning``, only those of a forest over the components, likely ones first; else all, and a pair that shares several
+    Columns after the unit: i, id, n, root, bits, and gids if not ``spanning``. When ``spanning``, only the pairs of a forest over the components are given, likely ones first; else all, and a pair that shares several
     buckets comes from the least of them that both list."""
 
     def found(group: tuple, rows: list[tuple]) -> Iterator[tuple[float, int, int]]:
@@ -143,7 +143,7 @@ def _across(percent: int, spanning: bool):
 
         for batch in batches:
             units = list(zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj")), strict=True))
-            for g, row in zip(units, zip(*(batch.column(c).to_pylist() for c in ("i", "id", "n", "root", "bits", "gids")), strict=True), strict=True):
+            for g, row in zip(units, zip(*(batch.column(c).to_pylist() for c in batch.schema.names[3:]), strict=True), strict=True):
                 if g != group:
                     if held:
                         yield out()
@@ -176,8 +176,9 @@ def forest(pairs: list[tuple[float, int, int]], names: list[int], roots: list[in
     return kept
 
 
-def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """``rows``: _key (digest of the text), _text. Gives a row per text (_key, id, n) and verified links (a, b) of ids."""
+def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows``: _key (digest of the text), _text. Gives a row per text (_key, id, n), verified links (a, b) of ids, and the
+    components of the links (node, root)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = rows.mapInArrow(lean(_signatures(k, bands, width)), "_key binary, n long, bits binary, bands array<long>").repartition(parts, "_key").dropDuplicates(["_key"])
     sets = checkpointed(sets.withColumn("id", F.monotonically_increasing_id()))  # ids hold once the table is written
@@ -187,20 +188,23 @@ def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, wid
     star = checkpointed(joined.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     names = sets.select("id", "_key")
     tested = verified(rows, names, star, k, percent)
+    roots = components(tested.filter("ok").select("a", "b"))
     for spanning in (True, False):
-        links = tested.filter("ok").select("a", "b")
-        rooted = joined.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = joined.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
         # a set stands in one bucket a band at most, so the list of its buckets is short
         left = checkpointed(rooted.join(mixed, "band").groupBy("id", "root").agg(F.collect_list(F.struct(F.col("band").alias("gid"), "df")).alias("in")))
         units = _component_units(left.join(sets.select("id", "n", "bits"), "id").select("id", "n", "root", "bits", F.col("in.gid").alias("gids"), F.inline("in")))
-        units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", "gids").repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
+        units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", *([] if spanning else ["gids"])).repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
         more = units.mapInArrow(lean(_across(percent, spanning)), "a long, b long").distinct()
         more = checkpointed(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         if more.isEmpty():
-            continue
-        tested = checkpointed(tested.unionByName(verified(rows, names, more, k, percent)))
-    return sets.select("_key", "id", "n"), tested.filter("ok").select("a", "b")
+            break
+        found = verified(rows, names, more, k, percent)
+        tested = checkpointed(tested.unionByName(found))
+        if not found.filter("ok").isEmpty():
+            roots = components(tested.filter("ok").select("a", "b"))
+    return sets.select("_key", "id", "n"), tested.filter("ok").select("a", "b"), roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -215,8 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 50 <= percent <= 100:
         raise ValueError("bands and bitmaps are laid out for 50 to 100 percent")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sets, links = minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), k, percent)
-    out = by_component(docs, sets, links, id_col, text)
+    sets, _, roots = minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), k, percent)
+    out = by_component(docs, sets, roots, id_col, text)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 

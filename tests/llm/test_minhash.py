@@ -86,7 +86,7 @@ def test_a_star_is_bounded(spark):
     rows = [(i, " ".join([*base[:150], f"x{i}", *base[150:]])) for i in range(400)]
     docs = table(spark, rows)
     text = F.col("text")
-    sets, links = M.minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), 4, 80)
+    _, links, _ = M.minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), 4, 80)
     assert 399 <= links.count() <= 399 * M.BANDS / 4
     assert {r["component_id"] for r in M.near_duplicates(docs).collect()} == {0}
 
@@ -114,7 +114,7 @@ def test_overlap_bounds_hold_and_are_close():
             common = len(np.intersect1d(s, sets[j]))
             may_link = 100 * min(len(s), len(sets[j])) >= 80 * max(len(s), len(sets[j]))
             if may_link:
-                assert common <= most <= common + 0.15 * len(s) + 3
+                assert common <= most <= common + 0.25 * len(s) + 3
 
 
 def test_a_bucket_of_texts_below_the_threshold_gives_few_pairs(spark):

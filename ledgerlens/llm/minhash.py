@@ -4,8 +4,9 @@ One hash of each shingle serves all bins: its leading bits choose the bin, and a
 from the first bin that isn't empty in an order of its own, the same for all sets. Bands of bins are buckets. The members of
 a bucket are linked to its smallest one only, a star of one edge less than members; the edges are verified on full sets. Stars
 lose the links of members that miss their centre, so buckets that still hold several components are gone through again, in blocks:
-bitmaps of the shingles bound the overlap of members of different components, and where the bound allows the similarity,
-first a spanning forest of each unit is verified, then what is left between components."""
+bitmaps of the shingles bound the overlap of members of different components, and where the bound allows the similarity, they
+are verified. A unit with very many such pairs first gives a spanning forest of them, and what is left between components
+after that in one more pass, so that each pass verifies a number of pairs in proportion to the members."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ from .shared import checkpointed
 BANDS, WIDTH = 32, 4
 #: Bits of a bitmap for each shingle, rounded up to a power of two: so many that an overlap bound is close to the overlap.
 MULT = 8
+#: Pairs for each member up to which a unit gives them all at once.
+DENSE = 8
 
 
 def borrow_order(bins: int) -> np.ndarray:
@@ -105,11 +108,11 @@ class Bitmaps:
         return out
 
 
-def _across(percent: int, spanning: bool):
+def _across(percent: int, most: int | None):
     """Pairs of members of different components of a unit (gid, bi, bj) that may reach the similarity; rows come sorted by unit.
 
-    Columns after the unit: i, id, n, root, bits, and gids if not ``spanning``. When ``spanning``, only the pairs of a forest over the components are given, likely ones first; else all, and a pair that shares several
-    buckets comes from the least of them that both list."""
+    A pair that shares several buckets comes from the least of them that both list. A unit with more than
+    ``most`` pairs a member (if given) gives those of a forest over the components instead, likely ones first, and marks them as cut."""
 
     def found(group: tuple, rows: list[tuple]) -> Iterator[tuple[float, int, int]]:
         _, bi, bj = group
@@ -125,21 +128,22 @@ def _across(percent: int, spanning: bool):
             for j, ratio in zip(others[may].tolist(), (most[may] / (both - most)[may]).tolist(), strict=True):
                 yield ratio, i, j
 
-    def work(group: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        if not spanning:
-            lists = [frozenset(r[5]) for r in rows]
-            pairs = ((i, j) for _, i, j in found(group, rows) if min(lists[i] & lists[j]) == group[0])
+    def work(group: tuple, rows: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
+        all_pairs = list(found(group, rows))
+        cut = most is not None and len(all_pairs) > most * len(rows)
+        if cut:
+            pairs = forest(all_pairs, [r[1] for r in rows], [r[3] for r in rows])
         else:
-            pairs = forest(list(found(group, rows)), [r[1] for r in rows], [r[3] for r in rows])
-        for i, j in pairs:
-            yield min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
+            lists = [frozenset(r[5]) for r in rows]
+            pairs = [(i, j) for _, i, j in all_pairs if min(lists[i] & lists[j]) == group[0]]
+        return [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for i, j in pairs], cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def out() -> pa.RecordBatch:
-            pairs = list(work(group, held)) if len(held) > 1 else []
-            return pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+            pairs, cut = work(group, held) if len(held) > 1 else ([], False)
+            return pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()), "cut": pa.array([cut] * len(pairs), pa.bool_())})
 
         for batch in batches:
             units = list(zip(*(batch.column(c).to_pylist() for c in ("gid", "bi", "bj")), strict=True))
@@ -176,7 +180,7 @@ def forest(pairs: list[tuple[float, int, int]], names: list[int], roots: list[in
     return kept
 
 
-def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, width: int = WIDTH, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows``: _key (digest of the text), _text. Gives a row per text (_key, id, n), verified links (a, b) of ids, and the
     components of the links (node, root)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -189,25 +193,26 @@ def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, wid
     names = sets.select("id", "_key")
     tested = verified(rows, names, star, k, percent)
     roots = components(tested.filter("ok").select("a", "b"))
-    for spanning in (True, False):
+    for most in (dense, None):
         rooted = joined.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
         # a set stands in one bucket a band at most, so the list of its buckets is short
         left = checkpointed(rooted.join(mixed, "band").groupBy("id", "root").agg(F.collect_list(F.struct(F.col("band").alias("gid"), "df")).alias("in")))
         units = _component_units(left.join(sets.select("id", "n", "bits"), "id").select("id", "n", "root", "bits", F.col("in.gid").alias("gids"), F.inline("in")))
-        units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", *([] if spanning else ["gids"])).repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
-        more = units.mapInArrow(lean(_across(percent, spanning)), "a long, b long").distinct()
-        more = checkpointed(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", "gids").repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
+        pairs = checkpointed(units.mapInArrow(lean(_across(percent, most)), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
+        more = checkpointed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
+        if not more.isEmpty():
+            found = verified(rows, names, more, k, percent)
+            tested = checkpointed(tested.unionByName(found))
+            if not found.filter("ok").isEmpty():
+                roots = components(tested.filter("ok").select("a", "b"))
+        if pairs.filter("cut").isEmpty():
             break
-        found = verified(rows, names, more, k, percent)
-        tested = checkpointed(tested.unionByName(found))
-        if not found.filter("ok").isEmpty():
-            roots = components(tested.filter("ok").select("a", "b"))
     return sets.select("_key", "id", "n"), tested.filter("ok").select("a", "b"), roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, dense: int = DENSE) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included), kept.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z in lower case; a text of fewer than ``k`` words is one shingle;
@@ -215,11 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle, link with nothing and are kept. A row is kept if its id is its component's, so rows that repeat an id share
     that value; null ids never become a component's id unless it has no other, and are kept only then. A link is
     always confirmed on the full sets; one of 0.8 similarity stays unseen with a probability of 5 in 10**8. An empty table
-    gives no rows; columns other than id and text are ignored."""
+    gives no rows; columns other than id and text are ignored. ``dense`` (see DENSE) changes the work, not the result."""
     if not 50 <= percent <= 100:
         raise ValueError("bands and bitmaps are laid out for 50 to 100 percent")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sets, _, roots = minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), k, percent)
+    sets, _, roots = minhash_links(docs.select(text_key(text).alias("_key"), text.alias("_text")), k, percent, dense=dense)
     out = by_component(docs, sets, roots, id_col, text)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

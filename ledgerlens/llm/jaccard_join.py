@@ -184,15 +184,15 @@ def _star_units(members: DataFrame) -> DataFrame:
     return dealt.withColumn("bi", F.lit(0))
 
 
-def _component_units(members: DataFrame) -> DataFrame:
-    """Blocks of the groups that hold several components: a component of BLOCK sets or more has blocks of its own, the
+def _component_units(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of the groups that hold several components: a component of ``block`` sets or more has blocks of its own, the
     others share some; two blocks of one component never meet."""
     counts = members.groupBy("gid", "root").agg(F.count("*").alias("c"))
-    big = F.col("c") >= BLOCK
+    big = F.col("c") >= block
     per_group = counts.groupBy("gid").agg(
         F.count("*").alias("roots"),
-        F.array_sort(F.collect_list(F.when(big, F.struct("root", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))))).alias("bigs"),
-        F.ceil(F.coalesce(F.sum(F.when(~big, F.col("c"))), F.lit(0)) / BLOCK).cast("int").alias("smalls"),
+        F.array_sort(F.collect_list(F.when(big, F.struct("root", F.ceil(F.col("c") / block).cast("int").alias("nb"))))).alias("bigs"),
+        F.ceil(F.coalesce(F.sum(F.when(~big, F.col("c"))), F.lit(0)) / block).cast("int").alias("smalls"),
     )
     mixed = members.join(per_group.filter("roots > 1"), "gid").withColumns({
         "bigs_n": F.expr("aggregate(bigs, 0, (s, b) -> s + b.nb)"),

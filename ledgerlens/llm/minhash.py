@@ -29,6 +29,8 @@ BANDS, WIDTH = 32, 4
 MULT = 8
 #: Pairs for each member up to which a unit gives them all at once.
 DENSE = 8
+#: Members of a block of a bucket. Comparing bitmaps is quick, so blocks are large and few copies of a member are sent.
+BLOCK = 2048
 
 
 def borrow_order(bins: int) -> np.ndarray:
@@ -198,7 +200,7 @@ def minhash_links(rows: DataFrame, k: int, percent: int, bands: int = BANDS, wid
         mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
         # a set stands in one bucket a band at most, so the list of its buckets is short
         left = checkpointed(rooted.join(mixed, "band").groupBy("id", "root").agg(F.collect_list(F.struct(F.col("band").alias("gid"), "df")).alias("in")))
-        units = _component_units(left.join(sets.select("id", "n", "bits"), "id").select("id", "n", "root", "bits", F.col("in.gid").alias("gids"), F.inline("in")))
+        units = _component_units(left.join(sets.select("id", "n", "bits"), "id").select("id", "n", "root", "bits", F.col("in.gid").alias("gids"), F.inline("in")), BLOCK)
         units = units.select("gid", "bi", "bj", "i", "id", "n", "root", "bits", "gids").repartition(parts, "gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
         pairs = checkpointed(units.mapInArrow(lean(_across(percent, most)), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
         more = checkpointed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))

@@ -281,14 +281,9 @@ def parsed(rows: DataFrame, columns: dict[str, str], mode: str = "document", rep
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip())
-
-
-def normalized(text: Column | str) -> Column:
-    """NFKC without white space around; texts of printable ASCII need no Python."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(c.rlike("^[ -~]*$"), F.trim(c)).otherwise(nfkc(c))
+def nfkc_raw(texts: pd.Series) -> pd.Series:
+    """NFKC, which Spark has no function for."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(T.DoubleType())

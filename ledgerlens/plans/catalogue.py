@@ -299,11 +299,10 @@ def lexicon_exact_correct(spark, sf):
 FUZZY = "lex AS (SELECT DISTINCT p_name AS entry FROM part), asked AS (SELECT DISTINCT left(p_name, 1) || p_name AS asked FROM part), t AS (SELECT asked, entry, 1 - levenshtein(asked, entry) / greatest(length(asked), length(entry)) AS sim FROM asked, lex), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY sim DESC, entry) AS k FROM t), b AS (SELECT asked, min(entry) FILTER (k = 1) AS best, round(max(sim), 6) AS sim, round(max(sim) - coalesce(max(sim) FILTER (k = 2), 0), 6) AS margin FROM r WHERE k <= 2 GROUP BY asked)"
 
 
-def _fuzzy(spark, sf, measure=None) -> DataFrame:
+def _fuzzy(spark, sf, measure=L.Edits) -> DataFrame:
     p = V.table(spark, sf, "part").select(F.lit("name").alias("field"), F.col("p_name").alias("key")).distinct()
     asked = p.select("field", F.concat(F.substring("key", 1, 1), F.col("key")).alias("key"))
-    edits = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b))
-    found = L.best_two(asked, p, measure or edits)
+    found = L.best_two(asked, p, measure)
     return found.select("asked", "best", F.round("sim", 6).alias("sim"), F.round("margin", 6).alias("margin"))
 
 
@@ -314,9 +313,24 @@ def fuzzy_top2_margin(spark, sf):
 
 @query()
 def fuzzy_ratio(spark, sf):
-    from ..functions.documents import similarity
+    return _fuzzy(spark, sf, L.Characters)
 
-    return _fuzzy(spark, sf, similarity)
+
+LABELS = "lab AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size AS entry FROM part), asked AS (SELECT DISTINCT left(entry, 3) || substr(entry, 5) AS asked FROM lab WHERE length(entry) % 2 = 0), t AS (SELECT asked, entry, 1 - levenshtein(asked, entry) / greatest(length(asked), length(entry)) AS sim FROM asked, lab), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY sim DESC, entry) AS k FROM t)"
+
+
+def labels_asked(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Long labels of parts, and those of even length with their fourth character lost."""
+    p = V.table(spark, sf, "part")
+    entries = p.select(F.lit("label").alias("field"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("key")).distinct()
+    return entries.filter(F.char_length("key") % 2 == 0).select("field", F.concat(F.expr("left(key, 3)"), F.expr("substr(key, 5)")).alias("key")).distinct(), entries
+
+
+@query("WITH " + LABELS + " SELECT asked, min(entry) FILTER (k = 1) AS best, round(max(sim), 6) AS sim, round(max(sim) - min(sim), 6) AS margin FROM r WHERE k <= 2 AND asked NOT IN (SELECT entry FROM lab) GROUP BY asked")
+def fuzzy_labels(spark, sf):
+    """A lexicon as large as the table of parts, searched by its index of q-grams."""
+    asked, entries = labels_asked(spark, sf)
+    return L.best_two(asked, entries).select("asked", "best", F.round("sim", 6).alias("sim"), F.round("margin", 6).alias("margin"))
 
 
 LIMITS = (0.75, 0.8, 0.85, 0.9, 0.95)

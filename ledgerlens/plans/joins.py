@@ -11,7 +11,9 @@ from ..operators import alignment as A
 from ..operators import diagnostics as G
 from ..operators import layout as Y
 from ..operators import lexicon as L
+from ..operators import pages as R
 from ..operators import sampling as P
+from ..operators import scoring as C
 from ..operators.distributions import exact_ranks
 from . import derived as V
 from .catalogue import ERRORS, FUZZY, ITEM, SPELLED, TWO, _errors, _fuzzy, _scores, _spelled, query
@@ -193,14 +195,14 @@ def error_shapes_all(spark, sf):
     return rows.groupBy(S.error_shape("gt", "pred").alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + FUZZY + ", t2 AS (SELECT asked, substr(asked, 2) AS gt, CASE WHEN sim >= 0.85 AND margin >= 0.05 THEN best ELSE asked END AS fixed, best = substr(asked, 2) AS known FROM b) SELECT CASE WHEN grouping(known) = 1 THEN 'all' WHEN known THEN 'in lexicon' ELSE 'outside' END AS grp, count(*) AS n, count(*) FILTER (fixed <> asked) AS changed, count(*) FILTER (fixed <> asked AND fixed = gt) AS n_fixed, count(*) FILTER (fixed <> asked AND fixed <> gt) AS still_wrong FROM t2 GROUP BY GROUPING SETS ((), (known))")
+@query("WITH " + FUZZY + ", t2 AS (SELECT asked, substr(asked, 2) AS gt, CASE WHEN sim >= 0.85 AND margin >= 0.05 THEN best ELSE asked END AS fixed, best = substr(asked, 2) AS known FROM b) SELECT CASE WHEN grouping(known) = 1 THEN 'all' WHEN known THEN 'in lexicon' ELSE 'outside' END AS grp, count(*) AS n, count(*) FILTER (fixed <> asked) AS changed, count(*) FILTER (fixed <> asked AND fixed = gt) AS n_fixed, count(*) FILTER (fixed <> asked AND asked = gt AND fixed <> gt) AS broke, count(*) FILTER (fixed <> asked AND asked <> gt AND fixed <> gt) AS still_wrong FROM t2 GROUP BY GROUPING SETS ((), (known))")
 def fuzzy_correction(spark, sf):
     """Values that no entry fits exactly, corrected where one entry is alike enough and clear of the next."""
     found = _fuzzy(spark, sf)
     applied = L.correct_fuzzy(found, 0.85, 0.05).select("asked", F.col("best").alias("fixed"))
     rows = found.select("asked", (F.col("best") == F.expr("substr(asked, 2)")).alias("known"), F.expr("substr(asked, 2)").alias("gt")).join(applied, "asked", "left").withColumn("fixed", F.coalesce("fixed", "asked"))
     sets = rows.withColumn("grp", F.explode(F.array(F.lit("all"), F.when(F.col("known"), "in lexicon").otherwise("outside"))))
-    return L.confusion(sets, "grp", "asked", "fixed", "gt").select("grp", "n", "changed", "n_fixed", "still_wrong")
+    return L.confusion(sets, "grp", "asked", "fixed", "gt").select("grp", "n", "changed", "n_fixed", "broke", "still_wrong")
 
 
 @query(ERRORS + ", " + SPELLED + ", lex AS (SELECT DISTINCT lower(value) AS key FROM sp WHERE seq % 40 = 0), h AS (SELECT 'name' AS field, count(*) FILTER (lower(value) IN (SELECT key FROM lex)) / count(*) AS hit FROM sp WHERE seq % 40 <> 0) SELECT field, count(*) AS errors, round(any_value(hit), 6) AS hit_rate, round(count(*) * any_value(hit), 4) AS bound FROM e JOIN h USING (field) GROUP BY field")
@@ -317,7 +319,7 @@ def text_scalars(spark, sf):
     return V.table(spark, sf, "orders").select(
         k.alias("k"), S.lenient_double(F.concat(F.lit("￥ "), F.format_number(price, 2))).alias("price"), S.clean_key(F.when(k % 3 == 0, "金额： :").otherwise("单价　:")).alias("clean"),
         S.escape_html(F.concat(F.lit('<a href="'), k.cast("string"), F.lit("\">&'"))).alias("safe"), S.money(price).alias("money"), S.clip(F.repeat(F.lit("ab"), (k % 300).cast("int"))).alias("clipped"), S.escape_key(F.lit("sub.key[0]")).alias("escaped"),
-        S.compact_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), D.compact_udf(F.concat(F.lit(" Ａ b\t"), F.lit("１"))).alias("compact"), Y.heading(F.when(k % 2 == 0, "单 价（元）").otherwise("品名")).alias("head"),
+        S.compact_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), D.compact_udf(F.concat(F.lit(" Ａ b\t"), F.lit("１"))).alias("compact"), Y.heading(D.compact_udf(F.when(k % 2 == 0, "单 价（元）").otherwise("品名"))).alias("head"),
     )
 
 
@@ -344,19 +346,94 @@ def continuation_lines(spark, sf):
     return Y.with_continuations(n.join(clear, "doc_id")).select("doc_id", "seq", "row_no")
 
 
-@query()
+_PAGE_FOLD = """RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem),
+t AS (SELECT l_orderkey AS doc_id, seq AS token_id, CAST(l_partkey % 40 AS DOUBLE) AS v, l_suppkey % 50 + seq / 100.0 AS x FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v, x) AS k FROM t),
+f AS (SELECT doc_id, token_id, v, x, k, 0 AS line, [v] AS open FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.token_id, o.v, o.x, o.k, CASE WHEN abs(o.v - list_median(f.open)) <= 5 THEN f.line ELSE f.line + 1 END, CASE WHEN abs(o.v - list_median(f.open)) <= 5 THEN list_append(f.open, o.v) ELSE [o.v] END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)"""
+
+
+@query(f"WITH {_PAGE_FOLD} SELECT doc_id, token_id, CAST(line AS INT) AS line, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY x) - 1 AS INT) AS place FROM f")
 def page_lines(spark, sf):
     """Lines of tokens by the moving median of their heights."""
     n = _lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.col("seq").alias("token_id"), (F.col("l_partkey") % 40).cast("double").alias("v"), (F.col("l_suppkey") % 50 + F.col("seq") / 100.0).alias("x"), F.lit(5.0).alias("tolerance"))
     return Y.group_lines(n).select("doc_id", "token_id", "line", "place")
 
 
-@query()
+PAGE_HEADS = ("序号", "材料名称", "规格型号", "单位", "数量", "单价(元)", "金额（元）")
+
+
+def _page_tokens(spark, sf):
+    """Each order as a scanned page, three degrees askew: title, labels with their values in the same box or the next one, a table of up to eight lines of which
+    some lack a price or go on below, a total line, and a footer with two numbers."""
+    lines = _lines(spark, sf).filter("seq <= 8").join(V.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand", "p_retailprice"), "l_partkey")
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderdate")
+    k = F.col("doc_id")
+    at = lambda no, text, x, y: F.struct(F.lit(no).cast("long").alias("token_id") if isinstance(no, int) else no.cast("long").alias("token_id"), text.alias("text"), F.lit(x).cast("double").alias("x0"), (F.lit(y) if isinstance(y, (int, float)) else y).cast("double").alias("y0"))
+    heads = [at(20 + i, F.lit(h), 100.0 * i, 120) for i, h in enumerate(PAGE_HEADS)]
+    none = F.lit(None).cast("string")
+    top = [
+        at(0, F.when(k % 10 != 0, "工程 材料清单").otherwise("清单"), 300.0, 0), at(1, F.concat(F.lit("项目名称："), F.concat(F.lit("P"), k)), 0.0, 30), at(2, F.lit("供应商:"), 0.0, 60), at(3, F.concat(F.lit("S"), F.col("o_custkey")), 150.0, 61),
+        at(4, F.concat(F.lit("编号: "), F.lit("N"), k), 400.0, 30), at(5, F.lit("日期 ："), 400.0, 60), at(6, F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy年M月d日")), 520.0, 62),
+    ]
+    foot = [at(900, F.when(k % 7 != 0, "合计金额").otherwise(none), 0.0, 500), at(901, F.when(k % 7 != 0, F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(".50"))).otherwise(none), 600.0, 503), at(902, F.lit("制单人"), 0.0, 530), at(903, F.lit("12"), 400.0, 530), at(904, F.lit("34"), 600.0, 530)]
+    fixed = o.select("doc_id", F.explode(F.array(*top, *heads, *foot)).alias("t"))
+    y = 120 + 40 * F.col("seq")
+    no = lambda i: 100 + 10 * F.col("seq") + i
+    odd = (F.col("l_orderkey") + F.col("seq")) % 3 == 0
+    values = (F.col("seq").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("l_quantity").cast("int").cast("string"), F.when(~odd, F.col("p_retailprice").cast("decimal(18,2)").cast("string")), F.lit("９.50"))
+    cells = [at(no(i), v, 100.0 * i + 10, y) for i, v in enumerate(values)]
+    more = at(no(8), F.when(odd, "续 part"), 110.0, y + 15)
+    body = lines.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(*cells, more)).alias("t"))
+    boxes = fixed.unionByName(body).select("doc_id", "t.*").filter("text IS NOT NULL")
+    x, y = F.col("x0"), F.col("y0") + 0.05 * F.col("x0")
+    return boxes.select("doc_id", "token_id", "text", F.array(F.array(x, y), F.array(x + 40, y + 2), F.array(x + 40, y + 12), F.array(x, y + 10)).alias("box"))
+
+
+def _pages(spark, sf):
+    return R.read_pages(Y.geometry(_page_tokens(spark, sf)))
+
+
+_PAGE_LINES = "n8 AS (SELECT l_orderkey AS doc_id, seq, (l_orderkey + seq) % 3 = 0 AS odd, p_name, p_type, p_brand, l_quantity, p_retailprice FROM n JOIN part ON l_partkey = p_partkey WHERE seq <= 8)"
+
+
+@query(LINES + ", " + _PAGE_LINES + """, c AS (
+  SELECT doc_id, seq, unnest([['序号', CAST(seq AS VARCHAR), CAST(100 + 10 * seq AS VARCHAR)], ['名称', p_name || CASE WHEN odd THEN ' 续 part' ELSE '' END, (101 + 10 * seq) || CASE WHEN odd THEN ',' || (108 + 10 * seq) ELSE '' END], ['规格型号', p_type, CAST(102 + 10 * seq AS VARCHAR)], ['单位', p_brand, CAST(103 + 10 * seq AS VARCHAR)],
+    ['数量', CAST(CAST(l_quantity AS INT) AS VARCHAR), CAST(104 + 10 * seq AS VARCHAR)], CASE WHEN NOT odd THEN ['单价', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), CAST(105 + 10 * seq AS VARCHAR)] END, ['金额', '9.50', CAST(106 + 10 * seq AS VARCHAR)]]) AS f FROM n8)
+SELECT doc_id, CAST(seq - 1 AS INT) AS row_no, f[1] AS field, f[2] AS value, f[3] AS ids FROM c WHERE f IS NOT NULL""")
 def page_tables(spark, sf):
-    """Tables read back from the boxes of their cells: one page an order, its lines as rows under four headings."""
-    n = _lines(spark, sf).filter("seq <= 8")
-    at = lambda row, col, text: F.struct((row * 10 + col).cast("long").alias("token_id"), text.alias("text"), (col * 100.0).cast("double").alias("x"), (row * 20.0).cast("double").alias("v"))
-    heads = [at(F.lit(0), F.lit(i), F.lit(t)) for i, t in enumerate(("序号", "材料名称", "数量", "金额(元)"))]
-    cells = [at(F.col("seq"), F.lit(i), c) for i, c in enumerate((F.col("seq").cast("string"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("string"), F.lit("12.50")))]
-    tokens = n.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(*cells)).alias("t")).unionByName(n.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(*heads)).alias("t")))
-    return Y.table_rows(tokens.select("doc_id", "t.*", F.lit(10.0).alias("height")).withColumn("heading", Y.heading("text")))
+    """Tables read back from the boxes of their cells, with the tokens that each cell was read from."""
+    cells = R.table_cells(_pages(spark, sf))
+    return cells.select("doc_id", "row_no", "field", "value", F.array_join("token_ids", ",").alias("ids"))
+
+
+@query("WITH o AS (SELECT o_orderkey AS k, o_custkey, o_orderdate FROM orders), p AS (SELECT k, unnest([['单据类型', CASE WHEN k % 10 <> 0 THEN '材料清单' END, '0'], ['表头.项目名称', 'P' || k, '1'], ['表头.供应商', 'S' || o_custkey, '2,3'], ['表头.单据编号', 'N' || k, '4'], ['表头.日期', strftime(o_orderdate, '%Y-%m-%d'), '5,6'], ['合计.金额', CASE WHEN k % 7 <> 0 THEN '1,' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '.50' END, '901']]) AS f FROM o) SELECT k AS doc_id, f[1] AS path, f[2] AS value, f[3] AS ids FROM p WHERE f[2] IS NOT NULL")
+def page_headers(spark, sf):
+    """Title, header fields and total of each page, and the tokens they were read from."""
+    pages = _pages(spark, sf).select("doc_id", "trace", "pred")
+    ids = pages.select("doc_id", "pred", F.explode("trace").alias("path", "ids")).filter(~F.col("path").startswith("明细"))
+    value = F.coalesce(*(F.when(F.col("path") == p, F.get_json_object("pred", "$." + ".".join(f"{s}" for s in p.split(".")))) for p in ("单据类型", "表头.项目名称", "表头.供应商", "表头.单据编号", "表头.日期", "合计.金额")))
+    return ids.select("doc_id", "path", value.alias("value"), F.array_join("ids", ",").alias("ids"))
+
+
+@query(LINES + ", " + _PAGE_LINES + ", d AS (SELECT o_orderkey AS k, coalesce(c, 0) AS c, coalesce(odd, 0) AS odd FROM orders LEFT JOIN (SELECT doc_id, count(*) AS c, count(*) FILTER (odd) AS odd FROM n8 GROUP BY 1) ON doc_id = o_orderkey) SELECT count(*) AS n, CAST(sum(CAST(k % 10 <> 0 AS INT) + 4 + 7 * c - odd + CAST(k % 7 <> 0 AS INT)) AS BIGINT) AS tp, 0 AS fp, CAST(sum(CAST(k % 10 = 0 AS INT) + odd + CAST(k % 7 = 0 AS INT)) AS BIGINT) AS fn, count(*) FILTER (k % 10 <> 0 AND k % 7 <> 0 AND odd = 0 AND c > 0) AS docs_ok FROM d")
+def page_document_scores(spark, sf):
+    """Pages read to documents and scored against what was written on them: nothing but the absent is missed."""
+    k = F.col("doc_id")
+    lines = _lines(spark, sf).filter("seq <= 8").join(V.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand", "p_retailprice"), "l_partkey")
+    odd = (F.col("l_orderkey") + F.col("seq")) % 3 == 0
+    row = F.struct(F.col("seq").alias("序号"), F.concat("p_name", F.when(odd, " 续 part").otherwise("")).alias("名称"), F.col("p_type").alias("规格型号"), F.col("p_brand").alias("单位"), F.col("l_quantity").cast("int").alias("数量"), F.col("p_retailprice").cast("decimal(18,2)").alias("单价"), F.lit("9.5").alias("金额"))
+    texts = F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*(r[f].cast("string").alias(f) for f in D.ROW_FIELDS)))
+    rows = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(texts.alias("rows"))
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderdate").join(rows, "doc_id", "left")
+    gt = F.to_json(F.struct(F.lit(D.DOC_TYPE_VALUE).alias(D.DOC_TYPE), F.struct(F.concat(F.lit("P"), k).alias("项目名称"), F.concat(F.lit("S"), F.col("o_custkey")).alias("供应商"), F.concat(F.lit("N"), k).alias("单据编号"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("日期")).alias(D.HEADER), F.coalesce("rows", F.array()).alias(D.ROWS), F.struct(F.concat((1000 + k % 1000).cast("string"), F.lit(".5")).alias("金额")).alias(D.TOTAL)))
+    scored = C.score_texts(o.select("doc_id", gt.alias("gt")).join(_pages(spark, sf).select("doc_id", "pred"), "doc_id"))
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return scored.agg(F.count("*").alias("n"), total("tp"), total("fp"), total("fn"), F.count_if("document_correct").alias("docs_ok"))
+
+
+@query("WITH RECURSIVE e AS (SELECT l_orderkey AS doc_id, l_partkey % 60 AS x, CAST(max(l_quantity) AS DOUBLE) AS length FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, x) AS k FROM e), f AS (SELECT doc_id, k, [CAST(x AS DOUBLE)] AS kept, x AS mine, true AS stays FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, CASE WHEN len(list_filter(f.kept, lambda y: abs(y - o.x) <= 5)) = 0 THEN list_append(f.kept, CAST(o.x AS DOUBLE)) ELSE f.kept END, o.x, len(list_filter(f.kept, lambda y: abs(y - o.x) <= 5)) = 0 FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1) SELECT doc_id, CAST(mine AS DOUBLE) AS x FROM f WHERE stays")
+def grid_lines(spark, sf):
+    """Vertical lines found twice or more: the longest of those close together stays."""
+    e = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 60).cast("double").alias("x")).agg(F.max("l_quantity").cast("double").alias("length"))
+    return Y.distinct_edges(e).select("doc_id", "x")

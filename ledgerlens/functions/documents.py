@@ -95,12 +95,28 @@ def loose_object(text: str | None) -> dict | None:
     return _strict_object(fenced[1].strip() if fenced else t[t.find("{") : t.rfind("}") + 1])
 
 
+#: Stands for a value that is nested too deeply to be written out.
+TOO_DEEP = "nested too deeply"
+
+
+def _dumped(value) -> str:
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
+    except RecursionError:
+        return TOO_DEEP
+
+
+def sound(text: str) -> str:
+    """``text`` with lone surrogates, which no UTF-8 column can hold, written as their JSON escapes."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
 def normal_text(value) -> tuple[str, bool]:
     """(canonical form, invalid). An empty form stands for no value."""
     if value is None:
         return "", False
     if not isinstance(value, str):
-        return f"type:{json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)}", True
+        return f"type:{_dumped(value)}", True
     return unicodedata.normalize("NFKC", value).strip(), False
 
 
@@ -138,10 +154,6 @@ def escape(key: str) -> str:
 Field = tuple[str, str, int, str, str, bool, bool]  # path, section, row, field, value, invalid, outside the schema
 
 
-def _dumped(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
-
-
 def flatten(obj, mode: str = "document") -> list[Field]:
     """The fields of a parsed object, read along the schema. What should be an object or an array and isn't, null included, is
     one invalid entry where it stands; what the schema doesn't know is one invalid entry at its root, even if empty. Empty
@@ -214,29 +226,42 @@ def schema_errors(obj, mode: str = "document") -> list[str]:
     return errors + [e for i, row in enumerate(rows) for e in _object_errors(f"{ROWS}[{i}]", row, SCHEMA[ROWS][0], needed)]
 
 
-def leaves(obj, path: str = "") -> list[tuple[str, str]]:
-    """All leaves of any JSON value with plain paths."""
-    if isinstance(obj, dict):
-        return [x for k, v in obj.items() for x in leaves(v, f"{path}.{k}" if path else k)]
-    if isinstance(obj, list):
-        return [x for i, v in enumerate(obj) for x in leaves(v, f"{path}[{i}]")]
-    return [(path, obj if isinstance(obj, str) else json.dumps(obj, ensure_ascii=False))]
+def leaves(obj) -> list[tuple[str, str]]:
+    """All leaves of any JSON value with plain paths, in order, however deep they lie."""
+    out, todo = [], [("", obj)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo.extend(reversed([(f"{path}.{k}" if path else k, v) for k, v in value.items()]))
+        elif isinstance(value, list):
+            todo.extend(reversed([(f"{path}[{i}]", v) for i, v in enumerate(value)]))
+        else:
+            out.append((sound(path), sound(value) if isinstance(value, str) else json.dumps(value)))
+    return out
 
 
-def anomalies(text: str | None) -> tuple[bool, bool, bool, bool]:
-    """By a lenient reader of its own (a fence, then the first brace to the last): not an object at all, a total that is no
-    object, a header that is none, a row that is none."""
-    t = text or ""
+def lenient_value(text: str | None):
+    """What a lenient reader makes of an answer: the fence's content or else the text, whole if it is JSON, or else from its first
+    brace to its last; None if neither is."""
+    t = (text or "").strip()
     fenced = _FENCE.search(t)
-    t = fenced[1] if fenced else t[t.find("{") : t.rfind("}") + 1]
-    try:
-        obj = json.loads(t)
-    except (ValueError, RecursionError):
-        obj = None
+    t = fenced[1].strip() if fenced else t
+    for part in (t, t[t.find("{") : t.rfind("}") + 1]):
+        try:
+            return json.loads(part)
+        except (ValueError, RecursionError):
+            pass
+    return None
+
+
+def anomalies(text: str | None) -> tuple[bool, bool, bool, bool]:
+    """By ``lenient_value``: not an object at all, a total that is no object, a header that is none, a row that is none. A null isn't flagged."""
+    obj = lenient_value(text)
     if not isinstance(obj, dict):
         return True, False, False, False
+    odd = lambda k: obj.get(k) is not None and not isinstance(obj[k], dict)
     rows = obj.get(ROWS)
-    return False, TOTAL in obj and not isinstance(obj[TOTAL], dict), HEADER in obj and not isinstance(obj[HEADER], dict), isinstance(rows, list) and any(not isinstance(r, dict) for r in rows)
+    return False, odd(TOTAL), odd(HEADER), isinstance(rows, list) and any(not isinstance(r, dict) for r in rows)
 
 
 def compact(text: str | None) -> str | None:
@@ -245,10 +270,10 @@ def compact(text: str | None) -> str | None:
 
 
 def canonical_json(text: str | None) -> str | None:
-    """Sorted keys, no spaces; null for what is no JSON."""
+    """Sorted keys, no spaces; null for what is no JSON, or is nested too deeply to be read."""
     try:
-        return json.dumps(json.loads(text or ""), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    except ValueError:
+        return sound(json.dumps(json.loads(text or ""), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    except (ValueError, RecursionError):
         return None
 
 
@@ -260,6 +285,10 @@ _NAMES = ("path", "section", "row", "field", "value", "invalid", "extra")
 _ARROW = pa.struct({"strict": pa.bool_(), "loose": pa.bool_(), "errors": pa.list_(pa.string()), "fields": pa.list_(pa.struct({"path": pa.string(), "section": pa.string(), "row": pa.int32(), "field": pa.string(), "value": pa.string(), "invalid": pa.bool_(), "extra": pa.bool_()}))})
 
 
+def _sound(value):
+    return sound(value) if isinstance(value, str) else value
+
+
 def parsed(rows: DataFrame, columns: dict[str, str], mode: str = "document", repair: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with a struct (strict, loose, errors, fields) for each text: ``columns`` maps new names to text columns.
 
@@ -270,7 +299,7 @@ def parsed(rows: DataFrame, columns: dict[str, str], mode: str = "document", rep
     def read(text: str | None, mend: bool) -> dict:
         obj = loose_object(text)
         seen = tolerant(obj) if mend else obj
-        return {"strict": strict_valid(text), "loose": obj is not None, "errors": schema_errors(seen, mode), "fields": [dict(zip(_NAMES, f, strict=True)) for f in flatten(seen, mode)]}
+        return {"strict": strict_valid(text), "loose": obj is not None, "errors": list(map(sound, schema_errors(seen, mode))), "fields": [dict(zip(_NAMES, map(_sound, f), strict=True)) for f in flatten(seen, mode)]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
@@ -303,11 +332,40 @@ def leaves_udf(texts: pd.Series) -> pd.Series:
     for t in texts:
         try:
             out.append([{"path": p, "value": v} for p, v in leaves(json.loads(t or ""))])
-        except ValueError:
+        except (ValueError, RecursionError):
             out.append([])
     return pd.Series(out)
 
 
+@F.udtf(returnType="path string, section string, row int, field string, value string, invalid boolean, extra boolean")
+class FlattenDoc:
+    """A row for each field of the object in a document's text, as ``flatten`` reads it; none if there is no object."""
+
+    def eval(self, text: str):
+        for field in flatten(loose_object(text)):
+            yield tuple(map(_sound, field))
+
+
+@F.udtf(returnType="path string, value string")
+class Leaves:
+    """A row for each leaf of a JSON text; none if it is no JSON."""
+
+    def eval(self, text: str):
+        try:
+            value = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return
+        yield from leaves(value)
+
+
+def register(spark) -> None:
+    """Makes the functions known to SQL: flatten_doc and leaves after LATERAL, stable_json and nfkc as scalars."""
+    spark.udtf.register("flatten_doc", FlattenDoc)
+    spark.udtf.register("leaves", Leaves)
+    spark.udf.register("stable_json", canonical_json_udf)
+    spark.udf.register("nfkc", nfkc_raw)
+
+
 ANOMALIES = T.StructType([T.StructField(n, T.BooleanType()) for n in ("unparsable", "total_scalar", "header_scalar", "row_scalar")])
 
 

@@ -30,15 +30,15 @@ def jsonl_round_trip(spark, sf):
     return sources.read_manifest(spark, at, "doc_id long, pred string, total double")
 
 
-@query("SELECT 'user-' || user_id AS image, count(*) AS n, arg_max(event_type, event_id) AS pred FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'view'")
+@query("SELECT 'user-' || user_id AS image, count(*) AS n, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS pred FROM events GROUP BY 1 HAVING count(*) FILTER (event_type <> 'view') > 0")
 def prediction_cache_last_wins(spark, sf):
-    """A cache whose later lines overwrite earlier ones; blank answers aren't admitted."""
+    """A cache whose later lines overwrite earlier ones; blank answers aren't admitted and overwrite nothing."""
     at = scratch(spark)
     e = V.table(spark, sf, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("image"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("pred"), "event_id")
     meta = spark.createDataFrame([(True, "m")], "_meta boolean, data string").select(F.to_json(F.struct("_meta", "data")).alias("value"))
     meta.write.mode("append").text(f"{at}/a")
-    # one file in the order of events, as a log is
-    e.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select(F.to_json(F.struct("image", "pred")).alias("value")).write.mode("append").text(f"{at}/b")
+    # files in the order of events, as a log that is cut now and then
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.to_json(F.struct("image", "pred")).alias("value")).write.mode("append").text(f"{at}/b")
     rows, _, usable = sources.read_cache(spark, f"{at}/*", "image string, pred string, data string", need_text="pred")
     if not usable:
         raise ValueError("a corrupt line")

@@ -96,15 +96,30 @@ def canonical_hash_json(spark, sf):
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.countDistinct("a").alias("contents"))
 
 
-@query("SELECT count(*) FILTER (k % 17 = 0) AS unparsable, count(*) FILTER (k % 17 <> 0 AND k % 7 = 0) AS total_scalar, count(*) FILTER (k % 17 <> 0 AND k % 11 = 0) AS header_scalar, count(*) FILTER (k % 17 <> 0 AND k % 13 = 0) AS row_scalar FROM (SELECT o_orderkey AS k FROM orders)")
+@query("SELECT count(*) FILTER (bad) AS unparsable, count(*) FILTER (NOT bad AND k % 7 = 0) AS total_scalar, count(*) FILTER (NOT bad AND k % 11 = 0) AS header_scalar, count(*) FILTER (NOT bad AND k % 13 = 0) AS row_scalar FROM (SELECT o_orderkey AS k, o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS bad FROM orders)")
 def structural_anomalies(spark, sf):
+    """Answers in prose, in a fence with prose inside, whole lists (no object), and nulls (no anomaly)."""
     k = F.col("o_orderkey")
-    total, header, row = (F.when(k % m == 0, bad).otherwise(good) for m, bad, good in ((7, '"12"', '{"金额":"12"}'), (11, '"x"', '{"日期":"2024-1-2"}'), (13, '3', '{"名称":"a"}')))
-    text = F.when(k % 17 == 0, "no answer").otherwise(F.concat(F.lit('so: {"合计":'), total, F.lit(',"表头":'), header, F.lit(',"明细":[{"名称":"b"},'), row, F.lit("]} end")))
+    total, header, row = (F.when(k % m == 0, bad).when(k % 2 == 0, none).otherwise(good) for m, bad, none, good in ((7, '"12"', "null", '{"金额":"12"}'), (11, '"x"', "null", '{"日期":"2024-1-2"}'), (13, "3", '{"名称":"c"}', '{"名称":"a"}')))
+    obj = F.concat(F.lit('{"合计":'), total, F.lit(',"表头":'), header, F.lit(',"明细":[{"名称":"b"},'), row, F.lit("]}"))
+    text = F.when(k % 17 == 0, "no answer").when(k % 19 == 0, F.concat(F.lit("["), obj, F.lit("]"))).when(k % 3 == 0, F.concat(F.lit("```json\nThis is it: "), obj, F.lit(" as asked\n```"))).otherwise(F.concat(F.lit("so: "), obj, F.lit(" end")))
     flags = V.table(spark, sf, "orders").select(D.anomalies_udf(text).alias("a")).select("a.*")
     return flags.agg(*(F.count_if(c).alias(c) for c in D.ANOMALIES.names))
 
 
+@query(DOCS + f"SELECT pattern, invalid, extra, count(*) AS n FROM ({_FIELDS} UNION ALL {_LINES}) GROUP BY ALL")
+def flatten_doc_sql(spark, sf):
+    """Documents flattened from SQL, by a table function after LATERAL."""
+    D.register(spark)
+    return spark.sql("SELECT regexp_replace(f.path, '\\\\[\\\\d+\\\\]', '[]') AS pattern, f.invalid, f.extra, count(*) AS n FROM {docs} d, LATERAL flatten_doc(d.pred) f GROUP BY ALL", docs=samples(spark, sf).select("pred"))
+
+
+@query(DOCS + f"SELECT pattern, count(*) AS n FROM ({_FIELDS} UNION ALL {_LINES}) WHERE doc_id % 11 <> 0 GROUP BY 1")
+def leaves_sql(spark, sf):
+    D.register(spark)
+    return spark.sql("SELECT regexp_replace(f.path, '\\\\[\\\\d+\\\\]', '[]') AS pattern, count(*) AS n FROM {docs} d, LATERAL leaves(d.pred) f GROUP BY ALL", docs=samples(spark, sf).select("pred"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS strict_correct, count(*) FILTER (o_orderkey % 3 < 2) AS tolerant_correct FROM orders")
 def tolerant_repair_json(spark, sf):
     k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")

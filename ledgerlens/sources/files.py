@@ -25,21 +25,42 @@ def read_cache(spark: SparkSession, path: str, schema: str, key: str = "image",
     """A resumable cache of JSON lines: its rows, its meta rows as texts, and whether it can be used.
 
     Rows with a true ``_meta`` are no data. Of rows with one key the last counts. One corrupt line makes the whole cache
-    unusable (no rows then). ``need_text``: a column that must not be blank for a row to be admitted."""
+    unusable (no rows then). ``need_text``: a column that must not be blank for a row to be admitted; a blank one doesn't take the
+    place of an earlier row."""
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     read = lines.withColumn("_r", F.from_json("value", f"{schema}, _meta boolean, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     usable = read.filter(F.col("_r._corrupt").isNotNull() | F.col("_r").isNull()).isEmpty()
     meta = read.filter("_r._meta").select("value")
     rows = read.filter(F.coalesce(~F.col("_r._meta"), F.lit(True)) & F.lit(usable)).select("seq", "_r.*").drop("_meta", "_corrupt")
+    if need_text:
+        rows = rows.filter(F.trim(need_text) != "")
     last = rows.groupBy(key).agg(*(F.max_by(c, "seq").alias(c) for c in rows.columns if c not in (key, "seq")))
-    return (last.filter(F.trim(need_text) != "") if need_text else last), meta, usable
+    return last, meta, usable
 
 
-def stale_keys(meta: DataFrame, fingerprint: Mapping[str, str]) -> list[str]:
-    """Keys of the run's fingerprint that the cache's last meta row has with another value."""
+def stale_keys(meta: DataFrame, fingerprint: Mapping[str, str], unless: Mapping[str, str] | None = None) -> list[str]:
+    """Keys of the run's fingerprint that any meta row of the cache has with another value, or not at all; without meta rows none.
+
+    ``unless``: keys that a meta row may lack if it has another one instead, which can't be compared."""
+    value = lambda k: F.get_json_object("value", f"$.{k}")
+    lacks = lambda k: value(k).isNull() & value(unless[k]).isNotNull() if unless and k in unless else F.lit(False)
     names = sorted(fingerprint)
-    row = meta.select(*(F.get_json_object("value", f"$.{k}").alias(k) for k in names)).tail(1)  # a row per run
-    return [k for k in names if not row or row[0][k] != fingerprint[k]]
+    found = meta.agg(*(F.count_if(~value(k).eqNullSafe(F.lit(fingerprint[k])) & ~lacks(k)).alias(f"_{i}") for i, k in enumerate(names))).first() if names else ()
+    return [k for k, n in zip(names, found, strict=True) if n]
+
+
+def fresh_cache(spark: SparkSession, path: str, schema: str, fingerprint: Mapping[str, str], key: str = "image", need_text: str | None = None) -> tuple[DataFrame | None, str | None]:
+    """The rows of a cache that a run of this fingerprint may go on from, and where the cache was put aside if it may not.
+
+    A cache with a corrupt line or with meta rows of other settings is renamed, never deleted, and the run begins anew (no rows)."""
+    from ..sinks import retire
+
+    if not exists(spark, path):
+        return None, None
+    rows, meta, usable = read_cache(spark, path, schema, key, need_text)
+    if usable and not stale_keys(meta, fingerprint):
+        return rows, None
+    return None, retire(spark, path)
 
 
 def read_pairs(spark: SparkSession, path: str, payload: str, known: DataFrame | None = None) -> DataFrame:

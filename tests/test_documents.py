@@ -63,3 +63,29 @@ def test_leaves_and_canonical_json():
     assert D.leaves({"a.b": [{"c": None}, 2], "d": "x"}) == [("a.b[0].c", "null"), ("a.b[1]", "2"), ("d", "x")]
     assert D.canonical_json('{"b": 1, "a": "é"}') == '{"a":"é","b":1}' and D.canonical_json("{") is None
     assert json.loads(D.canonical_json("[1, 2]")) == [1, 2] and D.compact(" Ａ　b\n") == "Ab"
+
+
+def test_lone_surrogates_and_deep_nesting_end_no_job(spark):
+    from ledgerlens.operators import scoring
+
+    deep, deeper = '{"合计": ' + "[" * 3000 + "]" * 3000 + "}", "[" * 200_000 + "]" * 200_000
+    texts = ['{"合计": {"金额": "\\ud800"}}', '{"x\\udc00": "1"}', deep, deeper, '{"a": ' * 900 + "1" + "}" * 900]
+    rows = spark.createDataFrame([(i, '{"合计": {"金额": "1"}}', t) for i, t in enumerate(texts)], "i int, gt string, pred string")
+    scored = {r["i"]: r for r in scoring.score_texts(rows).collect()}
+    assert scored[0]["field_errors"][0]["pred"] == "number:\\ud800" and scored[1]["extra_paths"] == ["x\\udc00"] and len(scored) == 5
+    got = rows.select("i", D.leaves_udf("pred").alias("l"), D.stable_hash("pred").alias("h")).collect()
+    assert got[0]["l"][0]["value"] == "\\ud800" and got[0]["h"] and got[3]["l"] == []
+    D.register(spark)
+    assert spark.sql("SELECT i, count(*) AS n FROM {rows}, LATERAL leaves(pred) GROUP BY i", rows=rows).count() >= 3
+    assert D.leaves([[[]], {"a": {"b": None}}]) == [("[1].a.b", "null")]
+
+
+@pytest.mark.parametrize(
+    ("text", "flags"),
+    [
+        ('[{"合计": {}}]', (True, False, False, False)), ('{"合计": null, "表头": null}', (False, False, False, False)), ('```json\nso {"合计": 3} it is\n```', (False, True, False, False)), ('x {"表头": "h", "明细": [1]} y', (False, False, True, True)),
+        (None, (True, False, False, False)), ("", (True, False, False, False)), ("{", (True, False, False, False)), ('{"明细": "none"}', (False, False, False, False)),
+    ],
+)
+def test_anomalies(text, flags):
+    assert D.anomalies(text) == flags

@@ -28,6 +28,10 @@ def test_cache_last_line_wins_and_corruption_rejects_all(spark, tmp_path):
     assert sources.stale_keys(meta, {"data": "d1"}) == [] and sources.stale_keys(meta, {"data": "d2", "size": "3"}) == ["data", "size"]
     rows, _, _ = sources.read_cache(spark, str(tmp_path / "a.jsonl"), "image string, pred string", need_text="pred")
     assert [r["image"] for r in rows.collect()] == ["a"]
+    blank = good + '{"image": "a", "pred": ""}\n{"image": "a"}\n{"_meta": true, "data": "d1", "size": "3"}\n'
+    rows, meta, _ = sources.read_cache(spark, put(tmp_path / "c.jsonl", blank), "image string, pred string", need_text="pred")
+    assert [(r["image"], r["pred"]) for r in rows.collect()] == [("a", "2")]
+    assert sources.stale_keys(meta, {"data": "d1"}) == [] and sources.stale_keys(meta, {"size": "3"}) == ["size"] and sources.stale_keys(meta, {"size": "3"}, {"size": "data"}) == []
     rows, _, usable = sources.read_cache(spark, put(tmp_path / "b.jsonl", good + '{"image": "c", "pr'), "image string, pred string")
     assert not usable and rows.count() == 0
 
@@ -77,3 +81,13 @@ def test_stream_resumes_and_writes_each_key_once(spark, tmp_path):
     run()
     run()
     assert {(r["image"], r["pred"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "1"), ("b", "1"), ("c", "2")}
+
+
+def test_a_cache_of_other_settings_is_put_aside(spark, tmp_path):
+    text = '{"_meta": true, "data": "d0"}\n{"image": "a", "pred": "1"}\n{"_meta": true, "data": "d1"}\n{"image": "b", "pred": "2"}\n'
+    at = put(tmp_path / "a.jsonl", text)
+    rows, aside = sources.fresh_cache(spark, at, "image string, pred string", {"data": "d1"})
+    assert rows is None and aside.endswith("a.jsonl.bak") and not (tmp_path / "a.jsonl").exists() and (tmp_path / "a.jsonl.bak").read_text() == text
+    assert sources.fresh_cache(spark, at, "image string, pred string", {"data": "d1"}) == (None, None)
+    rows, aside = sources.fresh_cache(spark, put(tmp_path / "b.jsonl", text.replace("d0", "d1")), "image string, pred string", {"data": "d1"})
+    assert aside is None and {r["image"] for r in rows.collect()} == {"a", "b"}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 from statistics import median
 
-from ledgerlens.operators import layout
-from ledgerlens.plans import catalogue
+from ledgerlens.operators import layout, pages
 
 
 def test_lines_by_moving_median(spark):
@@ -35,17 +35,35 @@ def test_continuations(spark):
     assert got == {0.0: None, 10.0: 0, 25.0: 0, 40.0: None, 50.0: 1}
 
 
-def test_tables_come_back(spark, sf):
-    got: dict = {}
-    for r in catalogue.QUERIES["page_tables"](spark, sf).collect():
-        got.setdefault(r["doc_id"], {}).setdefault(r["row_no"], {})[r["field"]] = (r["value"], r["token_ids"])
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").collect()
-    orders: dict = {}
-    for r in sorted(lines, key=lambda r: (r["l_orderkey"], r["l_linenumber"], r["l_partkey"], r["l_suppkey"])):
-        orders.setdefault(r["l_orderkey"], []).append(r)
-    assert set(got) == set(orders)
-    for doc, rows in orders.items():
-        assert len(got[doc]) == min(8, len(rows))
-        for i, r in enumerate(rows[:8]):
-            assert got[doc][i]["名称"] == (f"part {r['l_partkey']}", [10 * (i + 1) + 1]) and got[doc][i]["金额"][0] == "12.50" and got[doc][i]["序号"][0] == str(i + 1)
-    assert catalogue.QUERIES["page_lines"](spark, sf).count() == len(lines)
+HEADS = [(f"h{i}", h, 100.0 * i, 100.0) for i, h in enumerate(("序号", "名称", "数量", "金额"))]
+
+
+def read(spark, tokens):
+    """pred, trace by texts, and warnings of one page of (name, text, x, v) tokens of height 10."""
+    rows = [(1, i, t, x, v, 10.0) for i, (_, t, x, v) in enumerate(tokens)]
+    page = pages.read_pages(spark.createDataFrame(rows, "doc_id long, token_id long, text string, x double, v double, height double")).collect()[0]
+    return json.loads(page["pred"]), {k: [tokens[i][0] for i in ids] for k, ids in page["trace"].items()}, page["warnings"]
+
+
+def test_values_beside_labels(spark):
+    """A label is the start of a token, its value the rest of it or the nearest token to the right at its height; the first value counts."""
+    doc, trace, warnings = read(spark, [("a", "项目名称：", 0.0, 10.0), ("low", "too low", 20.0, 16.0), ("far", "far", 90.0, 10.0), ("near", " Ｎ1 ", 50.0, 15.0), ("left", "left", -5.0, 10.0), ("b", "编号: 7", 0.0, 30.0), ("c", "单据编号: 8", 0.0, 40.0), ("d", "日期:20240230", 0.0, 50.0), ("e", "其供应商: x", 0.0, 60.0), ("f", "材 料清单", 0.0, 70.0)])
+    assert doc == {"单据类型": "材料清单", "表头": {"项目名称": "N1", "供应商": "", "单据编号": "7", "日期": "20240230"}, "明细": [], "合计": {"金额": ""}}
+    assert trace == {"表头.项目名称": ["a", "near"], "表头.单据编号": ["b"], "表头.日期": ["d"], "单据类型": ["f"]} and warnings == ["fewer than four headings"]
+
+
+def test_the_table_ends_above_total_or_footer(spark):
+    row = lambda n, v: [(f"s{n}", str(n), 0.0, v), (f"n{n}", f"item {n}", 100.0, v), (f"q{n}", "2", 200.0, v), (f"m{n}", "4.00", 300.0, v)]
+    doc, trace, _ = read(spark, [*HEADS, *row(1, 120.0), ("x", "项目名称: below", 0.0, 140.0), ("t", "合计金额", 0.0, 160.0), ("t1", "1,000", 200.0, 168.0), ("t2", "9", 300.0, 160.0), *row(2, 180.0)])
+    assert [r["名称"] for r in doc["明细"]] == ["item 1"] and doc["合计"]["金额"] == "1,000" and trace["合计.金额"] == ["t1"] and doc["表头"]["项目名称"] == ""
+    doc, trace, warnings = read(spark, [*HEADS, *row(1, 120.0), ("c", "goes on", 100.0, 135.0), ("u", "apart", 100.0, 160.0), ("z", "loose 5", 300.0, 175.0), *row(2, 190.0), ("f", "审核人", 0.0, 230.0), ("f1", "1", 200.0, 230.0), ("f2", "2", 300.0, 230.0)])
+    assert [r["名称"] for r in doc["明细"]] == ["item 1 goes on", "item 2"] and trace["明细[0].名称"] == ["n1", "c"] and trace["明细[1].金额"] == ["m2"]
+    assert warnings == ["a line that belongs to no row"] * 2 and doc["合计"]["金额"] == ""
+
+
+def test_columns_and_headings(spark):
+    """A missing cell is not guessed, columns may come in any order, and brackets count but in prices."""
+    doc, _, _ = read(spark, [("a", "金额（元）", 0.0, 100.0), ("b", "品 名", 100.0, 100.0), ("c", "数量", 200.0, 101.0), ("d", "序号", 300.0, 99.0), ("e", "5.0", 5.0, 120.0), ("f", "3", 299.0, 120.0), ("g", "a", 90.0, 121.0), ("h", "b", 110.0, 119.0)])
+    assert doc["明细"] == [{"序号": "3", "名称": "a b", "规格型号": "", "单位": "", "数量": "", "单价": "", "金额": "5.0"}]
+    names = spark.createDataFrame([(t,) for t in ("(序号)", "名(称)", "金额(元", "单价元", "单价(元)", "(数量)", "规格")], "t string")
+    assert [r["h"] for r in names.select(layout.heading(names["t"]).alias("h")).collect()] == [None, None, "金额", "单价", "单价", None, "规格型号"]

@@ -1,15 +1,15 @@
 """Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Each partition of the input is a run: its entries (digest, length, second digest, identifier, count), merged among
-themselves and cut into slices by leading digest bits. Runs meet in binomial rounds: in each, ``fan_in`` neighbouring runs
-become one; for every slice their entries are brought to one task, sorted, and entries that agree in digest, length and
-second digest merge into one that retains the identifier to keep. A group that holds a third of all rows sends one
-entry per partition into the first round and one per run into each further one."""
+Each partition of the input is a run: its entries (digest, length, second digest, identifier, count) are sorted there, and
+neighbours that agree merge before anything is sent. Runs then meet in binomial rounds: in each, the ``fan_in`` runs (a power of two) whose numbers
+differ in their last bits become one, slice by slice of leading digest bits; a slice's entries are brought to one task and
+merged in their order, and entries that agree in digest, length and second digest become one that retains the identifier to keep.
+What is retained is a struct, which Spark aggregates over sorted input only: every level of the plan is a sort and a
+sort aggregation. A group that holds a third of all rows sends one entry per partition into the first round and one per run
+into each further one."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +32,32 @@ DIGESTS = ("text_sha256", "_len", "_check")
 HOT_SHARE = 4096
 
 
+def _retained(keep: str) -> Column:
+    """The identifier that an entry retains, as a struct: the smallest or largest that isn't null, if there is any."""
+    return F.min(F.struct(F.col("_id").isNull(), F.col("_id"))) if keep == "smallest" else F.max(F.struct(F.col("_id").isNotNull(), F.col("_id")))
+
+
 def merge_round(runs: DataFrame, fan_in: int, parts: int, keep: str) -> DataFrame:
-    """One round: runs (DIGESTS, _run, _slice, _id, _n) of which ``fan_in`` neighbours become one.
+    """One round: runs (DIGESTS, _run, _slice, _id, _n) of which ``fan_in`` neighbours become one, each slice of them in one task.
 
     ``keep``: which identifier the merged entry retains, "smallest" or "largest". Null identifiers stay only if there is no other."""
-    best = F.max if keep == "largest" else F.min
-    met = runs.withColumn("_run", F.expr(f"_run div {fan_in}")).repartition(parts, "_run", "_slice").sortWithinPartitions("_run", "_slice", *DIGESTS)
-    return met.groupBy("_run", "_slice", *DIGESTS).agg(best("_id").alias("_id"), F.sum("_n").alias("_n"))
+    met = runs.withColumn("_run", F.expr(f"_run div {fan_in}")).repartition(parts, "_run", "_slice")
+    merged = met.groupBy("_run", "_slice", *DIGESTS).agg(_retained(keep).alias("_best"), F.sum("_n").alias("_n"))
+    return merged.select("_run", "_slice", *DIGESTS, F.col("_best._id").alias("_id"), "_n")
 
 
-def merge_runs(entries: DataFrame, runs: int, fan_in: int = 8, keep: str = "largest", slices: int = 256) -> DataFrame:
+def merge_runs(entries: DataFrame, runs: int, fan_in: int = 4, keep: str = "largest", slices: int = 256) -> DataFrame:
     """Entries (DIGESTS, _id, _run with 0 <= _run < runs) as one row per distinct text: DIGESTS, _id, _n."""
-    best = F.max if keep == "largest" else F.min
+    if fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("fan_in is a power of two")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     piece = F.pmod(F.conv(F.substring("text_sha256", 1, 4), 16, 10).cast("int"), F.lit(slices))
-    # a run's own entries merge before anything is sent: the partial aggregation of each partition
-    merged = entries.withColumn("_slice", piece).groupBy("_run", "_slice", *DIGESTS).agg(best("_id").alias("_id"), F.count("*").alias("_n"))
-    for _ in range(max(1, math.ceil(math.log(max(2, runs), fan_in) - 1e-9))):
-        merged = merge_round(merged, fan_in, parts, keep)
+    # the first round's partial aggregation is the sorting of each partition's own run
+    first = entries.select(F.expr(f"_run div {fan_in}").alias("_run"), piece.alias("_slice"), *DIGESTS, "_id")
+    merged = first.groupBy("_run", "_slice", *DIGESTS).agg(_retained(keep).alias("_best"), F.count("*").alias("_n")).select("_run", "_slice", *DIGESTS, F.col("_best._id").alias("_id"), "_n")
+    left = -(-runs // fan_in)
+    while left > 1:
+        merged, left = merge_round(merged, fan_in, parts, keep), -(-left // fan_in)
     return merged.select(*DIGESTS, "_id", "_n")
 
 
@@ -59,7 +67,7 @@ def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return checkpointed(rows.select("_id", F.sha2("_t", 256).alias("text_sha256"), F.octet_length("_t").alias("_len"), F.xxhash64("_t").alias("_check"), F.spark_partition_id().alias("_run")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, keep: str = "largest") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4, keep: str = "largest") -> DataFrame:
     """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised forms have the same SHA-256, the same length in bytes and the same second,

@@ -8,9 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def checked(ok: Column, message: str) -> Column:
-    """True, or an error that ends the query."""
-    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+def require(rows: DataFrame, ok: Column, what: str, key: str | Column) -> DataFrame:
+    """``rows``, or an error that says ``what`` is wrong and with which row (``key``); null isn't ok. The check runs in the pass that reads the rows."""
+    name = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null"))
+    bad = F.raise_error(F.concat(F.lit(f"{what}: "), name)).cast("boolean")
+    return rows.filter(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(bad))
+
+
+def same_truth(runs: DataFrame, keys: list[str], run: str, truth: str, n_runs: int) -> DataFrame:
+    """``keys`` of ``runs`` once each; an error names the first that a run lacks, has twice, or has with another truth."""
+    met = runs.groupBy(*keys).agg(F.count("*").alias("_n"), F.countDistinct(run).alias("_r"), F.count_distinct(F.coalesce(F.col(truth).cast("string"), F.lit(""))).alias("_t"))
+    name = F.concat_ws("/", *keys)
+    met = require(met, (F.col("_n") == n_runs) & (F.col("_r") == n_runs), "not once in each run", name)
+    return require(met, F.col("_t") == 1, "another truth", name).select(*keys)
+
+
+def require_known(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """``rows``; a value outside the allowed set, or null, ends the query with its name."""
+    return require(rows, F.col(column).isin(allowed), f"unknown {column}", column)
+
+
+def require_match(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with what ``known`` has for them; a row without a match ends the query with its key."""
+    return require(rows.join(known.withColumn("_there", F.lit(True)), key, "left"), F.col("_there"), f"no {key}", key).drop("_there")
 
 
 def zip_kept(left: DataFrame, right: DataFrame, by: list[str], seq: str, keep_left: Column, keep_right: Column) -> DataFrame:

@@ -437,3 +437,47 @@ def grid_lines(spark, sf):
     """Vertical lines found twice or more: the longest of those close together stays."""
     e = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 60).cast("double").alias("x")).agg(F.max("l_quantity").cast("double").alias("length"))
     return Y.distinct_edges(e).select("doc_id", "x")
+
+
+@query(TWO + "SELECT level, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS old_only, count(*) FILTER (NOT a AND b) AS new_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT s0.level, s0.document_correct AS a, s1.document_correct AS b FROM s0 JOIN s1 ON s0.doc_id = s1.doc_id) GROUP BY level")
+def guarded_transitions(spark, sf):
+    """Transitions between two runs whose documents and truths are shown to be the same, or an error that names one that isn't."""
+    m = V.compared(V.truth(spark, sf), (0, 1))
+    truth = m.groupBy("doc_id", "seed").agg(F.xxhash64(F.array_sort(F.collect_list(F.when(F.col("gt").isNotNull(), F.struct("row_idx", "field_no", "gt"))))).alias("truth"))
+    same = A.same_truth(truth, ["doc_id"], "seed", "truth", 2)
+    runs = V.document_scores(m, "seed").withColumn("run", F.col("seed")).join(same, "doc_id")
+    return G.run_transitions(runs, "run", 0, 1, ["doc_id"], ["level"])
+
+
+@query("SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
+def fatal_coverage(spark, sf):
+    """Every order has a customer and a known status, or the query ends with the one that hasn't."""
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"))
+    return A.require_match(A.require_known(o, "status", ["F", "O", "P"]), c, "customer").groupBy("segment", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT level, count(*) AS n, count(*) FILTER (known) AS observed, CASE WHEN count(*) = count(*) FILTER (known) THEN count(*) FILTER (known AND failed) END AS failures FROM (SELECT o_orderkey % 3 AS level, o_orderkey % 3 <> 2 OR o_orderkey % 5 <> 0 AS known, o_orderkey % 97 = 0 AS failed FROM orders) GROUP BY 1")
+def inference_failures(spark, sf):
+    """Failures of inference by level; a level with rows of unknown status has none told."""
+    k = F.col("o_orderkey")
+    rows = V.table(spark, sf, "orders").select((k % 3).alias("level"), ((k % 3 != 2) | (k % 5 != 0)).alias("known"), F.when(k % 97 == 0, "TimeoutError: no answer").otherwise("").alias("inference_error"))
+    return C.inference_status(rows, "known", "inference_error", ["level"])
+
+
+@query(PAIRS + f"SELECT type, kind, count(*) AS n FROM (SELECT kind, {V.CATEGORY_SQL.replace('gt', 'p0').replace('pred', 'p1')} AS type FROM d WHERE kind IN ('signal', 'noise')) GROUP BY 1, 2")
+def differing_fields_by_type(spark, sf):
+    """Fields in which two answers differ, by how: numbers, near or far texts, or only one has it."""
+    d = _pairs(spark, sf).filter(F.col("kind").isin("signal", "noise"))
+    return d.groupBy(G.category(F.col("p0"), F.col("p1")).alias("type"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(event_id) AS first_id, count(*) AS copies FROM events WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 10 = 0 AND b.props->>'$.k' = events.props->>'$.k' AND b.event_type = events.event_type) GROUP BY props->>'$.k', event_type")
+def content_dedup_canonical(spark, sf):
+    """Documents whose content isn't among earlier ones: by canonical JSON, so neither spacing nor the order of keys matters."""
+    e = V.table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    old = e.filter("event_id % 10 = 0").select(F.concat(F.lit('{"k": '), "k", F.lit(', "t": "'), "event_type", F.lit('"}')).alias("doc"))
+    new = e.filter("event_id % 2 = 1").select("event_id", F.concat(F.lit('{ "t":"'), "event_type", F.lit('" ,"k":'), "k", F.lit("}")).alias("doc"))
+    hashed = lambda df: df.withColumn("content", D.stable_hash("doc"))
+    fresh = P.remaining(hashed(new), hashed(old), ["content"])
+    return fresh.groupBy("content").agg(F.min("event_id").alias("first_id"), F.count("*").alias("copies")).drop("content")

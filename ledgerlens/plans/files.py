@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import sinks, sources
+from .. import sinks, sources, streaming
 from . import derived as V
 from .catalogue import query
 
@@ -112,9 +112,11 @@ def append_log_once(spark, sf):
     """Two batches of which the second repeats half of the first: each user is logged once, in the first batch that has them."""
     at = scratch(spark)
     e = V.table(spark, sf, "events").filter("event_id % 3 < 2").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    sinks.append_new(e.filter("user_id % 2 = 0"), at, ["user_id"])
+    half = e.filter("user_id % 2 = 0")
+    for _ in range(2):  # the second time the batch is known
+        sinks.append_new(half, at, ["user_id"], "first")
     sinks.append_new(e.withColumn("event_id", F.when(F.col("user_id") % 2 == 0, F.lit(-1)).otherwise(F.col("event_id"))), at, ["user_id"])
-    return spark.read.parquet(at)
+    return sinks.read_log(spark, at)
 
 
 @query("SELECT count(*) FILTER (hi - lo >= 40) AS emitted, count(*) AS processed, count(*) FILTER (k % 2 = 1) AS left_over FROM (SELECT user_id AS k, max(value) AS hi, min(value) AS lo FROM events GROUP BY 1)")
@@ -126,11 +128,21 @@ def pair_journal(spark, sf):
         mine = users.filter(F.col("user_id") % 2 == part)
         left = users.filter(F.col("user_id") % 2 == 1).count() if part == 0 else left  # noqa: F821
         sinks.write_pairs(mine.filter("gap >= 40"), mine, f"{at}/pairs", f"{at}/journal", ["user_id"])
-    emitted = spark.read.parquet(f"{at}/pairs").agg(F.count("*").alias("emitted"))
-    return emitted.join(spark.read.parquet(f"{at}/journal").agg(F.count("*").alias("processed"))).withColumn("left_over", F.lit(left).cast("long"))
+    emitted = sinks.read_log(spark, f"{at}/pairs").agg(F.count("*").alias("emitted"))
+    return emitted.join(sinks.read_log(spark, f"{at}/journal").agg(F.count("*").alias("processed"))).withColumn("left_over", F.lit(left).cast("long"))
 
 
 @query("SELECT strftime(ts, '%Y%m%d-%H%M%S') || '-' || substr(sha256(event_type), 1, 8) || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS record_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d-%H%M%S'), event_type ORDER BY event_id) AS k FROM events)")
 def record_identifiers(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", "ts", "event_type")
     return sinks.record_ids(e, F.col("ts"), F.col("event_type")).select("record_id", "event_id")
+
+
+@query("SELECT 'user-' || user_id AS image, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS pred, count(*) FILTER (event_type <> 'view') AS answers FROM events GROUP BY 1 HAVING count(*) FILTER (event_type <> 'view') > 0")
+def streamed_latest_answers(spark, sf):
+    """The last answer of each image, kept as state while files of answers arrive in batches; blank answers don't count."""
+    at = scratch(spark)
+    e = V.table(spark, sf, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("image"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("pred"), F.col("event_id").alias("seq"))
+    e.repartition(6, "image", "seq").write.json(f"{at}/in")
+    streaming.latest_answers(spark, f"{at}/in", "image string, pred string, seq long", f"{at}/out", f"{at}/state", files=2).awaitTermination()
+    return streaming.read_latest(spark, f"{at}/out").select("image", "pred", "answers")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -57,25 +59,77 @@ def write_error_cases(cases: DataFrame, path: str, seq: str) -> None:
 
 def write_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = ("section", "row", "field", "value")) -> None:
     """Rows as CSV files with a header; each file begins with a byte-order mark, for spreadsheets."""
-    first = F.concat(F.lit("﻿"), F.lit(columns[0])) if columns else F.lit("")
-    name = rows.sparkSession.range(1).select(first.alias("n")).first()["n"]
+    name = "\ufeff" + columns[0]
     rows.select(F.col(columns[0]).cast("string").alias(name), *(F.col(c).cast("string") for c in columns[1:])).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def append_new(rows: DataFrame, path: str, key: list[str]) -> None:
-    """Appends the rows whose key the log doesn't hold, so a batch that comes twice is written once."""
-    spark = rows.sparkSession
-    at, fs = _fs(spark, path)
-    fresh = rows.dropDuplicates(key)
-    if fs.exists(at):
-        fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+#: Partition columns of a log, which its rows can't have.
+VERSION, BUCKET = "log_version", "log_bucket"
+#: Buckets of a log's keys; a batch reads those that its own keys fall into.
+LOG_BUCKETS = 64
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at, fs = _fs(spark, f"{path}/{VERSION}=*")
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.globStatus(at) or [])
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of all committed batches of a log. Without ``schema`` there must be a row in it."""
+    return (spark.read.schema(_logged(schema)) if schema else spark.read).parquet(path).drop(VERSION, BUCKET)
+
 
+def _logged(schema: T.StructType) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name not in (VERSION, BUCKET)), T.StructField(VERSION, T.IntegerType()), T.StructField(BUCKET, T.IntegerType())])
 
-def write_pairs(pairs: DataFrame, processed: DataFrame, out: str, journal: str, key: list[str]) -> None:
-    """Emitted pairs, then the journal of all processed keys, those without a pair too; a run that broke off in between repeats its pairs, which ``append_new`` drops."""
-    append_new(pairs, out, key)
-    append_new(processed.select(*key), journal, key)
+
+def _commit(spark: SparkSession, staged: str, final: str) -> bool:
+    """Renames a folder in one step; False if another writer has taken the name."""
+    jvm = spark.sparkContext._jvm
+    src, conf = jvm.org.apache.hadoop.fs.Path(staged), spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.getFileSystem(conf).getUri(), conf)
+    never_over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(src, jvm.org.apache.hadoop.fs.Path(final), never_over)
+    except Exception:
+        if _fs(spark, final)[1].exists(_fs(spark, final)[0]):
+            return False
+        raise
+    return True
+
+
+def append_new(rows: DataFrame, path: str, key: list[str], batch: str | None = None, tries: int = 20) -> bool:
+    """Commits the rows whose key the log doesn't hold as its next version; False if the batch was committed before.
+
+    A batch is written aside and becomes visible by one rename to the next version's name, which fails if another writer was
+    faster; then the rows are compared with what that one wrote, and written anew. Rows lie in buckets by key, so a batch reads
+    the keys of its own buckets only. What a broken writer left aside is never read."""
+    spark = rows.sparkSession
+    if clash := {VERSION, BUCKET} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"columns of the log itself: {sorted(clash)}")
+    bucketed = rows.dropDuplicates(key).withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(LOG_BUCKETS)).cast("int"))
+    for _ in range(tries):
+        done = _versions(spark, path)
+        at, fs = _fs(spark, f"{path}/{VERSION}=*/_batch-{batch}")
+        if batch is not None and fs.globStatus(at):
+            return False
+        fresh = bucketed
+        if done:
+            mine = [r[0] for r in bucketed.select(BUCKET).distinct().collect()]  # LOG_BUCKETS at most
+            fresh = bucketed.join(spark.read.schema(_logged(rows.schema)).parquet(path).filter(F.col(BUCKET).isin(mine) & (F.col(VERSION) <= done[-1])).select(*key), key, "left_anti")
+        staged = f"{path}/_staged-{uuid.uuid4().hex}"
+        fresh.write.partitionBy(BUCKET).parquet(staged)
+        write_text(spark, f"{staged}/_batch-{batch}", "")
+        if _commit(spark, staged, f"{path}/{VERSION}={(done[-1] if done else 0) + 1:09d}"):
+            return True
+    raise OSError(f"{path}: other writers were faster {tries} times")
+
+
+def write_pairs(pairs: DataFrame, processed: DataFrame, out: str, journal: str, key: list[str], batch: str | None = None) -> None:
+    """Emitted pairs, then the journal of all processed keys, those without a pair too. Each is one commit; a batch that broke off in
+    between and comes again finds its pairs committed and writes the journal alone."""
+    append_new(pairs, out, key, batch)
+    append_new(processed.select(*key), journal, key, batch)
 
 
 def retire(spark: SparkSession, path: str) -> str | None:

@@ -1,5 +1,5 @@
-"""Structured Streaming: files of predictions as they arrive, and windows over events."""
+"""Structured Streaming: files of predictions as they arrive, the last answer of each key as state, and windows over events."""
 
-from .journal import events_by_window, resume_predictions
+from .journal import closed_windows, events_by_window, latest_answers, read_latest, resume_predictions
 
-__all__ = ["events_by_window", "resume_predictions"]
+__all__ = ["closed_windows", "events_by_window", "latest_answers", "read_latest", "resume_predictions"]

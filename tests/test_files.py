@@ -80,7 +80,7 @@ def test_stream_resumes_and_writes_each_key_once(spark, tmp_path):
     put(tmp_path / "in" / "2.jsonl", '{"image": "b", "pred": "2"}\n{"image": "c", "pred": "2"}\n')
     run()
     run()
-    assert {(r["image"], r["pred"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "1"), ("b", "1"), ("c", "2")}
+    assert {(r["image"], r["pred"]) for r in sinks.read_log(spark, str(tmp_path / "out")).collect()} == {("a", "1"), ("b", "1"), ("c", "2")}
 
 
 def test_a_cache_of_other_settings_is_put_aside(spark, tmp_path):
@@ -91,3 +91,58 @@ def test_a_cache_of_other_settings_is_put_aside(spark, tmp_path):
     assert sources.fresh_cache(spark, at, "image string, pred string", {"data": "d1"}) == (None, None)
     rows, aside = sources.fresh_cache(spark, put(tmp_path / "b.jsonl", text.replace("d0", "d1")), "image string, pred string", {"data": "d1"})
     assert aside is None and {r["image"] for r in rows.collect()} == {"a", "b"}
+
+
+def test_a_batch_that_comes_again_is_committed_once(spark, tmp_path):
+    """Pairs committed, then a break: the same batch writes the journal alone, even if its rows would now be others."""
+    out, journal = str(tmp_path / "pairs"), str(tmp_path / "journal")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    assert sinks.append_new(batch((1, "a"), (1, "a")), out, ["k"], "b1")
+    (tmp_path / "pairs" / "_staged-broken" / "log_bucket=1").mkdir(parents=True)
+    (tmp_path / "pairs" / "_staged-broken" / "log_bucket=1" / "part-0.parquet").write_bytes(b"half")
+    sinks.write_pairs(batch((1, "again"), (9, "new")), batch((1, "a"), (2, "b")), out, journal, ["k"], "b1")
+    assert [(r["k"], r["v"]) for r in sinks.read_log(spark, out).collect()] == [(1, "a")] and sinks.read_log(spark, journal).count() == 2
+    assert sinks.append_new(batch((1, "x"), (3, "c")), out, ["k"], "b2") and not sinks.append_new(batch((4, "d")), out, ["k"], "b2")
+    assert {(r["k"], r["v"]) for r in sinks.read_log(spark, out).collect()} == {(1, "a"), (3, "c")}
+
+
+def test_two_writers_double_no_rows(spark, tmp_path, monkeypatch):
+    """While one writer prepares a version, another commits it: the first finds the name taken, compares again and writes the rest."""
+    from ledgerlens.sinks import files
+
+    out, commit, met = str(tmp_path / "log"), files._commit, []
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    sinks.append_new(rows(0), out, ["k"])
+
+    def late(session, staged, final):
+        if not met:
+            met.append(final)
+            sinks.append_new(rows(1, 2), out, ["k"], "other")
+        return commit(session, staged, final)
+
+    monkeypatch.setattr(files, "_commit", late)
+    assert sinks.append_new(rows(2, 3), out, ["k"], "mine")
+    assert sorted(r["k"] for r in sinks.read_log(spark, out).collect()) == [0, 1, 2, 3]
+
+
+def test_last_answers_go_on_after_a_restart(spark, tmp_path):
+    answer = lambda i, p, s: json.dumps({"image": i, "pred": p, "seq": s}) + "\n"
+    run = lambda: streaming.latest_answers(spark, str(tmp_path / "in"), "image string, pred string, seq long", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    put(tmp_path / "in" / "1.jsonl", answer("a", "1", 5) + answer("b", "1", 6) + answer("a", " ", 7))
+    run()
+    put(tmp_path / "in" / "2.jsonl", answer("a", "early", 2) + answer("b", "2", 8) + answer("c", None, 9))
+    run()
+    run()
+    assert {(r["image"], r["pred"], r["answers"]) for r in streaming.read_latest(spark, str(tmp_path / "out")).collect()} == {("a", "1", 2), ("b", "2", 2)}
+
+
+def test_late_events_come_to_no_closed_window(spark, tmp_path):
+    event = lambda t, k: json.dumps({"ts": t, "kind": k}) + "\n"
+    run = lambda: streaming.closed_windows(spark, str(tmp_path / "in"), "ts timestamp, kind string", str(tmp_path / "out"), str(tmp_path / "cp"), "ts", "kind").awaitTermination()
+    put(tmp_path / "in" / "1.jsonl", event("2024-01-01T10:00:00Z", "a") + event("2024-01-01T23:00:00Z", "a") + event("2024-01-02T12:00:00Z", "a"))
+    run()
+    put(tmp_path / "in" / "2.jsonl", event("2024-01-01T11:00:00Z", "a") + event("2024-01-02T13:00:00Z", "a") + event("2024-01-04T00:00:00Z", "b"))
+    run()
+    put(tmp_path / "in" / "3.jsonl", event("2024-01-06T00:00:00Z", "b"))
+    run()
+    assert {(str(r["start"])[:10], r["kind"], r["n"]) for r in sinks.read_log(spark, str(tmp_path / "out")).collect()} == {("2024-01-01", "a", 2), ("2024-01-02", "a", 2), ("2024-01-04", "b", 1)}

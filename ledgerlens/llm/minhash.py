@@ -28,7 +28,7 @@ BANDS, WIDTH = 32, 4
 #: Bits of a bitmap for each shingle, rounded up to a power of two: so many that an overlap bound is close to the overlap.
 MULT = 8
 #: Pairs for each member up to which a unit gives them all at once.
-DENSE = 8
+DENSE = 32
 #: Members of a block of a bucket. Comparing bitmaps is quick, so blocks are large and few copies of a member are sent.
 BLOCK = 2048
 

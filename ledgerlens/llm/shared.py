@@ -3,21 +3,40 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Only used where the session names no folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: The session's setting by which a query removes its shuffle files when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries planned inside remove their shuffle files at their end. What is read after that is a written table; an executor lost
+    before it costs a retry of the stage, as ever."""
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that the cluster shares (spark.checkpoint.dir): it outlives lost executors."""
-    context = df.sparkSession.sparkContext
+    """``df`` computed once and kept in the folder that the cluster shares (spark.checkpoint.dir): it outlives lost executors.
+
+    The shuffles that it took are removed, so that a job of many steps holds the disk of one."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+    with shuffles_removed(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def with_fields(df: DataFrame, **types: str) -> StructType:
@@ -51,5 +70,6 @@ def stored(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..functions import scalars as S
+from ..functions import variants as R
 from ..operators import scoring as C
 from . import derived as V
 from .catalogue import query
@@ -79,8 +80,9 @@ _LINES = "SELECT '明细[].序号', false, false, doc_id FROM x, range(CAST(n_ro
 
 @query(DOCS + f"SELECT pattern, invalid, extra, count(*) AS n FROM ({_FIELDS} UNION ALL {_LINES}) GROUP BY ALL")
 def flatten_paths_json(spark, sf):
-    fields = D.parsed(samples(spark, sf).select("pred"), {"p": "pred"}).select(F.explode("p.fields").alias("f"))
-    return fields.groupBy(F.regexp_replace("f.path", r"\[\d+\]", "[]").alias("pattern"), F.col("f.invalid").alias("invalid"), F.col("f.extra").alias("extra")).agg(F.count("*").alias("n"))
+    """Documents flattened in the JVM."""
+    fields = R.fields(samples(spark, sf).select("pred"), "pred")
+    return fields.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("pattern"), "invalid", "extra").agg(F.count("*").alias("n"))
 
 
 @query(DOCS + f"SELECT pattern, count(*) AS n FROM ({_FIELDS} UNION ALL {_LINES}) WHERE doc_id % 11 <> 0 GROUP BY 1")
@@ -156,7 +158,7 @@ def metric_feedback(spark, sf):
 def unparsable_length_hist(spark, sf):
     k = F.col("o_orderkey")
     texts = V.table(spark, sf, "orders").select(F.when(k % 3 == 0, F.repeat(F.lit("x"), (k % 50).cast("int"))).otherwise('{"合计":{}}').alias("pred"))
-    bad = D.parsed(texts, {"p": "pred"}).filter("NOT p.loose")
+    bad = R.read(texts, "pred", "p").filter("p.obj IS NULL")
     return bad.groupBy(F.expr("char_length(pred) div 10").alias("bucket")).agg(F.count("*").alias("n"))
 
 

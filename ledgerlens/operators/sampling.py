@@ -46,9 +46,18 @@ def sample_groups(rows: DataFrame, group: str, ratio: float, seed: int = 42) ->
 
 
 def first_or_last(rows: DataFrame, by: list[str], seq: list[str], last: bool = False) -> DataFrame:
-    """One row of each group: the first seen, or the last."""
-    order = [F.desc(c) if last else F.asc(c) for c in seq]
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
+    """One row of each group: the first seen, or the last. Rows of a task are brought down to one a group before they are sent, so a
+    group of any size costs a row a task. Nulls come first; null keys are a group."""
+    return rows.groupBy(*by).agg(_end(rows, by, seq, last).alias("_e")).select(*by, "_e.*").select(*rows.columns)
+
+
+def first_and_last(rows: DataFrame, by: list[str], seq: list[str]) -> DataFrame:
+    """``by``, first and last (structs of the other columns): both ends of each group in one pass."""
+    return rows.groupBy(*by).agg(_end(rows, by, seq, False).alias("first"), _end(rows, by, seq, True).alias("last"))
+
+
+def _end(rows: DataFrame, by: list[str], seq: list[str], last: bool) -> Column:
+    return (F.max_by if last else F.min_by)(F.struct(*(c for c in rows.columns if c not in by)), F.struct(*seq))
 
 
 def suffix_repeats(rows: DataFrame, by: list[str], key: str, seq: list[str]) -> DataFrame:

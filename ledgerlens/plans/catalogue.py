@@ -40,7 +40,7 @@ def _scores(spark, sf, seed: int = 0) -> DataFrame:
 
 
 def _errors(spark, sf, seed: int = 0) -> DataFrame:
-    return _matched(spark, sf, seed).withColumn("category", G.category(F.col("gt"), F.col("pred"))).filter("category IS NOT NULL")
+    return V.compared(V.truth(spark, sf), (seed,)).withColumn("category", G.category(F.col("gt"), F.col("pred"))).filter("category IS NOT NULL")
 
 
 SUMS = "count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (document_correct) AS docs_ok"
@@ -405,10 +405,8 @@ def labels_left_join_coverage(spark, sf):
 
 @query("SELECT conv_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def first_wins_vs_last_wins(spark, sf):
-    c = V.table(spark, sf, "conversations")
-    first = P.first_or_last(c, ["conv_id"], ["turn"]).select("conv_id", F.col("role").alias("first_role"))
-    last = P.first_or_last(c, ["conv_id"], ["turn"], last=True).select("conv_id", F.col("role").alias("last_role"), F.col("turn").alias("last_turn"))
-    return first.join(last, "conv_id")
+    c = V.table(spark, sf, "conversations").select("conv_id", "role", "turn")
+    return P.first_and_last(c, ["conv_id"], ["turn"]).select("conv_id", F.col("first.role").alias("first_role"), F.col("last.role").alias("last_role"), F.col("last.turn").alias("last_turn"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN k = 1 THEN role ELSE role || '#' || k END AS named FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)")

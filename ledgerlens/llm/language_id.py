@@ -156,7 +156,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
 def predict_language(docs: DataFrame, model: BackoffModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score added (replacing columns of these names).
 
-    Null texts and texts without a letter: 'und', score 0. Ties go to the language first in order. Whole texts are read.
+    Null texts and texts without a letter: 'und', score 0. Repeated rows and rows with null ids each get theirs; an empty table gives no
+    rows, and a model learned from one gives 'und' for all. Ties go to the language first in order. Whole texts are read.
     The model's size is bounded by its training parameters; it travels as a broadcast variable."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

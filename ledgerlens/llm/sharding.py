@@ -47,13 +47,13 @@ def fill_table(shards: list[str], slots: int, weights: dict[str, int] | None = N
 
 
 def shard(rows: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65_537, weights: dict[str, int] | None = None) -> DataFrame:
-    """``rows`` with columns slot long and shard string added (replacing columns of these names).
+    """``rows`` with columns slot long and shard string added (replacing columns of these names, in any case of their letters).
 
-    Key columns called slot or shard are hashed before they are replaced. An empty table gives no rows. A key is the hash of ``key_cols``; nulls hash too, so rows with null keys share one shard, and repeated rows go where
-    their equals go. The table has ``slots`` rows, at most MAX_SLOTS, and is broadcast."""
+    Key columns called slot or shard are hashed before they are replaced. An empty table gives no rows. A key is the hash of ``key_cols``;
+    nulls hash too, so rows with null keys share one shard, and repeated rows go where their equals go. Texts are hashed whole. The table has ``slots`` rows, at most MAX_SLOTS, and is broadcast."""
     owner = fill_table(shards, slots, weights)
     spark = rows.sparkSession
-    rest = [c for c in rows.columns if c not in ("slot", "shard")]
+    rest = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
     table = spark.createDataFrame([(int(s), shards[int(o)]) for s, o in enumerate(owner)], "slot long, shard string")
     placed = rows.select(*rest, F.pmod(F.xxhash64(*key_cols), F.lit(slots)).alias("slot"))
     return placed.join(F.broadcast(table), "slot").select(*rest, "slot", "shard")

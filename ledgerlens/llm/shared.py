@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,14 +29,23 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(REMOVE_SHUFFLES, before)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names, or else one of this machine; on a cluster, whose executors don't share that, an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or LOCAL_CHECKPOINTS)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that the cluster shares (spark.checkpoint.dir): it outlives lost executors.
 
     The shuffles that it took are removed, so that a job of many steps holds the disk of one."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
-    with shuffles_removed(spark):
+    checkpoint_folder(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
         return df.select("*").checkpoint(eager=True)
 
 
@@ -66,10 +76,7 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -23,6 +23,16 @@ def same_truth(runs: DataFrame, keys: list[str], run: str, truth: str, n_runs: i
     return require(met, F.col("_t") == 1, "another truth", name).select(*keys)
 
 
+def with_same_truth(runs: DataFrame, keys: list[str], run: str, truth: str, n_runs: int) -> DataFrame:
+    """``runs`` itself, if ``same_truth`` holds for it: the check is a window over the rows of a key, so ``runs`` is made once."""
+    w = Window.partitionBy(*keys)
+    told = F.coalesce(F.col(truth).cast("string"), F.lit(""))
+    met = runs.withColumns({"_n": F.count("*").over(w), "_r": F.size(F.collect_set(run).over(w)), "_lo": F.min(told).over(w), "_hi": F.max(told).over(w)})
+    name = F.concat_ws("/", *keys)
+    met = require(met, (F.col("_n") == n_runs) & (F.col("_r") == n_runs), "not once in each run", name)
+    return require(met, F.col("_lo") == F.col("_hi"), "another truth", name).drop("_n", "_r", "_lo", "_hi")
+
+
 def require_known(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """``rows``; a value outside the allowed set, or null, ends the query with its name."""
     return require(rows, F.col(column).isin(allowed), f"unknown {column}", column)

@@ -32,7 +32,7 @@ def _document(side: str) -> Column:
 
 def samples(spark, sf) -> DataFrame:
     """doc_id, level, gt, pred: both as texts. Some answers are empty, some stand in a fence."""
-    m = V.compared(V.truth(spark, sf), (0,))
+    m = V.compared(spark, sf, (0,))
     docs = m.groupBy("doc_id", "level").agg(F.collect_list(F.struct("row_idx", "field_no", "field", "gt", "pred")).alias("cells"), (F.greatest(F.max("row_idx"), F.lit(-1)) + 1).cast("int").alias("n_rows"))
     docs = docs.withColumn("cells", F.array_sort("cells"))
     pred = F.when(F.col("doc_id") % 97 == 0, "").when(F.col("doc_id") % 11 == 0, F.concat(F.lit("Here it is:\n```json\n"), _document("pred"), F.lit("\n```\nDone."))).otherwise(_document("pred"))

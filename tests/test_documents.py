@@ -89,3 +89,19 @@ def test_lone_surrogates_and_deep_nesting_end_no_job(spark):
 )
 def test_anomalies(text, flags):
     assert D.anomalies(text) == flags
+
+
+def test_scores_and_fields_leave_python_whole(spark):
+    """Scores are compared where texts are read, and fields come as rows: neither brings an array of fields to the JVM."""
+    from ledgerlens.operators import scoring as C
+
+    gt = '{"合计":{"金额":"2"},"表头":{"日期":"2024-13-40","项目名称":"p"}}'
+    rows = spark.createDataFrame([(1, gt, '{"合计":{"金额":"2.0"},"表头":{"日期":"2024-13-40"},"x":1}'), (2, gt, None)], "i int, gt string, pred string")
+    scored = C.score_texts(rows)
+    assert [f.name for f in scored.schema.fields if "invalid" in f.dataType.simpleString()] == []
+    got = {r["i"]: r for r in scored.collect()}
+    assert (got[1]["tp"], got[1]["fp"], got[1]["fn"]) == (1, 2, 2) and got[1]["extra_paths"] == ["x"] and got[1]["missing_paths"] == ["表头.项目名称"] and (got[1]["amount_correct"], got[1]["amount_total"]) == (1, 1)
+    assert [tuple(e) for e in got[1]["field_errors"]] == [("x", None, "extra:1"), ("表头.日期", "date:2024-13-40", "date:2024-13-40"), ("表头.项目名称", "p", None)]
+    assert (got[2]["loose"], got[2]["tp"], got[2]["fn"], list(got[2]["schema_errors"])) == (False, 0, 3, ["$: not an object"])
+    found = [tuple(r) for r in D.fields(rows, "pred").select("i", "path", "value", "invalid", "extra").collect()]
+    assert found == [(1, *(f[k] for k in (0, 4, 5, 6))) for f in D.flatten(D.loose_object(rows.collect()[0]["pred"]))]

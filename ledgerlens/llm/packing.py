@@ -10,18 +10,20 @@ carry across windows and partitions."""
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import lean
+from .arrays import LOWER, SPACED, buffers, lean, mix
 from .shared import checkpointed
 
 #: The schedule has at most so many queues. Sources beyond that share the last one, in which they are interleaved by their
@@ -31,18 +33,63 @@ MAX_QUEUES = 1024
 BUCKET_TOKENS, MAX_BUCKETS = 1_000_000, 65_536
 #: Words whose ids a worker keeps at once.
 CACHE = 300_000
-#: str.split() also parts at these, which tokenizers don't take for white space.
-UNSAFE = re.compile("[\x1c-\x1f]")
-WHITE = re.compile("[ \t\n\x0b\f\r]+")
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+ENCODED = 4 << 20
+#: Words whose distinct ones are found at once.
+BLOCK_WORDS = 1 << 19
+#: The lowest 0 to 8 bytes of a 64-bit number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Letters for which lower-casing and normalising don't go letter by letter, or needn't.
 FOREIGN = re.compile("[^\x00-\u017f]|\u0130")
+#: Marks that may follow a word's letters, and how many of them are looked up apart from the word.
+MARKS, RUN = string.punctuation, 8
+MARK = np.zeros(256, bool)
+MARK[list(MARKS.encode())] = True
+#: Between U+00C0 and U+017F, in UTF-8: the two signs, and the letter that becomes a letter and a mark in lower case.
+NO_LETTERS = [0xC397, 0xC3B7, 0xC4B0]
+
+
+class Generations(dict):
+    """What ``find`` gives for a key, kept for the keys in use: after more than CACHE of them ``turn`` begins a new generation,
+    to which keys of the last one move when they are asked for again."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        self[key] = found = self.find(key) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each group of equal words (byte strings at ``start`` of the given sizes; 24 bytes of ``raw`` follow each start),
+    and each word's group. Words are compared whole; one of more than 24 bytes is a group of its own."""
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    keys = [wide[start + k] & LOW_BYTES[np.clip(size - k, 0, 8)] for k in (0, 8, 16)]
+    by = np.argsort(mix(keys[0] + mix(keys[1] + mix(keys[2]))))
+    new = np.ones(len(by), bool)
+    new[1:] = size[by[1:]] > 24
+    for x in keys:
+        x = x[by]
+        new[1:] |= x[1:] != x[:-1]
+    new[1:] |= size[by[1:]] != size[by[:-1]]
+    group = np.empty(len(by), np.int64)
+    group[by] = np.cumsum(new) - 1
+    return by[new], group
 
 
 class Encoder:
     """Token ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in order.
 
-    Ids are kept by word and by pre-token as little-endian bytes, so a text is a join of what is known and only new
-    pre-tokens go through the tokenizer's model."""
+    Ids are kept by word and by pre-token as little-endian bytes. The equal words of some hundred texts are looked up once,
+    and only new pre-tokens go through the tokenizer's model. Where that changes no id, A-Z are lower-cased first."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -50,59 +97,102 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.kind = "H" if max(self.tokenizer.get_vocab_size(), end_id) < 65536 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end = array(self.kind, [end_id]).tobytes()
+        self.added_low = [a.encode().lower() for a in self.added]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else None
-        # whether lower-case ASCII letters and the marks after them are two pre-tokens, as written
-        self.plain = split is not None and self.tokenizer.normalizer is not None and all([x for x, _ in split(self.tokenizer.normalizer.normalize_str("Word" + m))] == ["word", m] for m in (".", ",", ".,", ";", ":", "!?"))
+        # whether lower-case ASCII letters and the marks after them are two pre-tokens, as written, and no added token is such a word
+        self.plain = split is not None and self.tokenizer.normalizer is not None and not any(x.isalpha() or not x for x in (a.rstrip(MARKS) for a in self.added))
+        self.plain = self.plain and all([x for x, _ in split(self.tokenizer.normalizer.normalize_str("Word" + m))] == ["word", m] for m in [*MARKS, *(a + b for a in MARKS for b in MARKS), MARKS])
 
         # how the pre-tokenizer writes each small letter below U+0180, where lower-casing and normalising go letter by letter
         self.letters = {c: split(chr(c))[0][0] for c in range(128, 0x180) if chr(c).isalpha()} if self.plain else {}
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Generations(self.word), Generations(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            found = self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
-        return found
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def word(self, word: str) -> bytes:
+    def word(self, data: bytes) -> bytes:
+        word = data.decode()
         if self.plain:
-            base = word.rstrip(".,;:!?")
+            base = word.rstrip(MARKS)
             if base.isalpha() and (base.isascii() or not FOREIGN.search(base)):
                 low = base.lower() if base.isascii() else base.lower().translate(self.letters)
-                get = self.pieces.get
-                found = get(low) or self._piece(low)
-                return found if len(base) == len(word) else found + (get(mark := word[len(base) :]) or self._piece(mark))
+                return self._piece(low) if len(base) == len(word) else self.pieces[low] + self.pieces[word[len(base) :]]
         if any(a in word for a in self.added):
             return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if self.tokenizer.normalizer:
             word = self.tokenizer.normalizer.normalize_str(word)
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(word) if self.tokenizer.pre_tokenizer else [(word, None)]
-        return b"".join([self._piece(x) for x, _ in split])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id; a null text has the end id alone."""
-        out = []
-        for text in texts:
-            if len(self.known) > CACHE:  # words of the last generation that are still in use move on
-                self.known_before, self.known = self.known, {}
-            get, known, before = self.known.get, self.known, self.known_before
-            own = WHITE.split(text) if text and UNSAFE.search(text) else text.split() if text else []
-            parts = [*map(get, own), self.end]
-            for i in [i for i, x in enumerate(parts) if x is None]:
-                w = own[i]
-                x = get(w)
-                if x is None:
-                    x = before.get(w)
-                    known[w] = x = self.word(w) if x is None else x
-                parts[i] = x
-            out.append(b"".join(parts))
-        return out
+        return b"".join([self.pieces[x] for x, _ in split])
+
+    def _words(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to read words from, followed by zeros, and the start and size of each word there.
+
+        Where it changes no id, A-Z are lower-cased and up to RUN marks after a letter are a word of their own: not in words
+        beyond U+017F, whose letters may take up what follows them when normalised, and not beside added tokens."""
+        n = len(raw)
+        inside = SPACED[raw]
+        edge = inside.copy()
+        edge[1:] &= ~inside[:-1]
+        firsts = off[:-1][off[:-1] < off[1:]]
+        edge[firsts] = inside[firsts]
+        start = np.flatnonzero(edge)
+        edge[:-1] = inside[:-1] & ~inside[1:]
+        edge[-1:] = inside[-1:]
+        edge[off[1:][off[1:] > 0] - 1] |= inside[off[1:][off[1:] > 0] - 1]
+        size = np.flatnonzero(edge) + 1 - start
+        low = LOWER[raw]
+        as_is = np.zeros(len(start), bool)
+        if not self.plain or any(a in data for data in [low.tobytes()] for a in self.added_low):
+            as_is[:] = True
+        elif n and raw.max() >= 0xC6:  # from U+0180 on
+            high = np.concatenate([[0], np.cumsum(raw >= 0xC6)])
+            as_is = high[start + size] > high[start]
+        end = start + size
+        tail = end.copy()
+        live = np.flatnonzero(MARK[low[end - 1]] & ~as_is)
+        for _ in range(RUN):
+            tail[live] -= 1
+            live = live[tail[live] > start[live]]
+            live = live[MARK[low[tail[live] - 1]]]
+        tail[live] = end[live]
+        cut = np.flatnonzero((start < tail) & (tail < end))
+        last, lead = low[tail[cut] - 1], low[np.maximum(tail[cut] - 2, 0)]
+        pair = lead.astype(np.int64) << 8 | last
+        latin = (last >= 0x80) & (pair >= 0xC380) & (pair <= 0xC5BF) & ~np.isin(pair, NO_LETTERS)
+        cut = cut[((last >= 97) & (last <= 122)) | latin]
+        shift = n * as_is
+        start, end = np.insert(start + shift, cut + 1, tail[cut]), np.insert(end + shift, cut, tail[cut])
+        return np.concatenate([low, raw, np.zeros(32, np.uint8)]), start, end - start
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a column, an end id after each, and how many ids each has; a null text has the end id alone."""
+        raw, off = buffers(column)
+        data, start, size = self._words(raw, off)
+        blob = data.tobytes()
+        out, counts = [], []
+        for k in range(0, len(start), BLOCK_WORDS):
+            self.known.turn()
+            self.pieces.turn()
+            a, n = start[k : k + BLOCK_WORDS], size[k : k + BLOCK_WORDS]
+            one, group = distinct(data, a, n)
+            ids = [self.known[blob[i:j]] for i, j in zip(a[one].tolist(), (a + n)[one].tolist(), strict=True)]
+            flat = np.frombuffer(b"".join(ids), self.kind)
+            many = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+            first = np.cumsum(many) - many
+            count = many[group]
+            out.append(flat[np.arange(int(count.sum())) + np.repeat(first[group] - (np.cumsum(count) - count), count)])
+            counts.append(count)
+        ids, count = np.concatenate([np.zeros(0, self.kind), *out]), np.concatenate([np.zeros(0, np.int64), *counts])
+        before = np.concatenate([[0], np.cumsum(count)])
+        # words lie in the order of the texts
+        own = np.searchsorted(start % max(1, len(raw)), off)
+        ends = before[own[1:]] + np.arange(len(off) - 1)
+        whole = np.full(len(ids) + len(ends), self.end_id, self.kind)
+        kept = np.ones(len(whole), bool)
+        kept[ends] = False
+        whole[kept] = ids
+        return whole, np.diff(before[own]) + 1
 
 
 @lru_cache(maxsize=2)
@@ -116,18 +206,22 @@ def _tokenise(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = worker_encoder(path, end_id), TaskContext.get().partitionId()
-        width = len(encoder.end)
         before: dict[str | None, int] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids = encoder.encode(part.column(1).to_pylist())
+            size, k = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while k < batch.num_rows:
+                done = size[k - 1] if k else 0
+                part = batch.slice(k, max(1, int(np.searchsorted(size, done + ENCODED, "right")) - k))
+                k += part.num_rows
+                ids, counts = encoder.encode(part.column(1))
                 at = []
-                for source, x in zip(part.column(2).to_pylist(), ids, strict=True):
+                for source, n in zip(part.column(2).to_pylist(), counts.tolist(), strict=True):
                     at.append(before.get(source, 0))
-                    before[source] = at[-1] + len(x) // width
+                    before[source] = at[-1] + n
+                ends = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+                binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([block] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
+                    [part.column(0), part.column(2), pa.array([block] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(counts), pa.array([ids.itemsize] * len(at), pa.int32()), binary],
                     names=["_id", "_source", "block", "before", "n", "width", "ids"],
                 )
 

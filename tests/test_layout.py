@@ -7,6 +7,7 @@ import random
 from statistics import median
 
 from ledgerlens.operators import layout, pages
+from ledgerlens.plans import catalogue
 
 
 def test_lines_by_moving_median(spark):
@@ -67,3 +68,39 @@ def test_columns_and_headings(spark):
     assert doc["明细"] == [{"序号": "3", "名称": "a b", "规格型号": "", "单位": "", "数量": "", "单价": "", "金额": "5.0"}]
     names = spark.createDataFrame([(t,) for t in ("(序号)", "名(称)", "金额(元", "单价元", "单价(元)", "(数量)", "规格")], "t string")
     assert [r["h"] for r in names.select(layout.heading(names["t"]).alias("h")).collect()] == [None, None, "金额", "单价", "单价", None, "规格型号"]
+
+
+def test_plain_texts_need_no_python(spark):
+    """Every character that counts as plain has the normal form that a translation gives, and blanks are those of the pattern."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions import documents as D
+
+    texts = spark.createDataFrame([(i, f"a{chr(i)}b") for i in range(0x10000) if not 0xD800 <= i < 0xE000], "i int, t string")
+    got = texts.select("i", "t", D.plain(F.col("t")).alias("ok"), D.nfkc_plain(F.col("t")).alias("n"), (F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", "") == pages._dense(F.col("t"))).alias("same")).collect()
+    assert sum(r["ok"] for r in got) > 21000 and all(r["same"] for r in got)
+    assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in got if r["ok"])
+
+
+def test_page_queries_move_no_tokens(spark, sf):
+    """Pages are made where their lines lie: lines are dealt out once, and no token is a row that is sorted or dealt out."""
+    for name in ("page_tables", "page_headers", "page_document_scores"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "token_id" not in "".join(line for line in plan.splitlines() if " Aggregate " in line or " Window " in line or " Sort " in line)
+
+
+def test_lines_with_gaps_near_the_tolerance(spark):
+    """Parts that are folded, parts that aren't, and gaps of just the tolerance give the lines of the moving median."""
+    pick = random.Random(5)
+    rows = [(d, i, float(pick.choice((0, 1, 3, 4, 5, 8, 9, 12, 13, 17, 30, 31))) + d / 4, float(i), 4.0) for d in range(8) for i in range(14)]
+    got = {(r["doc_id"], r["token_id"]): r["line"] for r in layout.group_lines(spark.createDataFrame(rows, "doc_id long, token_id long, v double, x double, tolerance double")).collect()}
+    for d in range(8):
+        lines: list[list[tuple]] = []
+        for t in sorted((t for t in rows if t[0] == d), key=lambda t: (t[2], t[3])):
+            if lines and abs(t[2] - median(u[2] for u in lines[-1])) <= 4.0:
+                lines[-1].append(t)
+            else:
+                lines.append([t])
+        assert {(d, t[1]): k for k, line in enumerate(lines) for t in line} == {k: v for k, v in got.items() if k[0] == d}

@@ -51,3 +51,13 @@ def test_few_pairs_are_measured(spark):
     n, m = asked.count(), entries.count()
     assert n > 500 and m > 1500
     assert pairs.count() + seeds.count() + rest.count() * m < 0.05 * n * m
+
+
+def test_no_value_meets_the_grams_of_the_lexicon(spark):
+    """Values and entries are compared by two numbers a text: no gram is a row, and the search is spread over tasks whatever its bytes."""
+    asked, entries = catalogue.labels_asked(spark, "/root/testdata/sf0.01")
+    pairs, rest, _ = L.candidate_pairs(asked.withColumnRenamed("key", "asked"), entries.withColumnRenamed("key", "entry"), L.Edits)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(grams" not in plan and "inline(slice(rare" not in plan
+    assert pairs.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rest.count() < 0.01 * asked.count()

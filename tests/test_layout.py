@@ -104,3 +104,7 @@ def test_lines_with_gaps_near_the_tolerance(spark):
             else:
                 lines.append([t])
         assert {(d, t[1]): k for k, line in enumerate(lines) for t in line} == {k: v for k, v in got.items() if k[0] == d}
+
+
+def test_pages_are_spread_whatever_their_bytes(spark, sf):
+    assert catalogue.QUERIES["page_headers"](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
